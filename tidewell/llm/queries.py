@@ -5,26 +5,116 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
 from .embeddings import embedding_groups
+from .language import identify_languages
+from .quality import resample
+from .repeats import remove_repeats
 from .shared import read
 from .simhash import simhash_groups
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
+def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeats(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_quality_resampling": op2_quality_resampling,
         "op3_simhash_groups": op3_simhash_groups,
+        "op4_benchmark_leaks": op4_benchmark_leaks,
+        "op6_repeated_passages": op6_repeated_passages,
         "op7_embedding_groups": op7_embedding_groups,
     }
 
 
+OP4_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), item_shingles AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM item_words
+), sizes AS (
+  SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM doc_words
+), shared AS (
+  SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (s) GROUP BY doc_id, item_id
+)
+SELECT doc_id, item_id, n_shingles, n_shared, CAST(n_shared AS DOUBLE) / n_shingles AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_shingles
+"""
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM words WHERE len(w) >= 13
+), keyed AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM windows
+), firsts AS (
+  SELECT k, min(doc_id) AS first_id FROM keyed GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM keyed JOIN firsts USING (k) WHERE first_id < doc_id
+), flat AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words
+), kept AS (
+  SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.j) AS text
+  FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.j = g.j WHERE g.j IS NULL GROUP BY f.doc_id
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN counts ON words.doc_id = counts.doc_id LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, least.component_id, e.vec_id = least.component_id AS kept
+FROM embeddings e JOIN least ON e.vec_id = least.vec_id LEFT JOIN degree ON e.vec_id = degree.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for DuckDB; the other operators rest on seeded hashes or fitted models and are tested against slow versions."""
+    return {"op4_benchmark_leaks": OP4_SQL, "op6_repeated_passages": OP6_SQL, "op7_embedding_groups": OP7_SQL}
