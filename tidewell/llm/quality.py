@@ -17,8 +17,9 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Buckets of hashed one- and two-token grams; two more count three-token grams new to their text and seen in it before.
 BUCKETS = 1 << 15
 FEATURES = BUCKETS + 2
-#: Most labelled documents that fit the target model and the cut.
+#: Most labelled documents that fit the target model (this share of them) and the cut (the others).
 MOST_LABELLED = 20_000
+MODEL_SHARE = 0.7
 SMOOTHING = 1.0
 #: Tokens whose hash a task remembers.
 REMEMBERED = 400_000
@@ -81,19 +82,20 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, good) of at most ``most`` labelled documents, by seeded hash; of repeated ids the lowest quality holds."""
-    return (
+    """(doc_id, good, for_model) of at most ``most`` labelled documents, by seeded hash; of repeated ids the lowest quality holds."""
+    sample = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id")
         .agg((F.min("quality") == 1).alias("good"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
+    return sample.withColumn("for_model", unit_hash("doc_id", seed=5) < MODEL_SHARE)
 
 
 def log_ratio(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """log p(feature | target) - log p(feature | raw) for each of the FEATURES features."""
-    known = F.broadcast(sample.where("good").select(F.col("doc_id").alias("good_id")))  # at most MOST_LABELLED rows
+    known = F.broadcast(sample.where("good AND for_model").select(F.col("doc_id").alias("good_id")))  # at most MOST_LABELLED rows
     marked = docs.join(known, docs["doc_id"] == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
     counts = np.zeros((2, FEATURES))
     for r in gram_counts(marked).collect():  # at most 2 * FEATURES rows
@@ -123,7 +125,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 def best_cut(weighed: DataFrame, sample: DataFrame) -> float:
     """The log weight that best parts good from bad labelled documents, but not above 0, the weight of a text without n-grams."""
-    pairs = weighed.join(F.broadcast(sample), "doc_id").select("log_weight", "good").limit(4 * MOST_LABELLED).collect()
+    pairs = weighed.join(F.broadcast(sample.where("NOT for_model")), "doc_id").select("log_weight", "good").limit(4 * MOST_LABELLED).collect()
     good = np.array([r.good for r in pairs], bool)
     if good.all() or not good.any():
         return float("-inf")
@@ -157,7 +159,8 @@ def resample(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
     """doc_id, n_grams, log_weight, draw_key and kept for each row of ``docs`` (doc_id, text).
 
     Target text is that of documents of quality 1 in a bounded sample of
-    ``labels`` (doc_id, quality); raw text is all of ``docs``. A document's log
+    ``labels`` (doc_id, quality); raw text is all of ``docs``. The rest of the
+    sample, which the model hasn't seen, sets the cut. A document's log
     importance weight sums the log ratio of both models over all its n-grams.
     k is the number of documents whose weight reaches the cut that parts the
     labelled documents best; the k documents with the largest weight plus
