@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from .decontaminate import find_leaks
 from .embeddings import embedding_groups
 from .language import identify_languages
+from .lines import dedup_lines
+from .mixing import mix
 from .quality import resample
 from .repeats import remove_repeats
+from .shards import shard_documents
 from .shared import read
 from .simhash import simhash_groups
+from .urls import judge_sql, judge_urls
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +36,11 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeats(read(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -41,14 +50,31 @@ def op7_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read(spark, sf_dir, "embeddings"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_quality_resampling": op2_quality_resampling,
         "op3_simhash_groups": op3_simhash_groups,
         "op4_benchmark_leaks": op4_benchmark_leaks,
+        "op5_line_dedup": op5_line_dedup,
         "op6_repeated_passages": op6_repeated_passages,
         "op7_embedding_groups": op7_embedding_groups,
+        "op8_source_mix": op8_source_mix,
+        "op9_url_filter": op9_url_filter,
+        "op10_sharding": op10_sharding,
     }
 
 
@@ -70,6 +96,31 @@ SELECT doc_id, item_id, n_shingles, n_shared, CAST(n_shared AS DOUBLE) / n_shing
 FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_shingles
 """
 
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+), windows AS (
+  SELECT doc_id, l, unnest(range(0, len(l) - least(3, len(l)) + 1)) AS start, least(3, len(l)) AS n FROM lines
+), keyed AS (
+  SELECT doc_id, start, n, array_to_string(l[start + 1:start + n], chr(10)) AS k FROM windows
+), ranked AS (
+  SELECT doc_id, start, n, row_number() OVER (PARTITION BY k, n ORDER BY doc_id, start) AS place FROM keyed
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + n)) AS j FROM ranked WHERE place > 1
+), flat AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS j FROM lines
+), kept AS (
+  SELECT f.doc_id, string_agg(f.line, chr(10) ORDER BY f.j) AS text
+  FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.j = g.j WHERE g.j IS NULL GROUP BY f.doc_id
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN counts ON d.doc_id = counts.doc_id
+LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 OP6_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -117,4 +168,10 @@ FROM embeddings e JOIN least ON e.vec_id = least.vec_id LEFT JOIN degree ON e.ve
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB; the other operators rest on seeded hashes or fitted models and are tested against slow versions."""
-    return {"op4_benchmark_leaks": OP4_SQL, "op6_repeated_passages": OP6_SQL, "op7_embedding_groups": OP7_SQL}
+    return {
+        "op4_benchmark_leaks": OP4_SQL,
+        "op5_line_dedup": OP5_SQL,
+        "op6_repeated_passages": OP6_SQL,
+        "op7_embedding_groups": OP7_SQL,
+        "op9_url_filter": judge_sql(),
+    }
