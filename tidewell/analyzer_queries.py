@@ -216,9 +216,9 @@ add(
 
 
 def partly_dark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages against the pairs seen ten times or more a day, as a search console withholds rare queries."""
+    """Pages against the pairs seen thirty times or more a day, as a search console withholds rare queries."""
     whole = facts.sparse(spark, sf_dir)
-    known = whole.page_queries.where("impressions >= 10")
+    known = whole.page_queries.where("impressions >= 30")
 
     class Split:
         pages, page_queries = whole.pages, known
@@ -229,7 +229,7 @@ def partly_dark(spark: SparkSession, sf_dir: str) -> DataFrame:
 add(
     "dark_traffic", partly_dark,
     f"""WITH {SPARSE}, w AS (SELECT url, CAST(sum(clicks) AS DOUBLE) AS total_clicks FROM sparse WHERE {inside(SHORT)} GROUP BY url HAVING sum(clicks) > 0),
-    k AS (SELECT url, CAST(sum(clicks) AS DOUBLE) AS c, count(DISTINCT query) AS n FROM sparse WHERE impressions >= 10 AND {inside(SHORT)} GROUP BY url)
+    k AS (SELECT url, CAST(sum(clicks) AS DOUBLE) AS c, count(DISTINCT query) AS n FROM sparse WHERE impressions >= 30 AND {inside(SHORT)} GROUP BY url)
     SELECT url, total_clicks, coalesce(c, 0.0) AS attributed_clicks, total_clicks - coalesce(c, 0) AS dark_clicks, (total_clicks - coalesce(c, 0)) / total_clicks AS dark_percent,
            coalesce(n, 0) AS keyword_count FROM w LEFT JOIN k USING (url) WHERE total_clicks - coalesce(c, 0) > 0""",
     "dark_percent",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..metrics import over
 from ..sources.facts import Facts
+from ..sources.staging import staged
 from .scoring import during, named
 
 ROUNDS, DAMPING, STRONG = 25, 0.85, 0.05
@@ -20,27 +22,29 @@ def edges(facts: Facts, period, least=50, top_queries=1000, top_urls=500) -> Dat
     return rows.join(F.broadcast(best("q", top_queries)), "q").join(F.broadcast(best("u", top_urls)), "u").select("q", "u", "w")
 
 
-def bipartite_pagerank(facts: Facts, period, rounds=ROUNDS, damping=DAMPING, checkpoint_every=0, **options) -> DataFrame:
+def bipartite_pagerank(facts: Facts, period, rounds=ROUNDS, damping=DAMPING, stage_every=5, **options) -> DataFrame:
     """kind, node, rank, total, degree and strong (edges that carry a twentieth or more of the node's weight).
 
     The two sides swap ranks each round through shares fixed before. The graph
     is bounded by the top lists, so a round is one small join and aggregation;
-    edges are persisted once, and ``checkpoint_every`` cuts long plans.
+    ranks are written out every few rounds, which keeps plans short.
     """
-    e = edges(facts, period, **options).persist()
+    e = edges(facts, period, **options)
     both = e.select(F.lit("query").alias("kind"), F.col("q").alias("node"), F.lit("url").alias("to_kind"), F.col("u").alias("to"), "w").unionAll(
         e.select(F.lit("url"), F.col("u"), F.lit("query"), F.col("q"), "w")
     )
-    nodes = both.groupBy("kind", "node").agg(F.sum("w").alias("total"), F.count("*").alias("degree"))
-    flow = both.join(nodes.drop("degree"), ["kind", "node"]).withColumn("share", over(F.col("w"), F.col("total"))).persist()
-    strong = flow.groupBy("kind", "node").agg(F.count_if(F.col("share") >= STRONG).alias("strong"))
-    counts = nodes.groupBy("kind").agg(F.count("*").alias("n"))
-    rank = nodes.join(F.broadcast(counts), "kind").select("kind", "node", (1 / F.col("n")).alias("rank"))
-    base = F.broadcast(counts.select(F.col("kind").alias("to_kind"), "n"))
-    flow = flow.join(base, "to_kind").select("kind", "node", "to_kind", "to", "share", "n").persist()
-    for k in range(rounds):
-        sent = flow.join(rank, ["kind", "node"]).groupBy("to_kind", "to").agg(F.sum(F.col("share") * F.col("rank")).alias("r"), F.max("n").alias("n"))
-        rank = sent.select(F.col("to_kind").alias("kind"), F.col("to").alias("node"), ((1 - damping) / F.col("n") + damping * F.col("r")).alias("rank"))
-        if checkpoint_every and k % checkpoint_every == checkpoint_every - 1:
-            rank = rank.checkpoint()
-    return nodes.join(rank, ["kind", "node"]).join(strong, ["kind", "node"]).select("kind", "node", "rank", "total", "degree", "strong")
+    by = Window.partitionBy("kind", "node")
+    flow = staged(both.select("*", F.sum("w").over(by).alias("total"), F.count("*").over(by).alias("degree")).withColumn("share", over(F.col("w"), F.col("total"))))
+    nodes = staged(
+        flow.groupBy("kind", "node").agg(F.max("total").alias("total"), F.max("degree").alias("degree"), F.count_if(F.col("share") >= STRONG).alias("strong"))
+    )
+    sizes = {r.kind: r.n for r in nodes.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # two rows
+    n = F.when(F.col("kind") == "query", float(sizes.get("query", 1))).otherwise(float(sizes.get("url", 1)))
+    rank = nodes.select("kind", "node", (1 / n).alias("rank"))
+    shares = flow.select("kind", "node", "to_kind", "to", "share")
+    for k in range(1, rounds + 1):
+        sent = shares.join(rank, ["kind", "node"]).groupBy(F.col("to_kind").alias("kind"), F.col("to").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("r"))
+        rank = sent.select("kind", "node", ((1 - damping) / n + damping * F.col("r")).alias("rank"))
+        if k % stage_every == 0 and k < rounds:
+            rank = staged(rank)
+    return nodes.join(rank, ["kind", "node"]).select("kind", "node", "rank", "total", "degree", "strong")
