@@ -378,7 +378,7 @@ add(
     "survival", lambda s, d: series.survival(facts.dense(s, d), MONTH),
     STAYS + """, a AS (SELECT tenure, censored, cohort FROM s UNION ALL SELECT tenure, censored, '__all__' FROM s),
     t AS (SELECT cohort, tenure, count(*) FILTER (WHERE NOT censored) AS events, count(*) AS n FROM a GROUP BY ALL),
-    k AS (SELECT cohort, tenure, events, sum(n) OVER (PARTITION BY cohort ORDER BY tenure DESC) AS at_risk FROM t)
+    k AS (SELECT cohort, tenure, events, CAST(sum(n) OVER (PARTITION BY cohort ORDER BY tenure DESC) AS BIGINT) AS at_risk FROM t)
     SELECT *, exp(sum(ln(greatest(1 - events / at_risk, 1e-9))) OVER (PARTITION BY cohort ORDER BY tenure)) AS survival FROM k""",
     "survival",
 )
