@@ -36,7 +36,7 @@ IRREGULAR = {
     "people": "person", "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "geese": "goose", "mice": "mouse",
     "lice": "louse", "oxen": "ox", "dice": "die", "indices": "index", "matrices": "matrix", "vertices": "vertex", "appendices": "appendix",
     "criteria": "criterion", "phenomena": "phenomenon", "data": "datum", "media": "medium", "analyses": "analysis", "theses": "thesis",
-    "crises": "crisis", "axes": "axis", "bases": "base", "movies": "movie", "cookies": "cookie", "shoes": "shoe", "heroes": "hero",
+    "crises": "crisis", "menus": "menu", "gurus": "guru", "axes": "axis", "bases": "base", "movies": "movie", "cookies": "cookie", "shoes": "shoe", "heroes": "hero",
     "potatoes": "potato", "tomatoes": "tomato", "echoes": "echo", "lives": "life", "knives": "knife", "wives": "wife", "leaves": "leaf",
     "halves": "half", "shelves": "shelf", "wolves": "wolf", "thieves": "thief", "loaves": "loaf",
 }
