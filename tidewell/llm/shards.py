@@ -14,6 +14,8 @@ from .shared import shared_dir
 TARGET_BYTES = 32 << 20
 #: Tiers part at TARGET_BYTES / FANOUT, TARGET_BYTES / FANOUT ** 2 and so on; that many shards of a tier start a merge.
 FANOUT = 4
+#: Rows of a shard as it arrives, so that arrivals come in small pieces whatever the size of the tasks that read them.
+ARRIVAL_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -80,10 +82,10 @@ class ShardStore:
             raise Conflict(name)
         return new
 
-    def written(self, df: DataFrame, run: int) -> list[Shard]:
-        """Write each partition of ``df`` as a shard; empty ones give none (an empty table is written as one empty file)."""
+    def written(self, df: DataFrame, run: int, most_rows: int = 0) -> list[Shard]:
+        """Write each partition of ``df`` as a shard, or several of at most ``most_rows`` rows; empty ones give none (an empty table is written as one empty file)."""
         folder = f"data-{run:010d}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", most_rows).parquet(f"{self.root}/{folder}")
         files = [(n, size) for n, size in self.files(folder) if n.endswith(".parquet")]
         if len(files) == 1 and self.spark.read.parquet(f"{self.root}/{folder}/{files[0][0]}").isEmpty():
             return []
@@ -95,9 +97,9 @@ class ShardStore:
         return found.select(F.struct(*found.columns).alias("row"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("shard_file"))
 
     def append(self, arrivals: DataFrame) -> Manifest:
-        """Add ``arrivals`` as small shards, one of each task that read them, without a shuffle."""
+        """Add ``arrivals`` as small shards, written by the tasks that read them, without a shuffle."""
         base = self.manifest()
-        return self.commit(base, base.shards + self.written(arrivals, base.version + 1))
+        return self.commit(base, base.shards + self.written(arrivals, base.version + 1, ARRIVAL_ROWS))
 
     def tier(self, size: int) -> int:
         """0 for shards of target size, one more for each factor of FANOUT below it."""
