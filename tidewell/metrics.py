@@ -38,11 +38,6 @@ def aggregates(*names: str) -> list[Column]:
     return [made[n]().alias(n) for n in (names or METRICS)]
 
 
-def weighted_position() -> Column:
-    """Mean position of rows that have position and impressions already."""
-    return over(F.sum((F.col("position") - 1) * F.col("impressions")), F.sum("impressions")) + 1
-
-
 def to_sum_position(position: Column, impressions: Column) -> Column:
     """Positions below 1 count as 1."""
     return (F.greatest(position, F.lit(1.0)) - 1) * impressions

@@ -10,7 +10,7 @@ from ..metrics import aggregates, over, percent_change
 from ..sources.facts import Facts
 from .scoring import during, named, pairs
 
-#: Mean of unequal letters that two queries may have to count as the same.
+#: Most edits between two queries that still count as the same.
 EDITS = 2
 
 

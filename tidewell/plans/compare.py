@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..metrics import METRICS, aggregates, over
+from ..metrics import METRICS, over
 from .planner import Lake, grouped, ordering, paged, plan, rows_of
 from .spec import QueryError, QuerySpec
 
@@ -69,5 +69,3 @@ def comparison_totals(lake: Lake, current: QuerySpec, previous: QuerySpec) -> Da
     return rows.agg(*out)
 
 
-def metrics_of(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(*aggregates())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..metrics import METRICS, aggregates
-from .spec import TIME_DIMENSIONS, Filter, Group, Leaf, QueryError, QuerySpec, leaves, period_of
+from .spec import TIME_DIMENSIONS, Filter, Leaf, QueryError, QuerySpec, leaves, period_of
 
 FAMILIES = ({"page", "query", "queryCanonical"}, {"country"}, {"searchAppearance", "page", "query", "queryCanonical"})
 
@@ -217,7 +217,3 @@ def detail(lake: Lake, spec: QuerySpec) -> DataFrame:
     p = plan(QuerySpec(("date",), spec.metrics, spec.filter, spec.prefilter, ("date", "asc"), 100_000, 0, spec.search_type))
     daily = grouped(rows_of(lake, p), p).select("date", *p.spec.metrics)
     return padded_days(daily, p.first, p.last)
-
-
-def flat(f: Filter | None) -> list[Leaf]:
-    return leaves(f) if isinstance(f, Group) else ([f] if f else [])
