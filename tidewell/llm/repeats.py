@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (gives pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts_for, text_bytes
+from .shared import cut, parts_for, text_bytes
 
 WINDOW = 13
 ANCHOR = 7
@@ -37,7 +38,8 @@ class Block:
     hash of 13 of those; windows of different blocks by the words themselves.
     """
 
-    def __init__(self, ids: pa.Array, texts: pa.Array) -> None:
+    def __init__(self, ids: pa.Array, texts: pa.Array, copy: np.ndarray) -> None:
+        """copy: which rows have the whole text of an earlier document; their windows stay out of all classes."""
         from xxhash import xxh64_intdigest
 
         raw = texts.cast(pa.large_binary()).to_pylist()
@@ -60,7 +62,8 @@ class Block:
         h = np.concatenate([*codes, np.zeros(0, np.uint64)])
         doc = np.repeat(np.arange(len(sizes)), self.sizes)
         n = len(h) - WINDOW + 1
-        starts = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        self.copy = copy[self.rows] if len(self.rows) else copy
+        starts = np.flatnonzero((doc[:n] == doc[WINDOW - 1 :]) & ~self.copy[doc[:n]]) if n > 0 else np.zeros(0, np.int64)
         self.doc, self.starts = doc, starts
         if not len(starts):
             self.representative = self.member = self.anchor = starts
@@ -124,7 +127,9 @@ class Block:
             s = self.starts[hit]
             np.add.at(gone, s, 1)
             np.add.at(gone, s + WINDOW, -1)
-        return np.cumsum(gone)[:-1] > 0
+        out = np.cumsum(gone)[:-1] > 0
+        out[np.repeat(self.copy & (self.sizes >= WINDOW), self.sizes)] = True
+        return out
 
 
 def repeated_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +207,10 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
     is covered by a window whose word sequence also starts in a document with a
     smaller doc_id, as the texts stand in the input.
 
-    1. Documents are dealt into blocks of bounded size by hash. Equal windows of
-       one block are one class; only its first, in the smallest document, goes on.
+    1. Documents are dealt into blocks of bounded size by hash. A text that an
+       earlier document has whole loses all words (if it has a window) and
+       takes no further part. Equal windows of one block are one class; only
+       its first, in the smallest document, goes on.
     2. The smallest of the seven 7-grams of a window is its anchor, the same in
        each copy. Anchors found in a single block repeat nowhere else; the
        rest are live (exact counts over all blocks).
@@ -222,20 +229,34 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = text_bytes(docs)
     blocks = max(least, parts_for(size, block_bytes))
-    dealt = docs.select(
-        F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
-    ).repartition(blocks, "block")
-
-    def block_of(table: pa.Table) -> Block:
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    block_at = F.pmod(F.col("row"), F.lit(blocks)).cast("int")
+    dealt = keyed.withColumn("block", block_at).repartition(blocks, "block")
+    # Rows whose text an earlier document has: only ids and digests are shuffled.
+    digests = keyed.where("text IS NOT NULL").select("doc_id", "row", F.sha2("text", 256).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later_copy = (F.col("doc_id") > F.col("first")) | (F.col("doc_id").isNull() & F.col("first").isNotNull())
+    copies = cut(digests.join(first, "digest").where(later_copy).select(F.col("row").alias("h"), block_at.alias("block")))
+
+    def block_of(table: pa.Table, marks: pa.Table) -> Block:
+        """marks: h holds the rows of the block that are copies, where ``often`` is null."""
         table = table.combine_chunks()
         column = lambda c: pa.concat_arrays(table.column(c).chunks) if table.column(c).num_chunks else pa.array([], table.schema.field(c).type)
-        return Block(column("doc_id"), column("text"))
+        copy = np.isin(table.column("row").to_numpy(), marks.filter(pa.compute.is_null(marks.column("often"))).column("h").to_numpy())
+        return Block(column("doc_id"), column("text"), copy)
+
+    def marked(marks: DataFrame):
+        return marks.repartition(blocks, "block").groupBy("block")
+
+    copy_marks = copies.select("h", "block", F.lit(None).cast("boolean").alias("often"))
 
-    def list_anchors(table: pa.Table) -> pa.Table:
-        h, n = block_of(table).anchors()
+    def list_anchors(table: pa.Table, marks: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"h": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+        h, n = block_of(table, marks).anchors()
         return pa.table({"h": h, "block": np.full(len(h), table.column("block")[0].as_py(), np.int32), "n": n})
 
-    anchors = dealt.groupBy("block").applyInArrow(list_anchors, "h long, block int, n long")
+    anchors = dealt.groupBy("block").cogroup(marked(copy_marks)).applyInArrow(list_anchors, "h long, block int, n long")
 
     def keep_live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "h", 20_000):
@@ -256,29 +277,30 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
         kinds = [pa.binary()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.int32()]
         if not len(table) or not len(marks):
             return pa.table([pa.array([], k) for k in kinds], names)
-        h, often = marks.column("h").to_numpy(), marks.column("often").to_numpy()
-        out = block_of(table).suffixes(h, h[often])
+        live_marks = marks.filter(pa.compute.is_valid(marks.column("often")))
+        h, often = live_marks.column("h").to_numpy(), live_marks.column("often").to_numpy().astype(bool)
+        out = block_of(table, marks).suffixes(h, h[often])
         out["block"] = [table.column("block")[0].as_py()] * len(out["pos"])
         return pa.table([pa.array(out[k], t) for k, t in zip(names, kinds, strict=True)], names)
 
     suffixes = (
         dealt.groupBy("block")
-        .cogroup(live.repartition(blocks, "block").groupBy("block"))
+        .cogroup(marked(live.unionByName(copy_marks)))
         .applyInArrow(list_suffixes, "prefix binary, left binary, right binary, offsets int, doc long, pos long, block int")
     )
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "prefix", 20_000):
             block, pos = repeated_windows(table)
-            yield from pa.table({"block": block.astype(np.int32), "pos": pos}).to_batches()
+            yield from pa.table({"h": pos, "block": block.astype(np.int32), "often": np.zeros(len(pos), bool)}).to_batches()
 
     later = (
-        suffixes.repartition(anchor_parts, "prefix").sortWithinPartitions("prefix").mapInArrow(repeats, "block int, pos long")
+        suffixes.repartition(anchor_parts, "prefix").sortWithinPartitions("prefix").mapInArrow(repeats, "h long, block int, often boolean")
     )
 
     def clean(table: pa.Table, marks: pa.Table) -> pa.Table:
-        block = block_of(table)
-        gone = block.removed(marks.column("pos").to_numpy() if len(marks) else np.zeros(0, np.int64))
+        block = block_of(table, marks)
+        gone = block.removed(marks.filter(pa.compute.is_valid(marks.column("often"))).column("h").to_numpy())
         texts, n_removed = [], []
         for b, n in zip(block.begin.tolist(), block.sizes.tolist(), strict=True):
             out = gone[b : b + n]
@@ -293,6 +315,6 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
 
     return (
         dealt.groupBy("block")
-        .cogroup(later.repartition(blocks, "block").groupBy("block"))
+        .cogroup(marked(later.unionByName(copy_marks)))
         .applyInArrow(clean, "doc_id long, text string, n_words long, n_removed long")
     )
