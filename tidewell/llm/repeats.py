@@ -31,45 +31,100 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-class Block:
-    """The documents of one block in order of doc_id, as one sequence of words.
+class Words:
+    """Where the words of consecutive rows of UTF-8 bytes stand, and a 64-bit code of each.
 
-    Words are told apart by their XXH64, windows inside the block by a 64-bit
-    hash of 13 of those; windows of different blocks by the words themselves.
+    A code is a polynomial in a fixed odd number over fixed random values of a
+    word's bytes, taken from prefix sums over the row, so no word is touched by
+    itself. Equal words have equal codes in every task.
     """
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, copy: np.ndarray) -> None:
-        """copy: which rows have the whole text of an earlier document; their windows stay out of all classes."""
-        from xxhash import xxh64_intdigest
-
-        raw = texts.cast(pa.large_binary()).to_pylist()
-        named = [NO_ID if i is None else i for i in ids.to_pylist()]
-        self.rows = sorted(range(len(raw)), key=lambda i: (named[i], raw[i] or b""))
-        self.doc_ids = np.array([named[i] for i in self.rows], np.int64)
-        known: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        sizes = []
-        codes = []
-        for i in self.rows:
-            words = raw[i].split() if raw[i] else []
-            fresh = set(words).difference(known)
-            known.update(zip(fresh, map(xxh64_intdigest, fresh), strict=True))
-            codes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-            sizes.append(len(words))
-            self.words += words
-        self.sizes = np.array(sizes, np.int64)
+    CHUNK = 1 << 20
+    SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+    _rng = np.random.default_rng(20_13)
+    _value = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _base = np.uint64(0x9E3779B97F4A7C15)
+    _inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    _powers: list[np.ndarray] = []
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if not cls._powers or len(cls._powers[0]) <= n:
+            size = max(n + 1, 2 * cls.CHUNK)
+            cls._powers = [np.cumprod(np.r_[np.uint64(1), np.full(size, x)]) for x in (cls._base, cls._inverse)]
+        return cls._powers[0], cls._powers[1]
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = texts.cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        self.bytes = data.to_pybytes() if data is not None else b""
+        whole = np.frombuffer(self.bytes, np.uint8)
+        found: list[tuple[np.ndarray, ...]] = []
+        row = 0
+        while row < len(texts):
+            to = max(row + 1, int(np.searchsorted(at, at[row] + self.CHUNK, "right")) - 1)
+            found.append(self.split(whole, at[row : to + 1], row))
+            row = to
+        none = np.zeros(0, np.int64)
+        parts = list(zip(*found, strict=True)) if found else [[], [], [], []]
+        self.start, self.end, self.row = (np.concatenate([none, *p]) for p in parts[:3])
+        self.code = np.concatenate([np.zeros(0, np.uint64), *parts[3]])
+        #: How many gaps before each word are not a single byte.
+        self.wide = np.cumsum(np.r_[0, self.start[1:] - self.end[:-1] != 1]) if len(self.start) else none
+
+    @classmethod
+    def split(cls, whole: np.ndarray, at: np.ndarray, row: int) -> tuple[np.ndarray, ...]:
+        data, at0 = whole[at[0] : at[-1]], at - at[0]
+        letter = ((data - np.uint8(9)) > 4) & (data != 32)
+        begins, ends = letter.copy(), letter.copy()
+        begins[1:] &= ~letter[:-1]
+        ends[:-1] &= ~letter[1:]
+        edge = at0[:-1][at0[:-1] < len(data)]
+        begins[edge] = letter[edge]
+        edge = at0[1:][at0[1:] > 0] - 1
+        ends[edge] = letter[edge]
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        up, down = cls.powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(cls._value[data] * up[: len(data)], out=sums[1:])
+        code = (sums[end] - sums[start]) * down[start]
+        # Mixed, so that the codes of neighbours don't add up along the text.
+        code = (code ^ (code >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        code ^= code >> np.uint64(29)
+        return start + at[0], end + at[0], np.searchsorted(at0, start, "right") - 1 + row, code
+
+    def joined(self, first: int, to: int) -> bytes:
+        """Words ``first`` to ``to`` - 1, which lie in one row, parted by single spaces."""
+        if to <= first:
+            return b""
+        text = self.bytes[self.start[first] : self.end[to - 1]]
+        return text.translate(self.SPACES) if self.wide[to - 1] == self.wide[first] else b" ".join(text.split())
+
+
+class Block:
+    """The documents of one block in order of doc_id, as one sequence of words."""
+
+    def __init__(self, ids: pa.Array, texts: pa.Array, rows: np.ndarray, copy: np.ndarray) -> None:
+        """rows: a hash of each row, which orders rows of one doc_id; copy: which rows have the whole text of an earlier document, so that their windows stay out of all classes."""
+        named = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        order = np.lexsort((rows, named))
+        self.doc_ids, self.copy = named[order], copy[order]
+        self.words = words = Words(texts.take(pa.array(order)))
+        self.sizes = np.bincount(words.row, minlength=len(order)).astype(np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        h = np.concatenate([*codes, np.zeros(0, np.uint64)])
-        doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        h, self.doc = words.code, words.row
         n = len(h) - WINDOW + 1
-        self.copy = copy[self.rows] if len(self.rows) else copy
-        starts = np.flatnonzero((doc[:n] == doc[WINDOW - 1 :]) & ~self.copy[doc[:n]]) if n > 0 else np.zeros(0, np.int64)
-        self.doc, self.starts = doc, starts
+        starts = np.flatnonzero((self.doc[:n] == self.doc[WINDOW - 1 :]) & ~self.copy[self.doc[:n]]) if n > 0 else np.zeros(0, np.int64)
+        self.starts = starts
         if not len(starts):
             self.representative = self.member = self.anchor = starts
             self.anchor_hash = np.zeros(0, np.uint64)
             return
-        _, first, self.member = np.unique(rolled(h, WINDOW)[starts], return_index=True, return_inverse=True)
+        # Classes of equal windows, numbered as they first appear, so by their smallest document.
+        self.member = pa.array(rolled(h, WINDOW)[starts]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        first = np.zeros(self.member.max() + 1, np.int64)
+        first[self.member[::-1]] = np.arange(len(starts))[::-1]
         self.representative = starts[first]
         grams = rolled(h, ANCHOR)
         best, at = grams[self.representative], self.representative.copy()
@@ -94,32 +149,27 @@ class Block:
         if not len(self.anchor):
             return out
         h = self.anchor_hash.view(np.int64)
-        words = self.words
-        join = b" ".join
-
-        def add(prefix: bytes, left: bytes, right: bytes, offsets: int, pos: int) -> None:
-            for k, v in zip(out, (prefix, left, right, offsets, self.doc_ids[self.doc[pos]], pos), strict=True):
-                out[k].append(v)
-
         often = np.isin(h, common)
-        for s in self.representative[often].tolist():
-            window = join(words[s : s + WINDOW])
-            add(window, b"", window, 1, s)
+        whole = self.representative[often]
         rest = np.flatnonzero(np.isin(h, live) & ~often)
-        if len(rest):
-            order = rest[np.argsort(self.anchor[rest], kind="stable")]
-            at = self.anchor[order]
-            off = at - self.representative[order]
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            masks = np.bitwise_or.reduceat(1 << off, first)
-            most, least = np.maximum.reduceat(off, first), np.minimum.reduceat(off, first)
-            for m, mask, far, near in zip(at[first].tolist(), masks.tolist(), most.tolist(), least.tolist(), strict=True):
-                add(join(words[m : m + ANCHOR]), join(words[m - far : m]), join(words[m : m + WINDOW - near]), mask, m)
+        rest = rest[np.argsort(self.anchor[rest], kind="stable")]
+        at = self.anchor[rest]
+        off = at - self.representative[rest]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(rest) else rest
+        masks, most, least = (f.reduceat(v, first) if len(rest) else rest for f, v in ((np.bitwise_or, 1 << off), (np.maximum, off), (np.minimum, off)))
+        joined, m = self.words.joined, at[first]
+        windows = [joined(s, s + WINDOW) for s in whole.tolist()]
+        out["prefix"] = windows + [joined(i, i + ANCHOR) for i in m.tolist()]
+        out["left"] = [b""] * len(windows) + [joined(i - k, i) for i, k in zip(m.tolist(), most.tolist(), strict=True)]
+        out["right"] = windows + [joined(i, i + WINDOW - k) for i, k in zip(m.tolist(), least.tolist(), strict=True)]
+        out["offsets"] = [1] * len(windows) + masks.tolist()
+        out["pos"] = np.concatenate([whole, m])
+        out["doc"] = self.doc_ids[self.doc[out["pos"]]]
         return out
 
     def removed(self, later: np.ndarray) -> np.ndarray:
         """Which words go: those of windows that an earlier document of the block has, or whose class is in ``later``."""
-        gone = np.zeros(len(self.words) + 1, np.int64)
+        gone = np.zeros(len(self.doc) + 1, np.int64)
         if len(self.starts):
             owner = self.doc_ids[self.doc[self.representative]]
             hit = self.doc_ids[self.doc[self.starts]] > owner[self.member]
@@ -141,13 +191,12 @@ def repeated_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     of its anchor is repeated where suffixes meet in a node of depth 13 - l and
     agree in the l words before it.
     """
-    ids: dict[bytes, int] = {}
-
     def coded(column: str, width: int, from_end: bool) -> np.ndarray:
-        out = np.zeros((len(rows), width), np.int64)
-        for i, text in enumerate(rows.column(column).to_pylist()):
-            for j, w in enumerate(reversed(text.split()) if from_end else text.split()):
-                out[i, j] = ids.setdefault(w, len(ids) + 1)
+        words = Words(rows.column(column).combine_chunks())
+        n = np.bincount(words.row, minlength=len(rows))
+        place = np.arange(len(words.row)) - (np.cumsum(n) - n)[words.row]
+        out = np.zeros((len(rows), width), np.uint64)
+        out[words.row, n[words.row] - 1 - place if from_end else place] = words.code
         return out
 
     right, left = coded("right", WINDOW, False), coded("left", WINDOW - ANCHOR, True)
@@ -167,8 +216,12 @@ def repeated_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             continue
         node = np.cumsum(common < depth)[rows_here]
         for j in range(back):
-            node = np.unique(node * (len(ids) + 1) + left[rows_here, j], return_inverse=True)[1]
-        node = np.unique(node, return_inverse=True)[1]
+            pair = np.lexsort((left[rows_here, j], node))
+            a, b = node[pair], left[rows_here, j][pair]
+            fresh = np.r_[False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            node = np.empty_like(node)
+            node[pair] = np.cumsum(fresh)
+        node -= node.min()
         least = np.full(node.max() + 1, NO_ID)
         np.minimum.at(least, node, doc[rows_here])
         later = rows_here[doc[rows_here] > least[node]]
@@ -243,7 +296,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
         table = table.combine_chunks()
         column = lambda c: pa.concat_arrays(table.column(c).chunks) if table.column(c).num_chunks else pa.array([], table.schema.field(c).type)
         copy = np.isin(table.column("row").to_numpy(), marks.filter(pa.compute.is_null(marks.column("often"))).column("h").to_numpy())
-        return Block(column("doc_id"), column("text"), copy)
+        return Block(column("doc_id"), column("text"), table.column("row").to_numpy(), copy)
 
     def marked(marks: DataFrame):
         return marks.repartition(blocks, "block").groupBy("block")
@@ -305,8 +358,11 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
         for b, n in zip(block.begin.tolist(), block.sizes.tolist(), strict=True):
             out = gone[b : b + n]
             n_removed.append(int(out.sum()))
-            words = block.words[b : b + n]
-            texts.append(b" ".join([words[i] for i in np.flatnonzero(~out).tolist()] if n_removed[-1] else words))
+            words = block.words.joined(b, b + n)
+            if n_removed[-1]:
+                each = words.split(b" ")
+                words = b" ".join([each[i] for i in np.flatnonzero(~out).tolist()])
+            texts.append(words)
         ids = [None if i == NO_ID else i for i in block.doc_ids.tolist()]
         return pa.table(
             [pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(block.sizes), pa.array(n_removed, pa.int64())],
