@@ -13,7 +13,7 @@ def test_held_out_accuracy_and_edge_rows(spark):
     for i in range(600):
         lang = rng.choice(list(WORDS))
         rows.append((i, " ".join(rng.choices(WORDS[lang], k=rng.choice([3, 10, 300]))), lang, 0))
-    rows += [(1000, None, "aa", 0), (1001, "", "aa", 0), (1002, "123 !? _", "bb", 0), (None, "kalo miru", None, 0), (1003, "kalo " * 30_000, None, 0), (5, rows[5][1], None, 0)]
+    rows += [(1000, None, "aa", 0), (1001, "", "aa", 0), (1002, "123 !? _ ½ ²", "bb", 0), (None, "kalo miru", None, 0), (1003, "kalo " * 30_000, None, 0), (5, rows[5][1], None, 0)]
     got = identify_languages(spark.createDataFrame(rows, SCHEMA), docs_per_lang=60).collect()
     assert len(got) == len(rows)
     by_id = {r.doc_id: r for r in got}

@@ -5,7 +5,7 @@ import numpy as np
 
 from tidewell.llm.quality import FEATURES, Hasher, keep_good, kth_largest, labelled_sample, resample
 
-DOCS, LABELS = "doc_id long, text string, quality int", "doc_id long, quality int, text string"
+DOCS, LABELS = "doc_id long, text string, good_id int", "doc_id long, quality int, text string"
 
 
 def sample():

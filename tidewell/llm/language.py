@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,6 @@ DOCS_PER_LANG = 1500
 CHARS_PER_DOC = 700
 MOST_LANGS = 256
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -193,7 +191,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
                     pred[i], score[i] = model.langs[int(p.argmax())], float(min(1.0, p.max()))
 
             for i, value in enumerate(texts):
-                if model is None or not value.is_valid or not LETTER.search(text := value.as_py()):
+                if model is None or not value.is_valid or next(filter(str.isalpha, text := value.as_py()), None) is None:
                     continue
                 held.append((i, cut_windows(text.encode())))
                 rows += len(held[-1][1])

@@ -96,7 +96,8 @@ def labelled_sample(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
 def log_ratio(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """log p(feature | target) - log p(feature | raw) for each of the FEATURES features."""
     known = F.broadcast(sample.where("good AND for_model").select(F.col("doc_id").alias("good_id")))  # at most MOST_LABELLED rows
-    marked = docs.join(known, docs["doc_id"] == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
+    texts = docs.select("doc_id", "text")
+    marked = texts.join(known, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
     counts = np.zeros((2, FEATURES))
     for r in gram_counts(marked).collect():  # at most 2 * FEATURES rows
         counts[int(r.target), r.feature] = r.n
