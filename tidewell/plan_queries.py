@@ -160,7 +160,7 @@ DEV = "CASE l_returnflag WHEN 'A' THEN 'desktop' WHEN 'N' THEN 'mobile' ELSE 'ta
 add("arch_top_devices", lambda k: A.top_n_breakdown(k, NOW, "device", compare=BEFORE), f"WITH {LINES} {both_sql('lines', DEV, 'device')}", TWO)
 add(
     "arch_lookup", lambda k: A.single_row_lookup(k, SHORT, {"page": "/economy/brand-11"}),
-    f"WITH {SPARSE} SELECT {FOUR} FROM sparse WHERE {inside(SHORT)} AND url = '/economy/brand-11'",
+    f"WITH {SPARSE}, a AS (SELECT {FOUR} FROM sparse WHERE {inside(SHORT)} AND url = '/economy/brand-11') SELECT clicks, impressions, coalesce(ctr, 0) AS ctr, position FROM a",
 )
 add(
     "arch_stacked_devices", lambda k: A.multi_series_stacked_daily(k, SHORT, "device", "clicks"),
