@@ -101,8 +101,9 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Only length counts reach one task, one source each. A length that very many
     documents share is cut by hash bins before it is ordered. Null texts have
     size 0 and their documents no copies beyond whole epochs; a null source is
-    a source, a null doc_id a value; repeated rows are rows of their own. One
-    row per input row; an empty table gives none.
+    a source, a null doc_id a value. Rows that repeat doc_id, text and source count
+    each, but are taken or left together. One row per input row; an empty table
+    gives none.
     """
     base = docs.select(
         F.struct(*(keep or docs.columns)).alias("row"),
@@ -111,7 +112,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")).alias("h"),
     )
     binned = F.pmod(F.col("h"), F.lit(BINS)).cast("int")
-    narrow = cut(base.groupBy("source", "size", binned.alias("bin")).agg(F.count("*").alias("n")).withColumn("words", F.col("size") * F.col("n")))
+    marks = cut(base.select("source", "size", "h", binned.alias("bin")))
+    narrow = cut(marks.groupBy("source", "size", "bin").agg(F.count("*").alias("n")).withColumn("words", F.col("size") * F.col("n")))
     targets = cut(source_targets(narrow.select("source", F.col("words").alias("size"))))
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(0)
     plan = targets.withColumn("epochs", epochs.cast("long")).withColumn(
@@ -133,22 +135,24 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "sid", "source", "source_size", "target", "epochs", "size", "bin", "n"
     )
     before = F.sum("n").over(Window.partitionBy("sid", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    offer = (
+    offer = cut(
         each.withColumn("before", F.coalesce(before, F.lit(0)))
         .join(quotas, ["sid", "size"], "left")
         .withColumn("extra", F.greatest(F.lit(0), F.least("n", F.coalesce("quota", F.lit(0)) - F.col("before"))))
-        .select("sid", F.col("source").alias("s"), "source_size", "target", "epochs", F.col("size").alias("z"), "bin", "n", "extra")
+        .select(F.col("source").alias("s"), "source_size", "target", "epochs", F.col("size").alias("z"), F.col("bin").alias("b"), "n", "extra")
     )
-    met = base.withColumn("b", binned).join(
-        cut(offer), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("b") == F.col("bin"))
+    # Where a part of a bin is taken: the largest hash that still is. Only hashes are ordered, a bin at a time.
+    cell = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bin") == F.col("b"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "bin").orderBy("h"))
+    parted = marks.join(offer.where("extra > 0 AND extra < n"), cell).select("source", "size", "bin", "h", "extra", place.alias("place"))
+    last = parted.where("place = extra").select(F.col("source").alias("ls"), F.col("size").alias("lz"), F.col("bin").alias("lb"), F.col("h").alias("last"))
+    limits = cut(
+        offer.join(last, F.col("s").eqNullSafe(F.col("ls")) & (F.col("z") == F.col("lz")) & (F.col("b") == F.col("lb")), "left").drop("ls", "lz", "lb")
     )
-    cols = ["row", "size", "source_size", "target"]
-    whole = met.where("extra = 0 OR extra = n").select(*cols, (F.col("epochs") + (F.col("extra") > 0).cast("long")).alias("copies"))
-    place = F.row_number().over(Window.partitionBy("sid", "size", "bin").orderBy("h"))
-    part = met.where("extra > 0 AND extra < n").withColumn("place", place).select(
-        *cols, (F.col("epochs") + (F.col("place") <= F.col("extra")).cast("long")).alias("copies")
+    taken = F.coalesce((F.col("extra") == F.col("n")) | (F.col("h") <= F.col("last")), F.lit(False)) & (F.col("extra") > 0)
+    return base.withColumn("bin", binned).join(limits, cell).select(
+        "row", "size", "source_size", "target", (F.col("epochs") + taken.cast("long")).alias("copies")
     )
-    return whole.unionAll(part)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
