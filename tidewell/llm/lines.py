@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Lines of the shortest run that is found; also the winnowing window.
 RUN_LINES = 3
 
@@ -70,10 +72,11 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
     )
     # Rows that repeat doc_id and text have the same places, and so count once.
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body", "at")
-    live = windows.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp")
+    # Both tables below have one row per key and are written out, so that the joins with them can be split where a key is hot.
+    live = cut(windows.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp"))
     extended = windows.join(live, "fp", "left_semi")
     start = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("body"), F.col("start"))
-    firsts = extended.groupBy("key").agg(F.min(start).alias("first"))
+    firsts = cut(extended.groupBy("key").agg(F.min(start).alias("first")))
     later = extended.join(firsts, "key").where(start > F.col("first"))
     gone = (
         later.groupBy("doc_id", "body")
