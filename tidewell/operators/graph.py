@@ -22,7 +22,7 @@ def edges(facts: Facts, period, least=50, top_queries=1000, top_urls=500) -> Dat
     return rows.join(F.broadcast(best("q", top_queries)), "q").join(F.broadcast(best("u", top_urls)), "u").select("q", "u", "w")
 
 
-def bipartite_pagerank(facts: Facts, period, rounds=ROUNDS, damping=DAMPING, stage_every=5, **options) -> DataFrame:
+def bipartite_pagerank(facts: Facts, period, rounds=ROUNDS, damping=DAMPING, stage_every=8, **options) -> DataFrame:
     """kind, node, rank, total, degree and strong (edges that carry a twentieth or more of the node's weight).
 
     The two sides swap ranks each round through shares fixed before. The graph
@@ -43,7 +43,8 @@ def bipartite_pagerank(facts: Facts, period, rounds=ROUNDS, damping=DAMPING, sta
     rank = nodes.select("kind", "node", (1 / n).alias("rank"))
     shares = flow.select("kind", "node", "to_kind", "to", "share")
     for k in range(1, rounds + 1):
-        sent = shares.join(rank, ["kind", "node"]).groupBy(F.col("to_kind").alias("kind"), F.col("to").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("r"))
+        # Ranks are one row for each node of the two top lists.
+        sent = shares.join(F.broadcast(rank), ["kind", "node"]).groupBy(F.col("to_kind").alias("kind"), F.col("to").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("r"))
         rank = sent.select("kind", "node", ((1 - damping) / n + damping * F.col("r")).alias("rank"))
         if k % stage_every == 0 and k < rounds:
             rank = staged(rank)
