@@ -287,7 +287,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
     dealt = keyed.withColumn("block", block_at).repartition(blocks, "block")
     # Rows whose text an earlier document has: only ids and digests are shuffled.
     digests = keyed.where("text IS NOT NULL").select("doc_id", "row", F.sha2("text", 256).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Written out, so that the join can be split where very many documents share a text.
+    first = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     later_copy = (F.col("doc_id") > F.col("first")) | (F.col("doc_id").isNull() & F.col("first").isNotNull())
     copies = cut(digests.join(first, "digest").where(later_copy).select(F.col("row").alias("h"), block_at.alias("block")))
 
