@@ -60,3 +60,36 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = dedup_lines(spark.createDataFrame([(1, "a", 1)], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_long_lines_go_on_their_own(spark):
+    notice, passage = "Released under the MIT License.", " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, f"a\n{notice}\nb\nc", 1),
+        (2, f"{notice}\nd", 1),
+        (3, f"e\n\n{passage}", 1),
+        (4, f"{passage}\n\nf\n{notice}\ng\n{notice}", 1),
+        (5, notice, 1),
+        (6, "two words\nh", 1),
+        (7, "i\ntwo words", 1),
+        (None, f"{passage}\nj", 1),
+    ]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: rows[0][1], 2: "d", 3: rows[2][1], 4: "\nf\ng", 5: "", 6: rows[5][1], 7: rows[6][1], None: "j"}
+    assert {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, SCHEMA), line_words=None).collect()} == {d: t for d, t, _ in rows}
+
+
+def test_long_lines_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from tidewell.llm.queries import OP5_LONG_SQL
+
+    rng = random.Random(4)
+    lines = [f"line {i} of some words" for i in range(12)] + ["", "short", "not five words"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9))), 1) for i in range(120)] + [(900, None, 1), (901, "", 1), (902, lines[0], 1)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"]))
+    want = sorted((d, n, gone) for d, n, gone, _ in con.execute(OP5_LONG_SQL).fetchall())
+    got = sorted((r.doc_id, r.n_lines, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == want and sum(x[2] for x in got) > 100

@@ -37,6 +37,12 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines alone, as OP5_SQL has them; op5_long_lines also takes long lines that are repeated by themselves."""
+    cleaned = dedup_lines(read(spark, sf_dir, "documents"), line_words=None)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(read(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_groups": op3_simhash_groups,
         "op4_benchmark_leaks": op4_benchmark_leaks,
         "op5_line_dedup": op5_line_dedup,
+        "op5_long_lines": op5_long_lines,
         "op6_repeated_passages": op6_repeated_passages,
         "op7_embedding_groups": op7_embedding_groups,
         "op8_source_mix": op8_source_mix,
@@ -121,6 +128,34 @@ FROM documents d LEFT JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN counts ON
 LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
+OP5_LONG_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+), windows AS (
+  SELECT doc_id, l, unnest(range(0, len(l) - least(3, len(l)) + 1)) AS start, least(3, len(l)) AS n FROM lines
+  UNION
+  SELECT doc_id, l, j, 1 FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS j FROM lines)
+  WHERE len(regexp_extract_all(l[j + 1], '[^\x20\x09-\x0D]+')) >= 5
+), keyed AS (
+  SELECT doc_id, start, n, array_to_string(l[start + 1:start + n], chr(10)) AS k FROM windows
+), ranked AS (
+  SELECT doc_id, start, n, row_number() OVER (PARTITION BY k, n ORDER BY doc_id, start) AS place FROM keyed
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + n)) AS j FROM ranked WHERE place > 1
+), flat AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS j FROM lines
+), kept AS (
+  SELECT f.doc_id, string_agg(f.line, chr(10) ORDER BY f.j) AS text
+  FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.j = g.j WHERE g.j IS NULL GROUP BY f.doc_id
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN counts ON d.doc_id = counts.doc_id
+LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 OP6_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -171,6 +206,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_benchmark_leaks": OP4_SQL,
         "op5_line_dedup": OP5_SQL,
+        "op5_long_lines": OP5_LONG_SQL,
         "op6_repeated_passages": OP6_SQL,
         "op7_embedding_groups": OP7_SQL,
         "op9_url_filter": judge_sql(),
