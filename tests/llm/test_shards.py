@@ -53,3 +53,21 @@ def test_every_row_gets_its_shard(spark):
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in df.collect())
     assert len({r.shard_file for r in got}) == len({r.shard_id for r in got}) > 1
     assert shard_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_each_merged_shard_holds_one_group(spark, tmp_path):
+    target = 60_000
+    store = ShardStore(spark, f"file://{tmp_path}/c", target_bytes=target)
+    noise = "array_join(transform(sequence(1, 20), j -> hex(xxhash64(id, j))), '')"
+    store.append(spark.range(8000).selectExpr("id AS doc_id", f"{noise} AS text").repartition(64))
+    before = store.manifest()
+    groups = store.groups(before.shards)
+    assert len(groups) > 8
+    in_group = {s.path.rpartition("/")[2]: i for i, g in enumerate(groups) for s in g}
+    of_doc = {r[0]: in_group.get(r[1]) for r in store.rows(before.shards).select("row.doc_id", "shard_file").collect()}
+    after = store.compact()
+    assert all(s.bytes <= target * 1.1 for s in after.shards)
+    held = {}
+    for r in store.rows([s for s in after.shards if s.run == before.version + 1]).select("row.doc_id", "shard_file").collect():
+        held.setdefault(r[1], set()).add(of_doc[r[0]])
+    assert len(held) == len(groups) and all(len(x) == 1 for x in held.values())

@@ -135,7 +135,8 @@ class ShardStore:
             # One row per shard to merge: the manifest's own size, not the data's.
             table = self.spark.createDataFrame([(p.rpartition("/")[2], i) for p, i in into.items()], "shard_file string, into int")
             placed = self.rows([s for g in groups for s in g]).join(F.broadcast(table), "shard_file")
-            merged = placed.repartition(len(groups), "into").select("row.*")
+            # By number and not by hash, so that each group is one partition and one file.
+            merged = placed.repartitionById(len(groups), "into").select("row.*")
             new = self.written(merged, base.version + 1)
             base = self.commit(base, [s for s in base.shards if s.path not in into] + new)
         return base
