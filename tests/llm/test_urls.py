@@ -73,3 +73,44 @@ def test_same_rows_as_sql(spark):
 
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def judged(spark, pages, **more):
+    return {r.page_id: r for r in judge_urls(spark.createDataFrame([(i, u, h, 0) for i, u, h in pages], SCHEMA), **more).collect()}
+
+
+def test_distrust_reaches_far_hosts(spark):
+    last = 18
+    pages = [(0, "http://spam.net/x", "")] + [(i, f"http://h{i}.info/", f'<a href="http://{f"h{i - 1}.info" if i > 1 else "spam.net"}/">') for i in range(1, last + 1)]
+    got = judged(spark, pages)
+    assert all((got[i].verdict, got[i].distrust) == ("block", 1.0) for i in range(1, last + 1))
+    assert judged(spark, pages, rounds=ROUNDS)[last].verdict == "allow"
+
+
+def test_ranks_settle_on_a_cycle(spark):
+    pages = [
+        (1, "http://bad.net/x", '<a href="http://a.info/">'),
+        (2, "http://good.org/fr/x", '<a href="http://a.info/"><a href="http://far.info/">'),
+        (3, "http://a.info/", '<a href="http://b.info/"><a href="http://bad.net/">'),
+        (4, "http://b.info/", '<a href="http://c.info/">'),
+        (5, "http://c.info/", '<a href="http://a.info/"><a href="http://good.org/">'),
+    ]
+    links = {("bad.net", "a.info"), ("good.org", "a.info"), ("good.org", "far.info"), ("a.info", "b.info"), ("a.info", "bad.net"), ("b.info", "c.info"), ("c.info", "a.info"), ("c.info", "good.org")}
+    rank = {}
+    for kind, seed in (("trust", "good.org"), ("distrust", "bad.net")):
+        e = links if kind == "trust" else {(b, a) for a, b in links}
+        r = {seed: 1.0}
+        for _ in range(600):
+            new = {seed: 1 - DAMPING}
+            for a, b in e:
+                new[b] = new.get(b, 0) + DAMPING * r.get(a, 0) / sum(x == a for x, _ in e)
+            r = new
+        rank[kind] = r
+    for r in judged(spark, pages).values():
+        good, bad = rank["trust"].get(r.host, 0), rank["distrust"].get(r.host, 0)
+        assert abs(r.distrust - bad / (good + bad)) < 2e-9, r
+
+
+def test_links_without_a_scheme_are_edges(spark):
+    got = judged(spark, [(1, "http://spam.net/x", ""), (2, "http://one.info/", '<a href="//SPAM.net/x?u=http://other.info/">'), (3, "http://two.info/", '<a href="/spam.net/">')])
+    assert got[2].verdict == "block" and got[3].verdict == "allow"

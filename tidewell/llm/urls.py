@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
+#: Rounds that the SQL writes out; enough where no walk over links is longer.
 ROUNDS = 12
 DAMPING = 0.85
 #: A host is blocked if this share or more of the rank it has received is distrust.
 DISTRUST = 0.5
-#: Rounds between two cuts of the lineage.
+#: Rounds between two cuts of the lineage, and between two tests whether the ranks have settled.
 CUT_EVERY = 4
+#: Ranks have settled if between two cuts no host is new and none changes by more than this share of its rank.
+TOLERANCE = 1e-10
 LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -57,32 +60,46 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts by the absolute addresses that pages link to."""
+    """(src, dst, n): links between different hosts by the addresses with a host, ://host or //host at the start, that pages link to."""
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("link"))
-    found = links.where(F.instr("link", "://") > 0).select("src", host_of(F.col("link")).alias("dst"))
+    link = F.when(F.col("link").startswith("//"), F.concat(F.lit(":"), "link")).otherwise(F.col("link"))
+    found = links.where(F.instr(link, "://") > 0).select("src", host_of(link).alias("dst"))
     return found.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind of seed over its own edges.
 
     edges: kind, src, dst, w with the weights of a src summing to 1; seeds:
     kind, host, s with the seeds of a kind summing to 1. Rank that reaches a
     host without edges stays there. A round is a join and an aggregation.
+    ``rounds`` of them, or, if that is None, as many as it takes until every
+    host within reach has a rank and each has settled to TOLERANCE of its own
+    size. Change after that is at most TOLERANCE times the mean length of the
+    walks that lead to a host. Ranks under the least double count as 0.
     """
-    rank = seeds.select("kind", "host", F.col("s").alias("rank"))
-    for k in range(rounds):
+    rank = settled = seeds.select("kind", "host", F.col("s").alias("rank"))
+    k = 0
+    while rounds is None or k < rounds:
         sent = rank.join(edges, (rank["kind"] == edges["kind"]) & (rank["host"] == edges["src"])).select(
             rank["kind"], F.col("dst").alias("host"), (F.col("rank") * F.col("w") * F.lit(DAMPING)).alias("r")
         )
         own = seeds.select("kind", "host", (F.col("s") * F.lit(1 - DAMPING)).alias("r"))
         rank = sent.unionAll(own).groupBy("kind", "host").agg(F.sum("r").alias("rank"))
-        if k % CUT_EVERY == CUT_EVERY - 1:
+        k += 1
+        if k % CUT_EVERY == 0:
             rank = cut(rank)
+            if rounds is None:
+                # Hosts that have a rank keep one, so a host without a former rank is new.
+                former = settled.withColumnRenamed("rank", "was")
+                moves = F.col("was").isNull() | (F.abs(F.col("rank") - F.col("was")) > F.col("rank") * F.lit(TOLERANCE))
+                if rank.join(former, ["kind", "host"], "left").where(moves).isEmpty():
+                    break
+                settled = rank
     return rank
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and distrust for each row of ``pages`` (page_id, url, html).
 
     The host runs from the first :// to the next /, ? or #, with A-Z
@@ -91,7 +108,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
     host graph does: trust starts from hosts whose pages rules allow and
     follows links, distrust starts from hosts whose pages rules block and
     follows links backwards. distrust is a host's share of distrust in what it
-    has received of both (0 if nothing); DISTRUST or more blocks it.
+    has received of both (0 if nothing); DISTRUST or more blocks it. Ranks are
+    spread until they settle, however far the seeds are, or ``rounds`` times.
 
     Null html has no links. Repeated rows are judged each; they count again as
     seeds and links. One row per input row; other columns are ignored; empty
@@ -116,8 +134,13 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
     rank = spread(edges, seeds, rounds)
     share = (
         rank.groupBy("host")
-        .agg(F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("bad"), F.sum("rank").alias("all"))
-        .select("host", F.round(F.col("bad") / F.col("all"), 9).alias("distrust"))
+        .agg(
+            F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("bad"),
+            F.sum("rank").alias("all"),
+            F.every(F.col("kind") == "distrust").alias("only_bad"),
+        )
+        # A host that only distrust reaches has all of it, however small its rank.
+        .select("host", F.when(F.col("only_bad"), 1.0).otherwise(F.round(F.try_divide("bad", "all"), 9)).alias("distrust"))
     )
     met = judged.join(cut(share), "host", "left").withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     by_graph = F.when(F.col("distrust") >= DISTRUST, "block").otherwise("allow")
@@ -125,7 +148,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
 
 
 def judge_sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> str:
-    """The same as DuckDB SQL over ``pages``, with the rounds written out."""
+    """The same as DuckDB SQL over ``pages``, with the rounds written out and without links that start with //."""
     cases = {"rule": "NULL", "said": "NULL"}
     for rule in sorted(rules, key=lambda r: (len(r.pattern), r.pattern)):
         fits = f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
