@@ -135,3 +135,12 @@ def test_periods(spark):
     assert routes_to_live(p, []) and not routes_to_live(p, [Period(d(2024, 1, 1), d(2024, 1, 31))])
     df = spark.createDataFrame([("x", d(2024, 1, i)) for i in (1, 2, 2, 3, 7)], "k string, date date")
     assert sorted((r.first_day.day, r.last_day.day, r.days) for r in islands(df, "k").collect()) == [(1, 3, 3), (7, 7, 1)]
+
+
+def test_canonical_variants_collect_only_the_first(lake):
+    found = P.canonical_variants(lake, select("queryCanonical").where(JAN).spec, most=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    whole = {r.queryCanonical: r for r in P.canonical_variants(lake, select("queryCanonical").where(JAN).spec, most=1000).collect()}
+    got = found.collect()
+    assert got and all(r.variants == "||".join(whole[r.queryCanonical].variants.split("||")[:2]) and r.variant_count == whole[r.queryCanonical].variant_count for r in got)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..metrics import METRICS, aggregates
@@ -198,11 +199,14 @@ def canonical_variants(lake: Lake, spec: QuerySpec, most: int = 10) -> DataFrame
     raw = lake.tables["queries"].join(lake.query_dim.select("query", "query_canonical"), "query", "left")
     raw = raw.where(F.col("date").between(F.lit(p.first).cast("date"), F.lit(p.last).cast("date"))).withColumn("queryCanonical", column_of("queryCanonical"))
     each = raw.join(page, "queryCanonical", "left_semi").groupBy("queryCanonical", "query").agg(*aggregates())
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("clicks")).alias("o"), "query", "clicks", "impressions", "position")))
-    packed = F.transform(F.slice("v", 1, most), lambda v: F.concat_ws(":::", v["query"], v["clicks"].cast("long").cast("string"), v["impressions"].cast("long").cast("string"), F.round(v["position"], 2).cast("string")))
-    return each.groupBy("queryCanonical").agg(ordered.alias("v")).select(
-        "queryCanonical", F.size("v").alias("variant_count"), F.get("v", F.lit(0))["query"].alias("canonical_name"), F.array_join(packed, "||").alias("variants")
-    )
+    order = (-F.col("clicks")).alias("o")
+    counts = each.groupBy("queryCanonical").agg(F.count("*").cast("int").alias("variant_count"), F.min(F.struct(order, "query"))["query"].alias("canonical_name"))
+    # Only the first of each canonical query are collected, however many it has.
+    ranked = each.withColumn("n", F.row_number().over(W.partitionBy("queryCanonical").orderBy(order, "query"))).where(F.col("n") <= most)
+    ordered = F.sort_array(F.collect_list(F.struct("n", "query", "clicks", "impressions", "position")))
+    packed = F.transform("v", lambda v: F.concat_ws(":::", v["query"], v["clicks"].cast("long").cast("string"), v["impressions"].cast("long").cast("string"), F.round(v["position"], 2).cast("string")))
+    firsts = ranked.groupBy("queryCanonical").agg(ordered.alias("v")).select("queryCanonical", F.array_join(packed, "||").alias("variants"))
+    return counts.join(firsts, "queryCanonical", "left").select("queryCanonical", "variant_count", "canonical_name", F.coalesce("variants", F.lit("")).alias("variants"))
 
 
 def padded_days(daily: DataFrame, first: str, last: str) -> DataFrame:
