@@ -2,56 +2,33 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401  (gives pa.compute)
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import cut, unit_hash
+from .words import Tokens
 
-TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Buckets of hashed one- and two-token grams; two more count three-token grams new to their text and seen in it before.
 BUCKETS = 1 << 15
 FEATURES = BUCKETS + 2
-#: Most labelled documents that fit the target model (this share of them) and the cut (the others).
+#: Most labelled documents that fit the target model (this share of them) and the number to keep (the others).
 MOST_LABELLED = 20_000
 MODEL_SHARE = 0.7
 SMOOTHING = 1.0
-#: Tokens whose hash a task remembers.
-REMEMBERED = 400_000
-
-
-class Hasher:
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Feature numbers of all n-grams of one text, repeats included."""
-        tokens = TOKEN.findall(text.lower())
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        n = len(tokens)
-        h = np.empty(n, np.uint64)
-        for i, t in enumerate(tokens):
-            code = known.get(t)
-            if code is None:
-                code = known[t] = crc32(t.encode())
-            h[i] = code
-        one = mixed(h)
-        if n < 2:
-            return (one % np.uint64(BUCKETS)).astype(np.int64)
-        two = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-        grams = np.concatenate([one, two]) % np.uint64(BUCKETS)
-        three = mixed(two[:-1] + h[2:] * np.uint64(0xD6E8FEB86659FD93))
-        fresh = len(np.unique(three))
-        again = np.full(len(three), BUCKETS, np.int64)
-        again[fresh:] = BUCKETS + 1
-        return np.concatenate([grams.astype(np.int64), again])
+#: A text's log weight is that of so many n-grams of its mean log ratio: the temperature of the draw.
+#: A sum over all n-grams would grow with length and leave the Gumbel noise, of about one, without effect.
+EVIDENCE = 8.0
+SEED = 23
+#: UTF-8 bytes of the texts that a task takes at once.
+SLICE_BYTES = 2 << 20
+#: Log ratios and draw keys are kept in fixed point, so that sums and order don't depend on how rows are batched.
+FIXED = 1 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -59,25 +36,92 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(target, feature, n) of ``docs`` (text, target boolean): all rows count as raw (false), target rows as target too."""
+def hashed_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all one- and two-token grams, where each text's begin, and its new and repeated three-token grams.
+
+    Tokens are runs of letters, digits, underscores and bytes beyond ASCII, and
+    runs of other signs; A-Z count as a-z. Null texts have none.
+    """
+    tokens = Tokens(texts)
+    code, row, rows = tokens.code, tokens.row, len(texts)
+    n = np.bincount(row, minlength=rows)
+    offsets = np.r_[0, np.cumsum(2 * n - (n > 0))]
+    # A text's grams alternate: token, the pair that starts with it, next token.
+    at = offsets[row] + 2 * (np.arange(len(row)) - (np.cumsum(n) - n)[row])
+    grams = np.empty(offsets[-1], np.int16)
+    grams[at] = mixed(code) % np.uint64(BUCKETS)
+    two = mixed(code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:])
+    pair = row[1:] == row[:-1]
+    grams[at[:-1][pair] + 1] = two[pair] % np.uint64(BUCKETS)
+    triple = row[2:] == row[:-2]
+    of = row[2:][triple]
+    three = mixed(two[:-1] + code[2:] * np.uint64(0xD6E8FEB86659FD93))[triple]
+    _, first = np.unique(mixed(three ^ (of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), return_index=True)
+    fresh = np.bincount(of[first], minlength=rows)
+    return grams, offsets, fresh, np.bincount(of, minlength=rows) - fresh
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about SLICE_BYTES of text, one row at least."""
+    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def with_grams(docs: DataFrame, carry: list[str], seed: int) -> DataFrame:
+    """c0, c1 and so on (the columns ``carry`` in order), id, noise (Gumbel), grams (16-bit buckets), fresh and again of each row, written out."""
+    noise = -F.log(-F.log(unit_hash("doc_id", "text", seed=seed)))
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(*named, F.col("doc_id").cast("long").alias("id"), noise.alias("noise"), F.col("text").cast("string").alias("text"))
+    more = [T.StructField("grams", T.BinaryType()), T.StructField("fresh", T.LongType()), T.StructField("again", T.LongType())]
+    fields = [f for f in rows.schema if f.name != "text"]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                grams, offsets, fresh, again = hashed_grams(batch.column("text"))
+                packed = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(2 * offsets), pa.py_buffer(grams)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in names], packed, pa.array(fresh, pa.int64()), pa.array(again, pa.int64())], [*names, "grams", "fresh", "again"]
+                )
+
+    return cut(rows.mapInArrow(run, T.StructType(fields + more)))
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all rows of a column, and where those of each row begin and the last ones end."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // 2
+    grams = np.frombuffer(data, np.int16) if data is not None else np.zeros(0, np.int16)
+    return grams[at[0] : at[-1]], at - at[0]
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(target, feature, n) of rows (grams, fresh, again, target boolean): all count as raw (false), target rows as target too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, raw, wanted = Hasher(), np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+        counts = np.zeros((2, FEATURES), np.int64)
         for batch in batches:
-            for text, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
-                if text.is_valid:
-                    found = np.bincount(grams(text.as_py()), minlength=FEATURES)
-                    raw += found
-                    if target:
-                        wanted += found
-        for target, counts in ((False, raw), (True, wanted)):
-            at = np.flatnonzero(counts)
+            grams, at = unpacked(batch.column("grams"))
+            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            wanted = grams[np.repeat(target, np.diff(at))]
+            for k, (g, of) in enumerate(((grams, slice(None)), (wanted, target))):
+                counts[k, :BUCKETS] += np.bincount(g, minlength=BUCKETS)
+                for j, c in enumerate(("fresh", "again")):
+                    counts[k, BUCKETS + j] += batch.column(c).to_numpy()[of].sum()
+        for k in (0, 1):
+            some = np.flatnonzero(counts[k])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), target)), pa.array(at), pa.array(counts[at])], ["target", "feature", "n"]
+                [pa.array(np.full(len(some), bool(k))), pa.array(some), pa.array(counts[k, some])], ["target", "feature", "n"]
             )
 
-    part = docs.mapInArrow(run, "target boolean, feature long, n long")
+    part = rows.select("grams", "fresh", "again", "target").mapInArrow(run, "target boolean, feature long, n long")
     return part.groupBy("target", "feature").agg(F.sum("n").alias("n"))
 
 
@@ -93,11 +137,10 @@ def labelled_sample(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     return sample.withColumn("for_model", unit_hash("doc_id", seed=5) < MODEL_SHARE)
 
 
-def log_ratio(docs: DataFrame, sample: DataFrame) -> np.ndarray:
+def log_ratio(grams: DataFrame, sample: DataFrame) -> np.ndarray:
     """log p(feature | target) - log p(feature | raw) for each of the FEATURES features."""
-    known = F.broadcast(sample.where("good AND for_model").select(F.col("doc_id").alias("good_id")))  # at most MOST_LABELLED rows
-    texts = docs.select("doc_id", "text")
-    marked = texts.join(known, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
+    known = F.broadcast(sample.where("good AND for_model").select("doc_id"))  # at most MOST_LABELLED rows
+    marked = grams.join(known, F.col("id") == F.col("doc_id"), "left").withColumn("target", F.col("doc_id").isNotNull())
     counts = np.zeros((2, FEATURES))
     for r in gram_counts(marked).collect():  # at most 2 * FEATURES rows
         counts[int(r.target), r.feature] = r.n
@@ -107,39 +150,52 @@ def log_ratio(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``docs`` with n_grams and log_weight: the log importance weight of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+def weigh(grams: DataFrame, ratio: np.ndarray, evidence: float) -> DataFrame:
+    """``grams`` without its grams, with n_grams, log_weight and draw_key of each row."""
+    fixed = np.round(ratio * FIXED).astype(np.int64)
+    shared = grams.sparkSession.sparkContext.broadcast(fixed)
+    fields = [f for f in grams.schema if f.name not in ("grams", "fresh", "again")]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Hasher()
+        ratio = shared.value
         for batch in batches:
-            n, weight = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            for i, text in enumerate(batch.column("text")):
-                if text.is_valid:
-                    found = grams(text.as_py())
-                    n[i], weight[i] = len(found), shared.value[found].sum()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(weight)], ["doc_id", "n_grams", "log_weight"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
-
-
-def best_cut(weighed: DataFrame, sample: DataFrame) -> float:
-    """The log weight that best parts good from bad labelled documents, but not above 0, the weight of a text without n-grams."""
-    pairs = weighed.join(F.broadcast(sample.where("NOT for_model")), "doc_id").select("log_weight", "good").limit(4 * MOST_LABELLED).collect()
+            found, at = unpacked(batch.column("grams"))
+            fresh, again = (batch.column(c).to_numpy() for c in ("fresh", "again"))
+            sums = np.r_[0, np.cumsum(ratio[found])]
+            total = sums[at[1:]] - sums[at[:-1]] + fresh * ratio[BUCKETS] + again * ratio[BUCKETS + 1]
+            n = np.diff(at) + fresh + again
+            weight = evidence * total / FIXED / np.maximum(n, 1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n), pa.array(weight)], [*names, "n_grams", "log_weight"])
+
+    more = [T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())]
+    key = F.round((F.col("log_weight") + F.col("noise")) * F.lit(float(FIXED))).cast("long")
+    return grams.mapInArrow(run, T.StructType(fields + more)).withColumn("draw_key", key)
+
+
+def fitted_curve(weight: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve of good documents over their log weight, by Newton's steps with a small penalty."""
+    x = np.c_[weight, np.ones(len(weight))]
+    beta, ridge = np.zeros(2), np.diag([1e-2, 1e-4]) * len(weight)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (good - p) - ridge @ beta)
+        beta += np.clip(step, -2, 2)
+    return float(beta[0]), float(beta[1])
+
+
+def target_count(weighed: DataFrame, sample: DataFrame) -> int:
+    """How many documents are target text: the sum, over all of them, of the curve fitted to labelled ones that the model hasn't seen."""
+    n = weighed.count()
+    seen = weighed.join(F.broadcast(sample.where("NOT for_model")), F.col("id") == F.col("doc_id"))
+    # One row for each labelled doc_id, at most MOST_LABELLED.
+    pairs = seen.groupBy("id").agg(F.min("log_weight").alias("w"), F.first("good").alias("good")).collect()
     good = np.array([r.good for r in pairs], bool)
     if good.all() or not good.any():
-        return float("-inf")
-    weight = np.array([r.log_weight for r in pairs])
-    order = np.argsort(weight, kind="stable")
-    weight, good = weight[order], good[order]
-    # A cut below row i keeps rows i and above.
-    kept_good = good.sum() - np.r_[0, np.cumsum(good)[:-1]]
-    gone_bad = np.r_[0, np.cumsum(~good)[:-1]]
-    gain = kept_good / good.sum() + gone_bad / (~good).sum()
-    at = int(gain.argmax())
-    low = weight[at - 1] if at else weight[at] - 2
-    return float(min(0.0, (low + weight[at]) / 2))
+        return n
+    slope, start = fitted_curve(np.array([r.w for r in pairs]), good.astype(float))
+    chance = 1 / (1 + F.exp(-(F.lit(slope) * F.col("log_weight") + F.lit(start))))
+    return round(weighed.agg(F.sum(F.round(chance * F.lit(float(FIXED))).cast("long"))).first()[0] / FIXED)
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> int:
@@ -156,37 +212,49 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
+def draw(
+    docs: DataFrame, labels: DataFrame, carry: list[str], most_labelled: int, evidence: float, seed: int, share: float | None
+) -> tuple[DataFrame, Column]:
+    """Weighed rows with the columns ``carry`` as c0, c1 and so on, and whether each is drawn."""
+    sample = cut(labelled_sample(labels, most_labelled))
+    grams = with_grams(docs, carry, seed)
+    weighed = weigh(grams, log_ratio(grams, sample), evidence)
+    keys = cut(weighed.select("id", "log_weight", "draw_key"))
+    k = target_count(keys, sample) if share is None else round(share * keys.count())
+    return weighed, F.col("draw_key") >= F.lit(kth_largest(keys, "draw_key", k)) if k else F.lit(False)
+
+
+def resample(
+    docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, evidence: float = EVIDENCE, seed: int = SEED, share: float | None = None
+) -> DataFrame:
     """doc_id, n_grams, log_weight, draw_key and kept for each row of ``docs`` (doc_id, text).
 
     Target text is that of documents of quality 1 in a bounded sample of
-    ``labels`` (doc_id, quality); raw text is all of ``docs``. The rest of the
-    sample, which the model hasn't seen, sets the cut. A document's log
-    importance weight sums the log ratio of both models over all its n-grams.
-    k is the number of documents whose weight reaches the cut that parts the
-    labelled documents best; the k documents with the largest weight plus
-    seeded Gumbel noise are kept, which draws them without replacement in
-    proportion to their weights.
+    ``labels`` (doc_id, quality); raw text is all of ``docs``. A document's log
+    importance weight is the mean log ratio of both models over all its
+    n-grams, times ``evidence``. k is ``share`` of all documents or, if that is
+    None, the expected number of documents of quality 1: a logistic curve over
+    the log weight is fitted to the part of the sample that the model hasn't
+    seen, and summed over all documents. The k documents with the largest
+    weight plus seeded Gumbel noise are kept, which draws them without
+    replacement in proportion to their weights. Another ``seed`` draws others.
 
     A null or empty text has no n-grams and weight 0, and is drawn as such.
-    Without labels of both kinds everything is kept. Rows with equal keys at
-    the border (repeats of a doc_id) are kept together. One row per input row;
-    other columns are ignored; an empty table gives none.
+    Without labels of both kinds everything is kept. Noise
+    goes by doc_id and text: rows that repeat both are kept or left together,
+    rows of one doc_id with different texts, and those without one, each by
+    their own weight. One row per input row; other columns are ignored; an
+    empty table gives none.
     """
-    sample = cut(labelled_sample(labels, most_labelled))
-    scored = cut(weigh(docs, log_ratio(docs, sample)))
-    line = best_cut(scored, sample)
-    gumbel = -F.log(-F.log(unit_hash("doc_id", seed=23)))
-    # Fixed point keeps the order of all weights up to 2**43 and 20 bits behind the point.
-    key = F.round((F.col("log_weight") + gumbel) * F.lit(float(1 << 20))).cast("long")
-    keyed = cut(scored.withColumn("draw_key", key))
-    k = keyed.where(F.col("log_weight") >= F.lit(line)).count()
-    if not k:
-        return keyed.withColumn("kept", F.lit(False))
-    return keyed.withColumn("kept", F.col("draw_key") >= F.lit(kth_largest(keyed, "draw_key", k)))
+    weighed, drawn = draw(docs, labels, [], most_labelled, evidence, seed, share)
+    return weighed.select(F.col("id").alias("doc_id"), "n_grams", "log_weight", "draw_key", drawn.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that resampling keeps, columns as they came; rows without a doc_id are weighed, but stay."""
-    gone = resample(docs, labels).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of ``docs`` that resampling keeps, columns as they came. Each row is judged by its own text, whatever its doc_id.
+
+    Rows and n-grams are written out together once and filtered where they
+    lie, so no text is shuffled.
+    """
+    weighed, drawn = draw(docs, labels, docs.columns, MOST_LABELLED, EVIDENCE, SEED, None)
+    return weighed.where(drawn).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -10,25 +10,45 @@ from pyspark.sql import functions as F
 #: White space that parts words, as a class for Java and RE2 patterns.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Folders of the tables that ``cut`` has written and that still stand.
+CUTS: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; tests without one get /tmp/checkpoints."""
+    """This application's folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where the setting is missing, a session on one machine (master local)
+    takes /tmp/checkpoints; on a cluster that would lose data, so it raises.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "/tmp/checkpoints").rstrip("/") + "/tidewell"
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(named or '/tmp/checkpoints').rstrip('/')}/tidewell/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     Cuts the lineage so that loops stay cheap and a lost executor costs no
-    recomputation of what lies before the cut.
+    recomputation of what lies before the cut. The files stay until
+    ``clear_cuts``, as results that are not computed yet may read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_cuts(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the tables that ``cut`` has written after the first ``since``, but for those that ``but`` reads; nothing else may need them still."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in but.inputFiles()} if but is not None else set()
+    for path in [p for p in CUTS[since:] if p.rpartition("/")[2] not in kept]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        CUTS.remove(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
