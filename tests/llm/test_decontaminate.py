@@ -1,7 +1,8 @@
+import pickle
 import random
 import re
 
-from tidewell.llm.decontaminate import drop_leaks, find_leaks
+from tidewell.llm.decontaminate import Index, drop_leaks, find_leaks
 
 DOCS, ITEMS = "doc_id long, text string, item_id int", "item_id long, text string, doc_id int"
 
@@ -53,11 +54,24 @@ def test_against_brute_force(spark):
 
 def test_drop_and_empty_tables(spark):
     docs, items = sample()
+    docs.append((6, items[9][1], 1))
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
-    leaked = {r[0] for r in slow(docs, items)} - {None}
-    kept = drop_leaks(d, b)
-    assert kept.columns == d.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _, _ in docs if i not in leaked), key=str)
+    clean = [row for row in docs if not slow([row], items)]
+    assert docs[-1] not in clean and any(row[0] == 6 for row in clean) and (None, items[3][1], 1) not in clean
+    for pass_bytes in (1 << 20, 400):
+        kept = drop_leaks(d, b, pass_bytes=pass_bytes)
+        assert kept.columns == d.columns
+        assert sorted([tuple(r) for r in kept.collect()], key=str) == sorted(clean, key=str)
     none = spark.createDataFrame([], ITEMS)
     assert find_leaks(d, none).collect() == [] and find_leaks(spark.createDataFrame([], DOCS), b).collect() == []
-    assert drop_leaks(d, none).count() == len(docs)
+    assert drop_leaks(d, none).count() == len(docs) and drop_leaks(spark.createDataFrame([], DOCS), b).collect() == []
+
+
+def test_index_is_small(spark):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(words, k=60))) for i in range(4000)]
+    index = Index(items, 0.8)
+    arrays = [index.words, index.begin, *[x for pair in index.sketches.values() for x in pair]]
+    text = sum(len(t) for _, t in items)
+    assert sum(x.nbytes for x in arrays) < 2 * text and len(pickle.dumps(index)) < 4 * text

@@ -84,4 +84,24 @@ def test_empty_table_and_drop(spark):
     text = " ".join(f"word{i}" for i in range(50))
     df = spark.createDataFrame([(2, text, "x"), (1, text, "y"), (1, text, "y"), (9, "other words here now", "z"), (None, text, "n")], "doc_id long, text string, extra string")
     kept = sorted((r.doc_id is None, r.doc_id, r.extra) for r in drop_near_copies(df).collect())
-    assert kept == [(False, 1, "y"), (False, 9, "z"), (True, None, "n")]
+    assert kept == [(False, 1, "y"), (False, 9, "z")]
+    assert drop_near_copies(empty).collect() == []
+
+
+def test_each_row_stands_for_itself(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "ab")
+    schema = "doc_id long, text string, extra string, c0 string"
+    cases = [
+        # The near copy goes and the only b stays, although both have the doc_id 5.
+        ([(3, a, "x", None), (5, a, "x", None), (5, b, "x", None)], [(3, a, "x", None), (5, b, "x", None)]),
+        # Rows without a doc_id are copies like others, and come last.
+        ([(None, a, "x", None), (4, a, "x", None), (None, b, "x", None), (None, b, "x", None)], [(4, a, "x", None), (None, b, "x", None)]),
+        ([(None, None, None, None), (None, "", "x", None)], 1),
+        # Of one doc_id and text, one; which one does not depend on the order.
+        ([(7, a, None, "x"), (7, a, "x", None), (7, a, "x", None)], 1),
+    ]
+    for rows, want in cases:
+        got = [[tuple(r) for r in drop_near_copies(spark.createDataFrame(some, schema)).collect()] for some in (rows, rows[::-1])]
+        assert sorted(got[0], key=str) == sorted(got[1], key=str)
+        assert len(got[0]) == want if isinstance(want, int) else sorted(got[0], key=str) == sorted(want, key=str)

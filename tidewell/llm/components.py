@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 
+def with_least(members: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``members`` with the smallest ``value`` of their ``key`` as ``name``; a key may hold a third of all rows.
+
+    The smallest values are combined before they are shuffled, and written out
+    with one row per key, so that the join with them can be split where a key is hot.
+    """
+    return members.join(cut(members.groupBy(key).agg(F.min(value).alias(name))), key)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Label each node of ``edges`` (a long, b long) with the smallest id it reaches.
 
@@ -52,5 +61,6 @@ def components(edges: DataFrame) -> DataFrame:
         above = top.select(F.col("u").alias("to"), F.col("to").alias("end"))
         top = step.join(above, "to", "left").select("u", F.coalesce("end", "to").alias("to"))
     top = cut(top)
-    least = top.groupBy("to").agg(F.min("u").alias("root"))
-    return top.join(least, "to").select(F.col("u").alias("node"), F.least("root", "to").alias("root"))
+    # A component's kept node is no neighbour of itself, but stands in ``top`` as its own end.
+    rooted = with_least(top.select("to", "u", F.least("u", "to").alias("low")), "to", "low", "root")
+    return rooted.select(F.col("u").alias("node"), "root")

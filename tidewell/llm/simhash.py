@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .components import components
+from .components import components, with_least
 from .shared import cut, parts_for
 
 SHINGLE_WORDS = 4
@@ -45,8 +46,10 @@ def fingerprint(text: bytes, n_words: int = SHINGLE_WORDS, seed: int = HASH_SEED
     return np.packbits(2 * bits > n).tobytes()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit number; null text counts as empty."""
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """``rows`` with fp, the fingerprint of every whole text as a signed 64-bit number, in place of text; null text counts as empty."""
+    fields = [f for f in rows.schema if f.name != "text"]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,9 +58,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fingerprint(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in texts.cast(pa.large_binary())
             )
             fp = np.frombuffer(out, ">u8").astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(fp)], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("fp", T.LongType())]))
 
 
 def band_masks(n: int, radius: int = RADIUS, mean: int = BUCKET_MEAN) -> list[int]:
@@ -214,6 +217,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long")
 
 
+def group_roots(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints ``fps`` (fp) that link with another one."""
+    return components(links(fps, radius)).select(F.col("node").alias("fp"), "root")
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text): doc_id, fingerprint, component_id.
 
@@ -225,25 +233,46 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Repeated rows come back as often as they came; an empty table gives none;
     other columns are ignored.
     """
-    marked = cut(fingerprints(docs))
+    marked = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(least.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    rooted = least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(lowest, "root").select("fp", "component_id")
+    roots = cut(group_roots(least.select("fp"), radius))
+    low = with_least(roots.join(least, "fp"), "root", "least", "component_id").select("fp", "component_id")
+    # Written out with one row per fingerprint, so that the join can be split where very many documents share one.
+    labels = cut(least.join(low, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id; columns as they came.
-
-    Of rows that repeat a doc_id one stays. Rows without a doc_id can't be told
-    apart by name: they are left out of the groups and stay.
+    """Keep one row of each group: that with the smallest doc_id (null last), then text hash; columns as they came.
+
+    Each row counts by itself: rows that share a doc_id, or have none, stand in
+    the groups of their own texts. Rows that are equal in all columns are one
+    row, of which one stays. Rows with other columns of their own but the same
+    doc_id and text go by a hash of all columns. So the result does not depend
+    on the order of rows. Rows to drop are found by hashes of 128 bits of the
+    whole row, and only those hashes are shuffled; Spark broadcasts them
+    where they are small, and joins by them where they aren't.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    groups = simhash_groups(named, radius)
-    winners = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = named.join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    # With their nulls marked, as hashes pass over nulls.
+    whole = F.struct(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+    keys = {"k1": F.xxhash64(F.lit(1), whole), "k2": F.xxhash64(F.lit(2), whole)}
+    rows = docs.select(
+        F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), *[k.alias(n) for n, k in keys.items()]).alias("place"), "text"
+    )
+    marked = cut(fingerprints(rows))
+    least = cut(marked.groupBy("fp").agg(F.min("place").alias("least")))
+    roots = cut(group_roots(least.select("fp"), radius))
+    low = with_least(roots.join(least, "fp"), "root", "least", "winner").select("fp", "winner")
+    winners = cut(least.join(low, "fp", "left").select("fp", F.coalesce("winner", "least").alias("winner")))
+    met = marked.join(winners, "fp").select("place.k1", "place.k2", ((F.col("place.k1") == F.col("winner.k1")) & (F.col("place.k2") == F.col("winner.k2"))).alias("won"))
+    # A winner that stands in several equal rows is held apart and made one.
+    judged = cut(met.groupBy("k1", "k2").agg(F.max("won").alias("won"), F.count("*").alias("n")).where("NOT won OR n > 1"))
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *[k.alias(n) for n, k in keys.items()])
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    single = keyed.join(judged.select("k1", "k2"), ["k1", "k2"], "left_anti").select(*back)
+    repeated = cut(judged.where("won").select("k1", "k2"))
+    if repeated.isEmpty():
+        return single
+    return single.unionAll(keyed.join(repeated, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*back))
