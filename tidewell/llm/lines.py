@@ -86,23 +86,26 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, line_words: int | N
     start = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("body"), F.col("start"))
     firsts = cut(extended.groupBy("key").agg(F.min(start).alias("first")))
     later = extended.join(firsts, "key").where(start > F.col("first"))
-    gone = (
+    removed = (
         later.groupBy("doc_id", "body")
         .agg(F.collect_set(F.struct("start", F.size("key").alias("n"))).alias("runs"))
         .select(
             F.col("doc_id").alias("of_id"),
             F.col("body").alias("of_body"),
-            F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1)))).alias("gone"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1))))).alias("gone"),
         )
     )
+    # A sign for each line up to the last that goes, in one pass: - for those that stay, x for those that go.
+    before = lambda i: F.when(i > 0, F.element_at("gone", F.greatest(i, F.lit(1)))).otherwise(-1)
+    signs = F.array_join(F.transform("gone", lambda j, i: F.concat(F.repeat(F.lit("-"), j - before(i) - 1), F.lit("x"))), "")
+    marks = removed.select("of_id", "of_body", F.size("gone").cast("long").alias("n_gone"), signs.alias("signs"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("body"))
-    marked = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("body") == F.col("of_body")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    marked = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("body") == F.col("of_body")), "left")
+    # Lines beyond the last sign stay; array_join passes over those that are null.
+    kept = F.zip_with(lines, F.split("signs", ""), lambda x, sign: F.when(sign.isNull() | (sign == "-"), x))
     return marked.select(
         "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text"))
-        .otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
-        .alias("text"),
+        F.when(F.col("signs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed"),
     )
