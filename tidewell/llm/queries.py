@@ -37,13 +37,13 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of three lines alone, as OP5_SQL has them; op5_long_lines also takes long lines that are repeated by themselves."""
-    cleaned = dedup_lines(read(spark, sf_dir, "documents"), line_words=None)
+    cleaned = dedup_lines(read(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def op5_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = dedup_lines(read(spark, sf_dir, "documents"))
+def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup by runs of three lines alone, without long lines that are repeated by themselves."""
+    cleaned = dedup_lines(read(spark, sf_dir, "documents"), line_words=None)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -76,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_groups": op3_simhash_groups,
         "op4_benchmark_leaks": op4_benchmark_leaks,
         "op5_line_dedup": op5_line_dedup,
-        "op5_long_lines": op5_long_lines,
+        "line_runs": line_runs,
         "op6_repeated_passages": op6_repeated_passages,
         "op7_embedding_groups": op7_embedding_groups,
         "op8_source_mix": op8_source_mix,
@@ -103,7 +103,7 @@ SELECT doc_id, item_id, n_shingles, n_shared, CAST(n_shared AS DOUBLE) / n_shing
 FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_shingles
 """
 
-OP5_SQL = r"""
+LINE_RUNS_SQL = r"""
 WITH lines AS (
   SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
 ), windows AS (
@@ -128,7 +128,7 @@ FROM documents d LEFT JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN counts ON
 LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-OP5_LONG_SQL = r"""
+OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
 ), windows AS (
@@ -206,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_benchmark_leaks": OP4_SQL,
         "op5_line_dedup": OP5_SQL,
-        "op5_long_lines": OP5_LONG_SQL,
+        "line_runs": LINE_RUNS_SQL,
         "op6_repeated_passages": OP6_SQL,
         "op7_embedding_groups": OP7_SQL,
         "op9_url_filter": judge_sql(),
