@@ -1,7 +1,9 @@
 import random
 import re
 
-from tidewell.llm.repeats import remove_repeats
+import pyarrow as pa
+
+from tidewell.llm.repeats import remove_repeats, whole_groups
 
 SCHEMA = "doc_id long, text string, block int"
 
@@ -39,6 +41,8 @@ def sample():
         rows.append((rng.choice([i, i, i, 1000 - i]), rng.choice([" ", "\n", "\t "]).join(text), 7))
     rows += [(i, " ".join(passage[3] * 2), 7) for i in range(2000, 2060)]
     rows += [(3000, None, 0), (3001, "", 0), (3002, " \n\t", 0), (None, " ".join(passage[1]), 0), (None, " ".join(passage[1]), 0), (3003, "x " * 300, 1), (3004, "x " * 40, 1), (3003, "x " * 300, 1)]
+    # The largest id there is comes before no id.
+    rows += [(2**63 - 1, " ".join(passage[1]), 1), (2**63 - 1, " ".join(f"last{i}" for i in range(20)), 1), (None, " ".join(f"last{i}" for i in range(20)), 1)]
     return rows
 
 
@@ -52,3 +56,24 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_groups_come_whole_or_in_bounded_tables():
+    rng = random.Random(6)
+    for _ in range(200):
+        values = sorted(rng.choice(range(6)) for _ in range(rng.randrange(60)))
+        at, batches = 0, []
+        while at < len(values):
+            n = rng.randrange(1, 9)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(values[at : at + n], pa.int64())], ["v"]))
+            at += n
+        rows, most = rng.randrange(1, 12), rng.randrange(1, 20)
+        seen, last = [], None
+        for table, more in whole_groups(iter(batches), "v", rows, most):
+            got = table.column("v").to_pylist()
+            assert got and len(got) <= rows + most + 9
+            # A table goes on with a value exactly if the one before ended with it.
+            assert more == (last == got[0]) and (not more or len(set(got)) == 1)
+            seen += got
+            last = got[-1]
+        assert seen == values

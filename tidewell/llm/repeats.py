@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,19 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def comes_after(doc: np.ndarray, unnamed: np.ndarray, first: np.ndarray, first_unnamed: np.ndarray) -> np.ndarray:
+    """Which ids are larger than those of ``first``; null (whose number is NO_ID) is larger than any id, the largest included."""
+    return (doc > first) | (unnamed & ~first_unnamed)
+
+
 class Block:
     """The documents of one block in order of doc_id, as one sequence of words."""
 
     def __init__(self, ids: pa.Array, texts: pa.Array, rows: np.ndarray, copy: np.ndarray) -> None:
         """rows: a hash of each row, which orders rows of one doc_id; copy: which rows have the whole text of an earlier document, so that their windows stay out of all classes."""
-        named = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        order = np.lexsort((rows, named))
-        self.doc_ids, self.copy = named[order], copy[order]
+        named, unnamed = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+        order = np.lexsort((rows, unnamed, named))
+        self.doc_ids, self.unnamed, self.copy = named[order], unnamed[order], copy[order]
         self.words = words = Words(texts.take(pa.array(order)))
         self.sizes = np.bincount(words.row, minlength=len(order)).astype(np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
@@ -94,15 +101,16 @@ class Block:
         out["right"] = windows + [joined(i, i + WINDOW - k) for i, k in zip(m.tolist(), least.tolist(), strict=True)]
         out["offsets"] = [1] * len(windows) + masks.tolist()
         out["pos"] = np.concatenate([whole, m])
-        out["doc"] = self.doc_ids[self.doc[out["pos"]]]
+        of = self.doc[out["pos"]]
+        out["doc"] = pa.array(self.doc_ids[of], mask=self.unnamed[of])
         return out
 
     def removed(self, later: np.ndarray) -> np.ndarray:
         """Which words go: those of windows that an earlier document of the block has, or whose class is in ``later``."""
         gone = np.zeros(len(self.doc) + 1, np.int64)
         if len(self.starts):
-            owner = self.doc_ids[self.doc[self.representative]]
-            hit = self.doc_ids[self.doc[self.starts]] > owner[self.member]
+            first, mine = self.doc[self.representative][self.member], self.doc[self.starts]
+            hit = comes_after(self.doc_ids[mine], self.unnamed[mine], self.doc_ids[first], self.unnamed[first])
             hit |= np.isin(self.representative, later)[self.member]
             s = self.starts[hit]
             np.add.at(gone, s, 1)
@@ -130,12 +138,13 @@ def repeated_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return out
 
     right, left = coded("right", WINDOW, False), coded("left", WINDOW - ANCHOR, True)
-    offsets, doc = rows.column("offsets").to_numpy(), rows.column("doc").to_numpy()
+    offsets, ids = rows.column("offsets").to_numpy(), rows.column("doc").combine_chunks()
+    doc, unnamed = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
     block, pos = rows.column("block").to_numpy(), rows.column("pos").to_numpy()
     group = rows.column("prefix").combine_chunks().dictionary_encode()
     group = (group.chunk(0) if isinstance(group, pa.ChunkedArray) else group).indices.to_numpy().astype(np.int64)
     order = np.lexsort([*right.T[::-1], group])
-    right, left, offsets, doc, block, pos, group = (x[order] for x in (right, left, offsets, doc, block, pos, group))
+    right, left, offsets, doc, unnamed, block, pos, group = (x[order] for x in (right, left, offsets, doc, unnamed, block, pos, group))
     common = np.r_[0, np.cumprod((right[1:] == right[:-1]) & (right[1:] > 0), axis=1).sum(axis=1)]
     common[1:][group[1:] != group[:-1]] = 0
     out_block, out_pos = [], []
@@ -152,35 +161,48 @@ def repeated_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             node = np.empty_like(node)
             node[pair] = np.cumsum(fresh)
         node -= node.min()
-        least = np.full(node.max() + 1, NO_ID)
+        least, none_named = np.full(node.max() + 1, NO_ID), np.ones(node.max() + 1, bool)
         np.minimum.at(least, node, doc[rows_here])
-        later = rows_here[doc[rows_here] > least[node]]
+        np.logical_and.at(none_named, node, unnamed[rows_here])
+        later = rows_here[comes_after(doc[rows_here], unnamed[rows_here], least[node], none_named[node])]
         out_block.append(block[later])
         out_pos.append(pos[later] - back)
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *out_block]), np.concatenate([none, *out_pos])
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
-    """Tables of at least ``rows`` rows from batches sorted by ``column``, none of which parts equal values."""
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of about ``rows`` rows from batches sorted by ``column``, none of which parts equal values.
+
+    But a value with more than ``most`` rows comes in several tables of its
+    own, so that a task never holds all of them; True marks those after the first.
+    """
     held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        held.append(batch)
-        n += len(batch)
-        if n >= rows:
-            table = pa.Table.from_batches(held)
+    n, begun = 0, None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            n += len(batch)
+            if n < rows:
+                continue
+        if not n:
+            continue
+        table = pa.Table.from_batches(held)
+        if begun is not None:
             values = table.column(column)
-            last, lo, hi = values[n - 1], 0, n - 1
-            while lo < hi:  # the first row with the last value
-                mid = (lo + hi) // 2
-                lo, hi = (lo, mid) if values[mid] == last else (mid + 1, hi)
-            if lo:
-                yield table.slice(0, lo)
-                held = table.slice(lo).combine_chunks().to_batches()
-                n -= lo
-    if n:
-        yield pa.Table.from_batches(held)
+            goes_on = bisect_left(range(n), True, key=lambda i: values[i] != begun)
+            if goes_on:
+                yield table.slice(0, goes_on), True
+            table = table.slice(goes_on)
+            begun = None if len(table) else begun
+        values, n = table.column(column), len(table)
+        to = n if batch is None else bisect_left(range(n), True, key=lambda i: values[i] == values[n - 1])
+        if not to and n > most:
+            to, begun = n, values[0]
+        if to:
+            yield table.slice(0, to), False
+        held = table.slice(to).combine_chunks().to_batches()
+        n -= to
 
 
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -208,7 +230,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
     remove each other's words. One row per input row; other columns are
     ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, at_once = docs.sparkSession, min(20_000, group_rows)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = text_bytes(docs)
     blocks = max(least, parts_for(size, block_bytes))
@@ -243,12 +265,13 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
     anchors = dealt.groupBy("block").cogroup(marked(copy_marks)).applyInArrow(list_anchors, "h long, block int, n long")
 
     def keep_live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "h", 20_000):
+        for table, more in whole_groups(batches, "h", at_once, group_rows):
             h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             many = np.diff(np.r_[first, len(h)])
-            live = np.repeat(many > 1, many)
-            often = np.repeat(np.add.reduceat(n, first) > group_rows, many)
+            # An anchor in more than ``group_rows`` blocks comes in several tables; each row of it counts one place or more.
+            live = np.repeat(many > 1, many) | more
+            often = np.repeat(np.add.reduceat(n, first) > group_rows, many) | more
             yield from pa.table({"h": h[live], "block": table.column("block").to_numpy()[live], "often": often[live]}).to_batches()
 
     anchor_parts = max(least, parts_for(size, 4 * block_bytes))
@@ -265,7 +288,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
         h, often = live_marks.column("h").to_numpy(), live_marks.column("often").to_numpy().astype(bool)
         out = block_of(table, marks).suffixes(h, h[often])
         out["block"] = [table.column("block")[0].as_py()] * len(out["pos"])
-        return pa.table([pa.array(out[k], t) for k, t in zip(names, kinds, strict=True)], names)
+        return pa.table([out[k] if isinstance(out[k], pa.Array) else pa.array(out[k], t) for k, t in zip(names, kinds, strict=True)], names)
 
     suffixes = (
         dealt.groupBy("block")
@@ -274,12 +297,20 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
     )
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "prefix", 20_000):
-            block, pos = repeated_windows(table)
+        least: tuple[np.ndarray, np.ndarray] | None = None
+        for table, more in whole_groups(batches, "prefix", at_once, group_rows):
+            ids = table.column("doc").combine_chunks()
+            doc, unnamed = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+            if more:  # only whole windows are as common as that, sorted by document
+                later = comes_after(doc, unnamed, *least)
+                block, pos = table.column("block").to_numpy()[later], table.column("pos").to_numpy()[later]
+            else:
+                least = doc[:1], unnamed[:1]
+                block, pos = repeated_windows(table)
             yield from pa.table({"h": pos, "block": block.astype(np.int32), "often": np.zeros(len(pos), bool)}).to_batches()
 
     later = (
-        suffixes.repartition(anchor_parts, "prefix").sortWithinPartitions("prefix").mapInArrow(repeats, "h long, block int, often boolean")
+        suffixes.repartition(anchor_parts, "prefix").sortWithinPartitions("prefix", F.asc_nulls_last("doc")).mapInArrow(repeats, "h long, block int, often boolean")
     )
 
     def clean(table: pa.Table, marks: pa.Table) -> pa.Table:
@@ -294,9 +325,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_rows:
                 each = words.split(b" ")
                 words = b" ".join([each[i] for i in np.flatnonzero(~out).tolist()])
             texts.append(words)
-        ids = [None if i == NO_ID else i for i in block.doc_ids.tolist()]
         return pa.table(
-            [pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(block.sizes), pa.array(n_removed, pa.int64())],
+            [pa.array(block.doc_ids, mask=block.unnamed), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(block.sizes), pa.array(n_removed, pa.int64())],
             ["doc_id", "text", "n_words", "n_removed"],
         )
 
