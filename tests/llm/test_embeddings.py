@@ -1,6 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from tidewell.llm.embeddings import embedding_groups
+from tidewell.llm.embeddings import cells_of, embedding_groups, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string"
 
@@ -52,19 +53,29 @@ def sample():
 
 def test_against_brute_force(spark):
     rows = sample()
-    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for per in (16, 10_000):
-        got = sorted([tuple(r) for r in embedding_groups(df, per_pivot=per).collect()], key=str)
-        assert got == slow(rows)
+    want = slow(rows)
+    # One cell level; a tree of several levels; cells dealt over pairs of chunks; doubles in place of floats.
+    for pivots, side, kind in ((8, 10_000, "float"), (3, 40, "float"), (1, 50, "float"), (4, 60, "double")):
+        df = spark.createDataFrame(rows, SCHEMA).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>")).repartition(3)
+        got = sorted([tuple(r) for r in embedding_groups(df, pivots=pivots, side=side).collect()], key=str)
+        assert got == want
 
 
-def test_cells_are_dealt_over_chunks(spark, monkeypatch):
-    from tidewell.llm import embeddings
-
-    monkeypatch.setattr(embeddings, "CELL_SIDE", 50)
-    rows = sample()
-    got = sorted([tuple(r) for r in embedding_groups(spark.createDataFrame(rows, SCHEMA)).collect()], key=str)
-    assert got == slow(rows)
+def test_tree_splits_large_cells(spark):
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(1500, 3))
+    rows = [(i, e.astype(np.float32).tolist(), 1) for i, e in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    distinct = vectors(df).cache()
+    cells = cells_of(distinct, 0.9999, 4, 100).cache()
+    sizes = cells.groupBy("cell").count().collect()
+    assert max(r["cell"].count("/") for r in sizes) > 1 and max(r["count"] for r in sizes) <= 250
+    assert cells.where("home").count() == 1500 and cells.count() < 3000
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.9999).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_groups(df, 0.9999, 4, 100).collect()}
+    assert [got[i] for i in range(1500)] == want.tolist() and want.sum() > 50
 
 
 def test_empty_table(spark):
