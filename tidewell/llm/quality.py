@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (gives pa.compute)
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, unit_hash
+from .shared import CUTS, clear_cuts, cut, unit_hash
 from .words import Tokens
 
 #: Buckets of hashed one- and two-token grams; two more count three-token grams new to their text and seen in it before.
@@ -26,7 +27,7 @@ SMOOTHING = 1.0
 EVIDENCE = 8.0
 SEED = 23
 #: UTF-8 bytes of the texts that a task takes at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Log ratios and draw keys are kept in fixed point, so that sums and order don't depend on how rows are batched.
 FIXED = 1 << 20
 
@@ -72,14 +73,18 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def with_grams(docs: DataFrame, carry: list[str], seed: int) -> DataFrame:
-    """c0, c1 and so on (the columns ``carry`` in order), id, noise (Gumbel), grams (16-bit buckets), fresh and again of each row, written out."""
-    noise = -F.log(-F.log(unit_hash("doc_id", "text", seed=seed)))
-    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
-    rows = docs.select(*named, F.col("doc_id").cast("long").alias("id"), noise.alias("noise"), F.col("text").cast("string").alias("text"))
-    more = [T.StructField("grams", T.BinaryType()), T.StructField("fresh", T.LongType()), T.StructField("again", T.LongType())]
-    fields = [f for f in rows.schema if f.name != "text"]
-    names = [f.name for f in fields]
+def draw_noise(seed: int) -> Column:
+    """Gumbel noise of a row, by its doc_id and text."""
+    return -F.log(-F.log(unit_hash("doc_id", "text", seed=seed)))
+
+
+def draw_key() -> Column:
+    return F.round((F.col("log_weight") + F.col("noise")) * F.lit(float(FIXED))).cast("long")
+
+
+def with_grams(docs: DataFrame, seed: int) -> DataFrame:
+    """id, noise, grams (16-bit buckets), fresh and again of each row, hashed once and written out for all that reads them."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), draw_noise(seed).alias("noise"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -87,10 +92,10 @@ def with_grams(docs: DataFrame, carry: list[str], seed: int) -> DataFrame:
                 grams, offsets, fresh, again = hashed_grams(batch.column("text"))
                 packed = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(2 * offsets), pa.py_buffer(grams)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in names], packed, pa.array(fresh, pa.int64()), pa.array(again, pa.int64())], [*names, "grams", "fresh", "again"]
+                    [batch.column("id"), batch.column("noise"), packed, pa.array(fresh, pa.int64()), pa.array(again, pa.int64())], ["id", "noise", "grams", "fresh", "again"]
                 )
 
-    return cut(rows.mapInArrow(run, T.StructType(fields + more)))
+    return cut(rows.mapInArrow(run, "id long, noise double, grams binary, fresh long, again long"))
 
 
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -150,27 +155,25 @@ def log_ratio(grams: DataFrame, sample: DataFrame) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
-def weigh(grams: DataFrame, ratio: np.ndarray, evidence: float) -> DataFrame:
-    """``grams`` without its grams, with n_grams, log_weight and draw_key of each row."""
-    fixed = np.round(ratio * FIXED).astype(np.int64)
-    shared = grams.sparkSession.sparkContext.broadcast(fixed)
-    fields = [f for f in grams.schema if f.name not in ("grams", "fresh", "again")]
-    names = [f.name for f in fields]
+def weights(found: np.ndarray, at: np.ndarray, fresh: np.ndarray, again: np.ndarray, ratio: np.ndarray, evidence: float) -> tuple[np.ndarray, np.ndarray]:
+    """Number of n-grams and log weight of each text."""
+    sums = np.r_[0, np.cumsum(ratio[found])]
+    total = sums[at[1:]] - sums[at[:-1]] + fresh * ratio[BUCKETS] + again * ratio[BUCKETS + 1]
+    n = np.diff(at) + fresh + again
+    return n, evidence * total / FIXED / np.maximum(n, 1)
+
+
+def weigh(grams: DataFrame, ratio: Broadcast, evidence: float) -> DataFrame:
+    """id, n_grams, log_weight and draw_key of each row of ``grams``, written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = shared.value
         for batch in batches:
-            found, at = unpacked(batch.column("grams"))
             fresh, again = (batch.column(c).to_numpy() for c in ("fresh", "again"))
-            sums = np.r_[0, np.cumsum(ratio[found])]
-            total = sums[at[1:]] - sums[at[:-1]] + fresh * ratio[BUCKETS] + again * ratio[BUCKETS + 1]
-            n = np.diff(at) + fresh + again
-            weight = evidence * total / FIXED / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n), pa.array(weight)], [*names, "n_grams", "log_weight"])
+            n, weight = weights(*unpacked(batch.column("grams")), fresh, again, ratio.value, evidence)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("noise"), pa.array(n), pa.array(weight)], ["id", "noise", "n_grams", "log_weight"])
 
-    more = [T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())]
-    key = F.round((F.col("log_weight") + F.col("noise")) * F.lit(float(FIXED))).cast("long")
-    return grams.mapInArrow(run, T.StructType(fields + more)).withColumn("draw_key", key)
+    weighed = grams.mapInArrow(run, "id long, noise double, n_grams long, log_weight double")
+    return cut(weighed.select("id", "n_grams", "log_weight", draw_key().alias("draw_key")))
 
 
 def fitted_curve(weight: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -212,16 +215,17 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int:
     return low
 
 
-def draw(
-    docs: DataFrame, labels: DataFrame, carry: list[str], most_labelled: int, evidence: float, seed: int, share: float | None
-) -> tuple[DataFrame, Column]:
-    """Weighed rows with the columns ``carry`` as c0, c1 and so on, and whether each is drawn."""
+def draw(docs: DataFrame, labels: DataFrame, most_labelled: int, evidence: float, seed: int, share: float | None) -> tuple[DataFrame, Broadcast, int]:
+    """Weighed rows, the fixed-point log ratio of each feature, and the smallest draw key that is kept."""
+    spark = docs.sparkSession
     sample = cut(labelled_sample(labels, most_labelled))
-    grams = with_grams(docs, carry, seed)
-    weighed = weigh(grams, log_ratio(grams, sample), evidence)
-    keys = cut(weighed.select("id", "log_weight", "draw_key"))
-    k = target_count(keys, sample) if share is None else round(share * keys.count())
-    return weighed, F.col("draw_key") >= F.lit(kth_largest(keys, "draw_key", k)) if k else F.lit(False)
+    since = len(CUTS)
+    grams = with_grams(docs, seed)
+    ratio = spark.sparkContext.broadcast(np.round(log_ratio(grams, sample) * FIXED).astype(np.int64))
+    weighed = weigh(grams, ratio, evidence)
+    clear_cuts(spark, since, but=weighed)
+    k = target_count(weighed, sample) if share is None else round(share * weighed.count())
+    return weighed, ratio, kth_largest(weighed, "draw_key", k) if k else (1 << 63) - 1
 
 
 def resample(
@@ -246,15 +250,27 @@ def resample(
     their own weight. One row per input row; other columns are ignored; an
     empty table gives none.
     """
-    weighed, drawn = draw(docs, labels, [], most_labelled, evidence, seed, share)
-    return weighed.select(F.col("id").alias("doc_id"), "n_grams", "log_weight", "draw_key", drawn.alias("kept"))
+    weighed, _, least = draw(docs, labels, most_labelled, evidence, seed, share)
+    return weighed.select(F.col("id").alias("doc_id"), "n_grams", "log_weight", "draw_key", (F.col("draw_key") >= F.lit(least)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that resampling keeps, columns as they came. Each row is judged by its own text, whatever its doc_id.
 
-    Rows and n-grams are written out together once and filtered where they
-    lie, so no text is shuffled.
+    Texts are hashed and weighed a second time where they are read, which
+    takes less than to shuffle them or to hold a second copy of them.
     """
-    weighed, drawn = draw(docs, labels, docs.columns, MOST_LABELLED, EVIDENCE, SEED, None)
-    return weighed.where(drawn).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    since, spark = len(CUTS), docs.sparkSession
+    _, ratio, least = draw(docs, labels, MOST_LABELLED, EVIDENCE, SEED, None)
+    clear_cuts(spark, since)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], draw_noise(SEED).alias("noise"))
+    names, text = rows.columns, f"c{docs.columns.index('text')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text):
+                _, weight = weights(*hashed_grams(batch.column(text)), ratio.value, EVIDENCE)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], [*names, "log_weight"])
+
+    weighed = rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("log_weight", T.DoubleType())]))
+    return weighed.where(draw_key() >= F.lit(least)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
