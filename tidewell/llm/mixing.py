@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window as W
 
 from .shared import WORD_PATTERN, cut
 
@@ -15,7 +15,8 @@ MOST_EPOCHS = 3
 SEED = 8
 #: Words of a remaining budget left to the dynamic program; it gets at most three times as many, or one longest document more.
 FIT_WORDS = 4096
-BINS = 1024
+#: Leading bits of the hash by which the documents of one length are cut.
+BIN_BITS = 10
 
 
 def n_words(text: Column) -> Column:
@@ -99,7 +100,10 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     source miss its target by what no subset found can fill.
 
     Only length counts reach one task, one source each. A length that very many
-    documents share is cut by hash bins before it is ordered. Null texts have
+    documents share is cut by ranges of the hash before it is ordered, and what
+    is taken of it comes down to one number, the largest hash that is. So the
+    last join is with one row for each source and length, which Spark
+    broadcasts where it is small: texts are not shuffled then. Null texts have
     size 0 and their documents no copies beyond whole epochs; a null source is
     a source, a null doc_id a value. Rows that repeat doc_id, text and source count
     each, but are taken or left together. One row per input row; an empty table
@@ -111,19 +115,17 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         n_words(F.col("text")).alias("size"),
         F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")).alias("h"),
     )
-    binned = F.pmod(F.col("h"), F.lit(BINS)).cast("int")
-    marks = cut(base.select("source", "size", "h", binned.alias("bin")))
-    narrow = cut(marks.groupBy("source", "size", "bin").agg(F.count("*").alias("n")).withColumn("words", F.col("size") * F.col("n")))
+    # Words are counted once where few columns are kept; whole rows are read and counted again at the end.
+    marks = cut(base if keep else base.drop("row"))
+    binned = F.shiftright("h", 64 - BIN_BITS)
+    narrow = cut(marks.groupBy("source", "size", binned.alias("bin")).agg(F.count("*").alias("n")).withColumn("words", F.col("size") * F.col("n")))
     targets = cut(source_targets(narrow.select("source", F.col("words").alias("size"))))
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(0)
     plan = targets.withColumn("epochs", epochs.cast("long")).withColumn(
         "budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     )
-    lengths = (
-        narrow.where("size > 0").groupBy("source", "size").agg(F.sum("n").alias("n")).withColumnRenamed("source", "s")
-        .join(plan.select("sid", "source", "budget"), F.col("s").eqNullSafe(F.col("source")))
-        .select("sid", "size", "n", "budget")
-    )
+    each = narrow.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    lengths = each.where("size > 0").groupBy("sid", "size").agg(F.sum("n").alias("n"), F.first("budget").alias("budget"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
@@ -131,28 +133,22 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         return pd.DataFrame({"sid": pdf["sid"], "size": pdf["size"], "quota": took})
 
     quotas = lengths.groupBy("sid").applyInPandas(choose, "sid long, size long, quota long")
-    each = narrow.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).select(
-        "sid", "source", "source_size", "target", "epochs", "size", "bin", "n"
-    )
-    before = F.sum("n").over(Window.partitionBy("sid", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    offer = cut(
-        each.withColumn("before", F.coalesce(before, F.lit(0)))
-        .join(quotas, ["sid", "size"], "left")
-        .withColumn("extra", F.greatest(F.lit(0), F.least("n", F.coalesce("quota", F.lit(0)) - F.col("before"))))
-        .select(F.col("source").alias("s"), "source_size", "target", "epochs", F.col("size").alias("z"), F.col("bin").alias("b"), "n", "extra")
-    )
-    # Where a part of a bin is taken: the largest hash that still is. Only hashes are ordered, a bin at a time.
-    cell = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bin") == F.col("b"))
-    place = F.row_number().over(Window.partitionBy("source", "size", "bin").orderBy("h"))
-    parted = marks.join(offer.where("extra > 0 AND extra < n"), cell).select("source", "size", "bin", "h", "extra", place.alias("place"))
-    last = parted.where("place = extra").select(F.col("source").alias("ls"), F.col("size").alias("lz"), F.col("bin").alias("lb"), F.col("h").alias("last"))
-    limits = cut(
-        offer.join(last, F.col("s").eqNullSafe(F.col("ls")) & (F.col("z") == F.col("lz")) & (F.col("b") == F.col("lb")), "left").drop("ls", "lz", "lb")
-    )
-    taken = F.coalesce((F.col("extra") == F.col("n")) | (F.col("h") <= F.col("last")), F.lit(False)) & (F.col("extra") > 0)
-    return base.withColumn("bin", binned).join(limits, cell).select(
-        "row", "size", "source_size", "target", (F.col("epochs") + taken.cast("long")).alias("copies")
+    # The bin in which the quota of a length is reached, and how many documents it takes of it.
+    up_to = F.sum("n").over(W.partitionBy("sid", "size").orderBy("bin"))
+    cells = each.withColumn("up_to", up_to).join(quotas, ["sid", "size"], "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
+    met = F.when((F.col("quota") > 0) & F.col("quota").between(F.col("up_to") - F.col("n") + 1, F.col("up_to")), F.struct("bin", (F.col("quota") - F.col("up_to") + F.col("n")).alias("need")))
+    lines = cut(
+        cells.groupBy("source", "size").agg(F.max(met).alias("met"), *[F.first(c).alias(c) for c in ("source_size", "target", "epochs")])
+        .select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "epochs", "met.bin", "met.need")
     )
+    cell = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    # Only hashes are ordered, a bin at a time, and equal ones are counted before.
+    inside = marks.join(lines.where("need IS NOT NULL"), cell & (binned == F.col("bin"))).groupBy("source", "size", "need", "h").agg(F.count("*").alias("n"))
+    reached = F.sum("n").over(W.partitionBy("source", "size").orderBy("h"))
+    last = inside.withColumn("reached", reached).where("reached >= need").groupBy(F.col("source").alias("ls"), F.col("size").alias("lz")).agg(F.min("h").alias("last"))
+    limits = cut(lines.join(last, F.col("s").eqNullSafe(F.col("ls")) & (F.col("z") == F.col("lz")), "left").select("s", "z", "source_size", "target", "epochs", "last"))
+    taken = F.coalesce(F.col("h") <= F.col("last"), F.lit(False))
+    return (marks if keep else base).join(limits, cell).select("row", "size", "source_size", "target", (F.col("epochs") + taken.cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
