@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .shared import unit_hash
 
@@ -19,10 +20,10 @@ EMBED = 8
 EPOCHS = 10
 BATCH = 64
 RATE = 0.01
-#: Bounds of the labelled sample that trains the network: texts of one language, bytes of one text, and languages.
-DOCS_PER_LANG = 1500
-CHARS_PER_DOC = 700
-MOST_LANGS = 256
+#: Bound of the labelled sample that trains the network: pieces of WINDOW characters from all places of all labelled texts,
+#: the same number of each language, but LEAST_PER_LANG of each at least, however many languages there are.
+MOST_PIECES = 6_000
+LEAST_PER_LANG = 50
 UNKNOWN = "und"
 
 
@@ -142,25 +143,30 @@ def train(texts: list[bytes], labels: list[str], seed: int = 11, epochs: int = E
     return ByteConvNet(langs, p["e"], [p[f"f{k}"] for k in span], [p[f"b{k}"] for k in span], p["o"], p["ob"])
 
 
-def train_on(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> ByteConvNet | None:
+def train_on(labelled: DataFrame, most_pieces: int = MOST_PIECES) -> ByteConvNet | None:
     """A network from ``labelled`` (doc_id, text, lang), or None if no row has both text and language.
 
-    At most ``docs_per_lang`` texts of each of the MOST_LANGS commonest
-    languages train it, each by CHARS_PER_DOC characters from a seeded place.
+    Each labelled text is cut into pieces of WINDOW characters; those with the
+    smallest seeded hash train it, at most ``most_pieces`` in all, shared
+    evenly by the languages (LEAST_PER_LANG of each at least).
     """
-    usable = labelled.where("lang IS NOT NULL AND length(text) > 0").select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    usable = labelled.where("lang IS NOT NULL AND length(text) > 0").select("doc_id", "text", "lang", F.ceil(F.length("text") / WINDOW).cast("int").alias("n"))
+    counts = usable.groupBy("lang").agg(F.sum("n").alias("n")).collect()  # one row for each language
     if not counts:
         return None
-    rates = labelled.sparkSession.createDataFrame(
-        [(r.lang, docs_per_lang / r.n) for r in counts], "lang string, rate double"
-    )  # at most MOST_LANGS rows
-    place = F.floor(unit_hash("doc_id", seed=2) * F.greatest(F.length("text") - CHARS_PER_DOC, F.lit(0))) + 1
+    each = max(LEAST_PER_LANG, most_pieces // len(counts))
+    # Twice what is wanted is drawn by rate, so that little is ordered.
+    rates = labelled.sparkSession.createDataFrame([(r.lang, 2 * each / r.n) for r in counts], "lang string, rate double")
+    by_hash = lambda i: F.struct(unit_hash("doc_id", i, seed=1).alias("u"), i.alias("i"))
+    places = F.filter(F.transform(F.sequence(F.lit(0), F.col("n") - 1), by_hash), lambda p: p["u"] < F.col("rate"))
     drawn = (
         usable.join(F.broadcast(rates), "lang")
-        .where(unit_hash("doc_id", seed=1) < F.col("rate"))
-        .select("lang", F.substring("text", place.cast("int"), F.lit(CHARS_PER_DOC)).alias("piece"))
-        .limit(2 * docs_per_lang * len(counts))
+        .withColumn("p", F.explode(places))
+        .select("lang", F.col("p.u").alias("u"), F.substring("text", F.col("p.i") * WINDOW + 1, F.lit(WINDOW)).alias("piece"))
+        .distinct()
+        .withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("u", "piece")))
+        .where(F.col("k") <= each)
+        .select("lang", "piece")
         .collect()
     )
     drawn.sort(key=lambda r: (r.lang, r.piece))
@@ -208,7 +214,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def identify_languages(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
+def identify_languages(docs: DataFrame, most_pieces: int = MOST_PIECES) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of ``docs`` (doc_id, text, lang).
 
     The network learns from rows whose crc32(doc_id as text) mod 3 is not 1
@@ -219,5 +225,5 @@ def identify_languages(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> D
     ``und`` with score 0. One row per input row, repeats included.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    net = train_on(docs.where(~held_out & F.col("doc_id").isNotNull()), docs_per_lang)
+    net = train_on(docs.where(~held_out & F.col("doc_id").isNotNull()), most_pieces)
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net)
