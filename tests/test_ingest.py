@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,7 @@ from tidewell.operators import indexing as I
 from tidewell.operators import reports, series
 from tidewell.schemas import FACTS
 from tidewell.sources.facts import Facts
-from tidewell.sources.ingest import FactStore, compacted, dates_row, from_api, live_files, overlay, partitions_of, to_path
-from tidewell.sources.staging import staged
+from tidewell.sources.ingest import FactStore, append_identity, compacted, dates_row, end_of, from_api, live_files, overlay, partitions_of, rendered, start_of, to_path
 from tidewell.streaming import ingest as streaming
 
 DAY = dt.date(2024, 1, 1)
@@ -27,23 +27,128 @@ def test_api_rows_become_facts(spark):
     assert [(r.url, r["query"], r.date, r.sum_position) for r in got] == [("/p", "q", DAY, 0.0), ("/p", "q", DAY, 20.0)]
 
 
-def test_days_are_replaced_hours_merged_and_urls_purged(spark, tmp_path):
+FACT = "url string, date date, clicks int, impressions int, sum_position double"
+HOUR = "url string, hour int, date date, clicks int, impressions int, sum_position double"
+
+
+def clicks_of(df):
+    return sorted((r.url, r.date.isoformat(), r.clicks) for r in df.collect())
+
+
+def test_days_are_replaced_hours_merged(spark, tmp_path):
     store = FactStore(spark, str(tmp_path / "facts"))
-    schema = "url string, date date, clicks int, impressions int, sum_position double"
+    assert store.read("pages").collect() == [] and set(store.read("pages").columns) == {"url", "date", "clicks", "impressions", "sum_position", "site_id", "search_type"}
     next_day = DAY + dt.timedelta(1)
-    store.write_days("pages", spark.createDataFrame([("/a", DAY, 1, 10, 5.0), ("/a", DAY, 2, 10, 5.0), ("/b", next_day, 7, 70, 0.0)], schema), "s")
-    store.write_days("pages", spark.createDataFrame([("/c", DAY, 9, 90, 0.0)], schema), "s")
-    rows = lambda: sorted((r.url, r.clicks) for r in store.read("pages").collect())
-    assert rows() == [("/b", 7), ("/c", 9)]
-    store.purge_urls("pages", spark.createDataFrame([("/c",)], "url string"), "s", staged)
-    assert ("/b", 7) in rows()
-    hours = "url string, hour int, date date, clicks int, impressions int, sum_position double"
-    store.merge_hours(spark.createDataFrame([("/a", 1, DAY, 1, 1, 0.0), ("/a", 2, DAY, 5, 5, 0.0)], hours), "s", staged)
-    store.merge_hours(spark.createDataFrame([("/a", 1, DAY, 4, 4, 0.0)], hours), "s", staged)
+    store.write_days("pages", spark.createDataFrame([("/a", DAY, 1, 10, 5.0), ("/a", DAY, 2, 10, 5.0), ("/b", next_day, 7, 70, 0.0)], FACT), "s")
+    assert clicks_of(store.read("pages")) == [("/a", "2024-01-01", 3), ("/b", "2024-01-02", 7)]
+    store.write_days("pages", spark.createDataFrame([("/c", DAY, 9, 90, 0.0)], FACT), "s")
+    assert clicks_of(store.read("pages")) == [("/b", "2024-01-02", 7), ("/c", "2024-01-01", 9)]
+    store.merge_hours(spark.createDataFrame([("/a", 1, DAY, 1, 1, 0.0), ("/a", 2, DAY, 5, 5, 0.0)], HOUR), "s")
+    store.merge_hours(spark.createDataFrame([("/a", 1, DAY, 4, 4, 0.0)], HOUR), "s")
     assert sorted((r.hour, r.clicks) for r in store.read("hourly_pages").collect()) == [(1, 4), (2, 5)]
+    assert store.drop_old_hours(dt.date(2024, 3, 1)) == 1 and store.read("hourly_pages").count() == 0
     assert store.empty("dates").columns[0] == "date" and len(FACTS) == 10
 
 
+def test_purge_leaves_no_purged_row(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    next_day = DAY + dt.timedelta(1)
+    store.write_days("pages", spark.createDataFrame([("/a", DAY, 1, 10, 0.0), ("/a", next_day, 2, 10, 0.0), ("/b", next_day, 3, 10, 0.0)], FACT), "s")
+    store.write_days("pages", spark.createDataFrame([("/a", DAY, 5, 10, 0.0)], FACT), "other")
+    store.write_days("pages", spark.createDataFrame([("/a", DAY, 6, 10, 0.0)], FACT), "s", "image")
+    urls = spark.createDataFrame([("/a",), ("/a",)], "url string")
+    store.purge_urls("pages", urls, "s")
+    # A day on which only purged urls stood is gone; other sites and search types stay.
+    assert clicks_of(store.read("pages", site="s", search_type="web")) == [("/b", "2024-01-02", 3)]
+    assert [p[3] for p in store.partitions("pages", "s") if p[1] == "web"] == [next_day]
+    assert len(clicks_of(store.read("pages"))) == 3
+    store.purge_urls("pages", spark.createDataFrame([("/none",)], "url string"), "s")
+    assert len(clicks_of(store.read("pages"))) == 3
+
+
+def test_reads_open_only_partitions_of_the_period(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    days = [DAY + dt.timedelta(i) for i in range(40)]
+    store.write_days("pages", spark.createDataFrame([("/a", d, i, 10, 0.0) for i, d in enumerate(days)], FACT), "s")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    read = store.read("pages", "2024-01-10", "2024-01-12", "s", "web")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert all(c in filters for c in ("site_id", "search_type", "first_day", "tier"))
+    assert len(read.inputFiles()) == 40 and [c for *_, c in clicks_of(read)] == [9, 10, 11]
+    assert read.select(F.input_file_name().alias("f")).distinct().count() == 3
+
+
+def test_compaction_by_tier(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    days = [DAY + dt.timedelta(i) for i in range(130)]
+    rows = [("/a", d, i, 10, 0.0) for i, d in enumerate(days)]
+    store.write_days("pages", spark.createDataFrame(rows, FACT), "s")
+    store.write_days("pages", spark.createDataFrame(rows[:3], FACT), "s", "image")
+    before = clicks_of(store.read("pages"))
+    assert store.compact("pages", dt.date(2024, 5, 20)) > 5
+    found = {(k, t, d.isoformat()) for _, k, t, d in store.partitions("pages")}
+    # January is in a month; its quarter is not old enough; late weeks are weeks or days.
+    assert ("web", "d30", "2024-01-01") in found and ("image", "d30", "2024-01-01") in found
+    assert not any(t in ("raw", "d7") and d < "2024-04-01" for _, t, d in found)
+    assert clicks_of(store.read("pages")) == before
+    # A day in a merged month is replaced where it lies, and the others stay.
+    store.write_days("pages", spark.createDataFrame([("/new", dt.date(2024, 1, 17), 500, 500, 0.0)], FACT), "s")
+    assert clicks_of(store.read("pages", "2024-01-16", "2024-01-18", "s", "web")) == [("/a", "2024-01-16", 15), ("/a", "2024-01-18", 17), ("/new", "2024-01-17", 500)]
+    assert not any(t == "raw" and d < "2024-04-01" for _, _, t, d in store.partitions("pages") for d in [d.isoformat()])
+    store.compact("pages", dt.date(2025, 1, 1))
+    assert {(t, d.isoformat()) for _, k, t, d in store.partitions("pages") if k == "web"} == {("d90", "2024-01-01"), ("d90", "2024-04-01")}
+    assert len(clicks_of(store.read("pages"))) == len(before) and store.compact("pages", dt.date(2025, 1, 1)) == 0
+    marks = {(r.site_id, r.search_type): (r.oldest_date, r.newest_date) for r in store.watermarks("pages").collect()}
+    assert marks["s", "web"] == (DAY, days[-1]) and marks["s", "image"] == (DAY, days[2])
+
+
+def test_weeks_nest_in_months():
+    d = dt.date
+    assert start_of(d(2024, 2, 2), "d7") == d(2024, 2, 1) and start_of(d(2024, 1, 31), "d7") == d(2024, 1, 29)
+    assert end_of(d(2024, 1, 29), "d7") == d(2024, 1, 31) and end_of(d(2024, 2, 1), "d7") == d(2024, 2, 4)
+    assert end_of(d(2024, 2, 1), "d30") == d(2024, 2, 29) and end_of(d(2024, 4, 1), "d90") == d(2024, 6, 30)
+
+
+def test_identity_of_appended_rows(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    rows = [("/a", DAY, 1, 10, 0.5), ("/b", DAY, 2, 20, None), ("/b", DAY, 2, 20, None)]
+    df = spark.createDataFrame(rows, FACT)
+    mixed = spark.createDataFrame(rows[::-1], FACT).select(*df.columns[::-1]).repartition(3)
+    one = store.append_once("log", df)
+    assert one == store.append_once("log", mixed) and spark.read.parquet(f"{store.root}/log").count() == 3
+    assert append_identity(df.distinct()) != one != append_identity(spark.createDataFrame(rows[:2] + [rows[0]], FACT))
+    assert store.append_once("log", df.limit(1)) != one and spark.read.parquet(f"{store.root}/log").count() == 4
+
+
+def test_sync_states(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"))
+    row = lambda day, state, at: ("s", "pages", "web", day, state, at)
+    schema = "site_id string, table string, search_type string, date string, state string, at int"
+    store.note_sync(spark.createDataFrame([row("2024-01-01", "pending", 1), row("2024-01-02", "pending", 1)], schema))
+    store.note_sync(spark.createDataFrame([row("2024-01-01", "done", 2)], schema))
+    assert {r.date: r.state for r in store.sync_state().collect()} == {"2024-01-01": "done", "2024-01-02": "pending"}
+    with pytest.raises(Exception, match="no sync state"):
+        store.note_sync(spark.createDataFrame([row("2024-01-01", "lost", 2)], schema))
+
+
+def test_views_over_sites(spark, tmp_path):
+    for label, clicks in (("one", 1), ("two", 2)):
+        FactStore(spark, str(tmp_path / label)).write_days("pages", spark.createDataFrame([("/a", DAY, clicks, 10, 0.0)], FACT), label)
+    FactStore(spark, "").views({label: str(tmp_path / label) for label in ("one", "two", "none")} )
+    assert sorted((r.site, r.clicks) for r in spark.table("pages").collect()) == [("one", 1), ("two", 2)]
+
+
+def test_rendered_pages(spark):
+    df = spark.createDataFrame([("a,b", 1, None), (None, 2, 0.5)], "x string, n int, y double").orderBy("n")
+    assert json.loads(rendered(df, "json")) == [{"x": "a,b", "n": 1, "y": None}, {"x": None, "n": 2, "y": 0.5}]
+    assert rendered(df, "csv").split("\n")[0] == "x,n,y" and '"a,b",1' in rendered(df, "csv")
+    assert "a,b" in rendered(df, "table")
+    with pytest.raises(ValueError):
+        rendered(df, "xml")
+
+
 def test_overlay_compaction_and_tiers(spark):
     schema = "url string, date date, clicks int, impressions int, sum_position double, written int"
     old = spark.createDataFrame([("/a", DAY, 1, 1, 0.0, 1)], schema)
@@ -77,6 +182,12 @@ def test_stream_of_hours_and_days(spark, tmp_path):
     q = streaming.write_days(streaming.daily_facts(stream(), "1 hour"), store, "pages", "s", str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert {(r.date.isoformat(), r.clicks) for r in store.read("pages").collect()} == {("2024-01-01", 24), ("2024-01-02", 24)}
+    # Hours that a later batch of the same day does not hold stay.
+    store.merge_hours(spark.createDataFrame([("/a", 23, DAY, 9, 9, 0.0), ("/old", 23, DAY, 1, 1, 0.0)], HOUR), "s")
+    q = streaming.write_days(streaming.hourly_facts(stream()), store, "hourly_pages", "s", str(tmp_path / "ck2"))
+    q.awaitTermination(120)
+    hours = {(r.url, r.hour): r.clicks for r in store.read("hourly_pages", "2024-01-01", "2024-01-01").collect()}
+    assert len(hours) == 25 and hours["/a", 23] == 1 and hours["/old", 23] == 1
 
 
 def test_normalizer():

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..metrics import to_sum_position
 from ..schemas import DEVICES, FACTS, FactTable
+from .staging import staged
 
 
 def to_path(url: Column) -> Column:
@@ -32,8 +35,8 @@ def from_api(rows: DataFrame, table: str, date: str | None = None) -> DataFrame:
 
 
 def last_of_each(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
-    """Of rows that repeat a key, the one that arrived last."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(arrival)))
+    """Of rows that repeat a key, the one that arrived last; of several that arrived at once, the one with the largest hash."""
+    n = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(arrival), F.desc(F.xxhash64(*rows.columns))))
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
@@ -55,81 +58,248 @@ def dates_row(totals: DataFrame, devices: DataFrame, queries: DataFrame) -> Data
     return rows.select("date", *metrics, F.coalesce(share, F.lit(0.0)).alias("anonymized_impressions_pct"), *[F.coalesce(f"{m}_{d}", F.lit(0)).alias(f"{m}_{d}") for m in metrics for d in DEVICES])
 
 
+#: Days of a period after which its files are merged into the next one: days into weeks, weeks into months, months into quarters.
+TIER_DAYS = {"raw": 7, "d7": 30, "d30": 90}
+TIERS = ("raw", "d7", "d30", "d90")
+#: Younger days may still be written again.
+PENDING_DAYS = 4
+
+
+def start_of(day: dt.date, tier: str) -> dt.date:
+    """The first day of the day, week, month or quarter that a tier puts a day into; weeks begin on Mondays and on the first of a month, so tiers nest."""
+    month = day.replace(day=1)
+    if tier == "d7":
+        return max(month, day - dt.timedelta(day.weekday()))
+    return day if tier == "raw" else month if tier == "d30" else dt.date(day.year, 3 * ((day.month - 1) // 3) + 1, 1)
+
+
+def end_of(first: dt.date, tier: str) -> dt.date:
+    """The last day of the period of a tier that begins on ``first``."""
+    day = first
+    while start_of(day + dt.timedelta(1), tier) == first:
+        day += dt.timedelta(1)
+    return day
+
+
+def start_column(day: Column, tier: str) -> Column:
+    trunc = lambda unit: F.date_trunc(unit, day).cast("date")
+    return {"raw": day, "d7": F.greatest(trunc("week"), trunc("month")), "d30": trunc("month"), "d90": trunc("quarter")}[tier]
+
+
 @dataclass(frozen=True)
 class FactStore:
-    """Fact tables under a root, partitioned by site, search type, month and day.
+    """Fact tables under a root, partitioned by site, search type, tier and the first day of what a partition holds.
 
-    A day is replaced as a whole, so writing it twice changes nothing; Spark
-    prunes partitions by date and skips row groups by the clustered key.
+    A day lies in one partition. It is replaced as a whole, so writing it twice
+    changes nothing. Days come as partitions of their own (tier raw); ``compact``
+    merges those of closed weeks, months and quarters. Reads give a period, and
+    Spark opens only partitions that may hold its days; within them it skips
+    row groups by the clustered key.
     """
 
     spark: SparkSession
     root: str
 
-    PARTS = ("site_id", "search_type", "date_month", "day")
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def read(self, table: str) -> DataFrame:
-        rows = self.spark.read.option("mergeSchema", True).parquet(self.path(table))
-        return rows.drop("date_month", "day")
+    PARTS = ("site_id", "search_type", "tier", "first_day")
+
+    def path(self, table: str, *parts: str) -> str:
+        return "/".join([f"{self.root}/{table}", *(f"{k}={v}" for k, v in zip(self.PARTS, parts, strict=False))])
+
+    def hadoop(self, path: str):
+        """A path and its file system."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        where, fs = self.hadoop(path)
+        return fs.exists(where)
+
+    def delete(self, path: str) -> None:
+        where, fs = self.hadoop(path)
+        fs.delete(where, True)
+
+    def schema(self, table: str) -> T.StructType:
+        """The table's columns, counts as long (they are sums), and the partition columns."""
+        long = lambda f: f.name != "hour" and f.dataType == T.IntegerType()
+        fields = [T.StructField(f.name, T.LongType()) if long(f) else f for f in FACTS[table].schema()]
+        return T.StructType([*fields, *[T.StructField(p, T.DateType() if p == "first_day" else T.StringType()) for p in self.PARTS]])
+
+    def whole(self, table: str) -> DataFrame:
+        """All rows with their partition columns, by the table's schema: no footers are read, columns a file lacks are null, and a table without a file is empty."""
+        if not self.exists(self.path(table)):
+            return self.spark.createDataFrame([], self.schema(table))
+        return self.spark.read.schema(self.schema(table)).parquet(self.path(table))
+
+    def read(self, table: str, first: str | None = None, last: str | None = None, site: str | None = None, search_type: str | None = None) -> DataFrame:
+        """Rows of a period, site and search type (all where they are not given), with site_id and search_type."""
+        rows = self.whole(table)
+        if site is not None:
+            rows = rows.where(F.col("site_id") == site)
+        if search_type is not None:
+            rows = rows.where(F.col("search_type") == search_type)
+        if last is not None:
+            rows = rows.where((F.col("first_day") <= F.lit(last).cast("date")) & (F.col("date") <= F.lit(last).cast("date")))
+        if first is not None:
+            day = dt.date.fromisoformat(first)
+            begun = F.lit(False)
+            for tier in TIERS:
+                begun = begun | ((F.col("tier") == tier) & (F.col("first_day") >= F.lit(start_of(day, tier))))
+            rows = rows.where(begun & (F.col("date") >= F.lit(day)))
+        return rows.drop("tier", "first_day")
 
     def empty(self, table: str) -> DataFrame:
         return self.spark.createDataFrame([], FACTS[table].schema())
 
-    def write_days(self, table: str, rows: DataFrame, site: str, search_type: str = "web", files: int | None = None) -> None:
-        """Replace every day that ``rows`` holds."""
+    def put(self, table: str, placed: DataFrame, files: int | None = None) -> None:
+        """Write rows with partition columns, replacing their partitions. Columns that the table doesn't have are left out."""
         t: FactTable = FACTS[table]
-        day = F.col("date").cast("date")
-        keyed = summed_by_key(rows, table).select(
-            "*", F.lit(site).alias("site_id"), F.lit(search_type).alias("search_type"), F.date_format(day, "yyyy-MM").alias("date_month"), F.date_format(day, "yyyy-MM-dd").alias("day")
-        )
-        # Days are spread over tasks by day and key range, so a large day is not one task.
-        spread = keyed.repartitionByRange(*([files] if files else []), "day", *t.cluster)
+        placed = placed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema(table) if f.name in placed.columns])
+        # Partitions are spread over tasks by key range, so a large one is not one task.
+        spread = placed.repartitionByRange(*([files] if files else []), *self.PARTS, *t.cluster)
         (
-            spread.sortWithinPartitions("day", *t.cluster).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            spread.sortWithinPartitions(*self.PARTS, *t.cluster).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .option("compression", "zstd").partitionBy(*self.PARTS).parquet(self.path(table))
         )
 
-    def days(self, table: str, site: str, search_type: str, days: list[str]) -> DataFrame:
-        rows = self.spark.read.option("mergeSchema", True).parquet(self.path(table))
-        return rows.where((F.col("site_id") == site) & (F.col("search_type") == search_type) & F.col("day").cast("string").isin(*days))
-
-    def merge_hours(self, rows: DataFrame, site: str, staged, search_type: str = "web") -> None:
-        """Upsert hourly rows by (url, date, hour): new ones win. ``staged`` writes the merged rows aside before the day is replaced."""
-        days = [str(r.date) for r in rows.select("date").distinct().collect()]  # the days of one sync
-        try:
-            old = self.days("hourly_pages", site, search_type, days).select(*rows.columns)
-        except Exception as err:  # the table has no file yet
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
-            old = rows.limit(0)
+    def tier_of(self, table: str, site: str, search_type: str, day: dt.date) -> str:
+        """The tier of the partition that holds a day; raw if none does."""
+        return next((t for t in TIERS[:0:-1] if self.exists(self.path(table, site, search_type, t, start_of(day, t).isoformat()))), "raw")
+
+    def write_days(self, table: str, rows: DataFrame, site: str, search_type: str = "web", files: int | None = None) -> None:
+        """Replace every day that ``rows`` holds, in the partition where it lies."""
+        keyed = summed_by_key(rows, table).withColumn("date", F.col("date").cast("date"))
+        days = [r.date for r in keyed.select("date").distinct().collect()]  # the days of one sync
+        tiers = {day: self.tier_of(table, site, search_type, day) for day in days}
+        self.replace(table, keyed, site, search_type, tiers, files)
+
+    def replace(self, table: str, rows: DataFrame, site: str, search_type: str, tiers: dict[dt.date, str], files: int | None = None) -> None:
+        """Write ``rows`` in place of the days in ``tiers``; other days of merged partitions stay."""
+        by_tier: dict[str, list[dt.date]] = {}
+        for day, tier in tiers.items():
+            by_tier.setdefault(tier, []).append(day)
+        placed = None
+        for tier, days in by_tier.items():
+            part = rows.where(F.col("date").isin(days))
+            if tier != "raw":
+                starts = sorted({start_of(d, tier) for d in days})
+                old = self.whole(table).where((F.col("site_id") == site) & (F.col("search_type") == search_type) & (F.col("tier") == tier) & F.col("first_day").isin(starts))
+                part = part.unionByName(staged(old.where(~F.col("date").isin(days)).drop(*self.PARTS)), allowMissingColumns=True)
+            part = part.withColumn("tier", F.lit(tier)).withColumn("first_day", start_column(F.col("date"), tier))
+            placed = part if placed is None else placed.unionByName(part)
+        if placed is not None:
+            self.put(table, placed.withColumn("site_id", F.lit(site)).withColumn("search_type", F.lit(search_type)), files)
+
+    def merge_hours(self, rows: DataFrame, site: str, search_type: str = "web") -> None:
+        """Upsert hourly rows by (url, date, hour): new ones win, hours that are not among them stay."""
+        days = [r.date for r in rows.select(F.col("date").cast("date").alias("date")).distinct().collect()]  # the days of one sync
+        old = self.whole("hourly_pages").where((F.col("site_id") == site) & (F.col("search_type") == search_type) & F.col("date").isin(days)).select(*rows.columns)
         both = old.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
         self.write_days("hourly_pages", staged(last_of_each(both, ["url", "date", "hour"], "_new").drop("_new")), site, search_type)
 
-    def purge_urls(self, table: str, urls: DataFrame, site: str, staged, search_type: str = "web") -> None:
-        """Rewrite the days that hold any of the urls (url) without them."""
-        whole = self.spark.read.option("mergeSchema", True).parquet(self.path(table)).where((F.col("site_id") == site) & (F.col("search_type") == search_type))
-        hit = whole.join(urls.select("url"), "url", "left_semi").select("day").distinct()
-        kept = whole.join(hit, "day", "left_semi").join(urls.select("url"), "url", "left_anti")
-        self.write_days(table, staged(kept.drop(*self.PARTS)), site, search_type)
+    def purge_urls(self, table: str, urls: DataFrame, site: str, search_type: str = "web") -> None:
+        """Rewrite the partitions that hold any of the urls (url) without them; those that hold nothing else are deleted."""
+        mine = self.whole(table).where((F.col("site_id") == site) & (F.col("search_type") == search_type))
+        wanted = urls.select("url").distinct()
+        hit = staged(mine.join(wanted, "url", "left_semi").select("tier", "first_day").distinct())
+        kept = staged(mine.join(hit, ["tier", "first_day"], "left_semi").join(wanted, "url", "left_anti"))
+        self.put(table, kept)
+        for r in hit.join(kept.select("tier", "first_day").distinct(), ["tier", "first_day"], "left_anti").collect():  # partitions, not rows
+            self.delete(self.path(table, site, search_type, r.tier, r.first_day.isoformat()))
+
+    def partitions(self, table: str, site: str | None = None) -> list[tuple[str, str, str, dt.date]]:
+        """(site, search type, tier, first day) of each partition of a site or of all, from the names of folders alone."""
+        found = [()]
+        for depth in range(len(self.PARTS)):
+            deeper = []
+            for parts in found:
+                where, fs = self.hadoop(self.path(table, *parts))
+                names = [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()] if fs.exists(where) else []
+                deeper += [(*parts, n.partition("=")[2]) for n in names if n.startswith(f"{self.PARTS[depth]}=")]
+            found = [p for p in deeper if depth or site is None or p[0] == site]
+        return sorted((a, b, t, dt.date.fromisoformat(d)) for a, b, t, d in found)
+
+    def compact(self, table: str, today: dt.date, site: str | None = None) -> int:
+        """Merge days of closed weeks, weeks of closed months and months of closed quarters; how many partitions were made.
+
+        A period is merged once its last day is older than TIER_DAYS of its
+        parts. Search types are never merged, hours not at all. The new
+        partition is written before its parts are deleted, so a read in between
+        sees both; parts that an interrupted run has left are deleted by the
+        next one.
+        """
+        if table == "hourly_pages":
+            return 0
+        made = 0
+        for fine, coarse in zip(TIERS, TIERS[1:], strict=False):
+            parts = self.partitions(table, site)
+            cutoff = today - dt.timedelta(max(TIER_DAYS[fine], PENDING_DAYS))
+            groups: dict[tuple[str, str, dt.date], list[dt.date]] = {}
+            for where, kind, tier, first in parts:
+                if tier == fine and end_of(start_of(first, coarse), coarse) < cutoff:
+                    groups.setdefault((where, kind, start_of(first, coarse)), []).append(first)
+            for (where, kind, start), firsts in groups.items():
+                if self.exists(self.path(table, where, kind, coarse, start.isoformat())):
+                    self.delete_all(table, where, kind, fine, firsts)
+                    continue
+                rows = self.whole(table).where(
+                    (F.col("site_id") == where) & (F.col("search_type") == kind) & (F.col("tier") == fine) & F.col("first_day").isin(firsts)
+                )
+                self.put(table, rows.withColumn("tier", F.lit(coarse)).withColumn("first_day", F.lit(start)))
+                self.delete_all(table, where, kind, fine, firsts)
+                made += 1
+        return made
+
+    def delete_all(self, table: str, site: str, search_type: str, tier: str, firsts: list[dt.date]) -> None:
+        for first in firsts:
+            self.delete(self.path(table, site, search_type, tier, first.isoformat()))
+
+    def drop_old_hours(self, today: dt.date, keep_days: int = 14) -> int:
+        """Delete hourly partitions older than ``keep_days``; how many there were."""
+        old = [p for p in self.partitions("hourly_pages") if p[3] < today - dt.timedelta(keep_days)]
+        for site, kind, tier, first in old:
+            self.delete_all("hourly_pages", site, kind, tier, [first])
+        return len(old)
+
+    def watermarks(self, table: str) -> DataFrame:
+        """The oldest and newest day of each site and search type."""
+        return self.whole(table).groupBy("site_id", "search_type").agg(F.min("date").alias("oldest_date"), F.max("date").alias("newest_date"))
+
+    def note_sync(self, states: DataFrame) -> None:
+        """Append sync states (site_id, table, search_type, date, state, at); a state is pending, inflight, done or failed."""
+        columns = ["site_id", "table", "search_type", "date", "state", "at"]
+        known = F.col("state").isin(*SYNC_STATES)
+        checked = F.when(known, F.col("state")).otherwise(F.raise_error(F.concat(F.lit("no sync state "), F.coalesce("state", F.lit("null")))))
+        states.withColumn("state", checked).select(*columns).write.mode("append").parquet(f"{self.root}/sync_state")
+
+    def sync_state(self) -> DataFrame:
+        """The latest state of each site, table, search type and day."""
+        rows = self.spark.read.parquet(f"{self.root}/sync_state")
+        return last_of_each(rows, ["site_id", "table", "search_type", "date"], "at")
+
+    def append_once(self, name: str, rows: DataFrame) -> str:
+        """Add rows under their identity: adding the same rows again, in any order, changes nothing."""
+        identity = append_identity(rows)
+        rows.withColumn("append_id", F.lit(identity)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("append_id").parquet(f"{self.root}/{name}")
+        return identity
 
     def views(self, sites: dict[str, str]) -> None:
-        """A view of each table over several stores (label to root), by column name, with the label as ``site``."""
+        """A view of each table over several stores (label to root), with the label as ``site``."""
         for name in FACTS:
-            parts = []
-            for label, root in sites.items():
-                try:
-                    parts.append(FactStore(self.spark, root).read(name).withColumn("site", F.lit(label)))
-                except Exception as err:
-                    if "PATH_NOT_FOUND" not in str(err):
-                        raise
+            parts = [store.read(name).withColumn("site", F.lit(label)) for label, root in sites.items() if (store := FactStore(self.spark, root)).exists(store.path(name))]
             if parts:
-                whole = parts[0]
-                for p in parts[1:]:
-                    whole = whole.unionByName(p, allowMissingColumns=True)
-                whole.createOrReplaceTempView(name)
+                reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).createOrReplaceTempView(name)
+
+
+SYNC_STATES = ("pending", "inflight", "done", "failed")
+
+
+def append_identity(rows: DataFrame) -> str:
+    """A hash of rows and how often each comes, whatever the order of rows and columns; sums of row hashes, so nothing is sorted."""
+    told = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    digest = F.sha2(told, 256)
+    part = lambda i: F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(part(i)), F.lit(0).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return rows.agg(F.sha2(F.concat_ws(":", F.lit(",".join(sorted(rows.columns))), F.count("*").cast("string"), *sums), 256).alias("id")).first().id
 
 
 def overlay(lake: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -142,9 +312,6 @@ def compacted(files: DataFrame, table: str, written_at: str) -> DataFrame:
     return last_of_each(files, list(FACTS[table].key), written_at).sortWithinPartitions(*FACTS[table].cluster)
 
 
-TIER_DAYS = {"raw": 1, "d7": 7, "d30": 30, "d90": 90}
-
-
 def partitions_of(first: str, last: str, grain: str = "day") -> list[str]:
     """Names of the days, weeks (by Monday), months or quarters that a period meets."""
     a, b = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
@@ -180,3 +347,16 @@ def export(df: DataFrame, kind: str, path: str) -> None:
         df.write.mode("overwrite").json(path)
     else:
         raise ValueError(f"no export {kind!r}")
+
+
+def rendered(page: DataFrame, kind: str) -> str:
+    """A page of results as json (a list of rows), csv (with a header) or table, as text; pages are bounded by their limit."""
+    if kind == "table":
+        pdf = page.toPandas()
+        return pdf.to_string(index=False)
+    if kind == "json":
+        return "[" + ",".join(r.j for r in page.select(F.to_json(F.struct(*page.columns), {"ignoreNullFields": "false"}).alias("j")).collect()) + "]"
+    if kind == "csv":
+        lines = page.select(F.to_csv(F.struct(*page.columns)).alias("c")).collect()
+        return "\n".join([",".join(page.columns), *(r.c for r in lines)])
+    raise ValueError(f"no output {kind!r}")

@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet and read it again, so that loops keep short plans and lost executors cost no replay."""
+    """Write ``df`` as Parquet and read it again, so that loops keep short plans and lost executors cost no replay.
+
+    The folder is this application's, below ``spark.checkpoint.dir``; where
+    that is missing, a session on one machine takes /tmp/checkpoints and a
+    cluster raises, as its executors would not see each other's files.
+    """
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{root}/tidewell/staged-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(named or '/tmp/checkpoints').rstrip('/')}/tidewell/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,10 +26,14 @@ def daily_facts(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def write_days(stream: DataFrame, store: FactStore, table: str, site: str, checkpoint: str) -> StreamingQuery:
-    """Each batch replaces the days it completes; a batch that is run again writes the same days."""
+    """Each batch replaces the days it completes, or adds its hours to those that are stored; a batch that is run again writes the same rows."""
 
     def put(batch: DataFrame, _epoch: int) -> None:
-        if not batch.isEmpty():
+        if batch.isEmpty():
+            return
+        if table == "hourly_pages":
+            store.merge_hours(batch, site)
+        else:
             store.write_days(table, batch, site)
 
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
