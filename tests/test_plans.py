@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from tidewell.plans import archetypes as A
 from tidewell.plans import compare as C
 from tidewell.plans import planner as P
 from tidewell.plans.periods import Period, gaps, islands, preset, routes_to_live, spans
-from tidewell.plans.spec import QueryError, and_, between, eq, gt, gte, in_array, leaves, like, lt, lte, not_, or_, period_of, regex, select, top_level
+from tidewell.plans.spec import Group, QueryError, and_, between, eq, gt, gte, in_array, leaves, like, lt, lte, not_, or_, period_of, regex, select, top_level
 
 ROWS = [
     ("/a", "red shoe", "2024-01-01", 5, 100, 300.0), ("/a", "red shoe", "2024-01-02", 1, 50, 0.0), ("/b", "blue shoe", "2024-01-01", 0, 0, 0.0),
@@ -90,6 +91,10 @@ def test_detail_fills_days_with_zero(lake):
         lambda: select("page").where(gte("date", "2024-02-30")).spec.checked(), lambda: select("page").where(gte("clicks", float("nan"))).spec.checked(),
         lambda: P.plan(select("country", "page").spec), lambda: P.plan(select("device").spec), lambda: P.plan(select("hour", "query").spec),
         lambda: in_array("page", []), lambda: or_(eq("page", "/a"), gte("date", "2024-01-01")), lambda: not_(gte("clicks", 3)), lambda: or_(and_(eq("page", "/a"))),
+        lambda: or_(eq("page", "/a"), gte("clicks", 5)), lambda: select("page").where(Group("or", (eq("page", "/a"), gte("clicks", 5)))).spec.checked(),
+        lambda: select("page").where(eq("searchType", "maps")).spec.checked(), lambda: select("page").where(not_(eq("searchType", "web"))).spec.checked(),
+        lambda: select("page").prefilter(gte("clicks", "many")).spec.checked(), lambda: select("page").prefilter(eq("page", "/a")).spec.checked(),
+        lambda: select("page").prefilter(gte("fame", 1)).spec.checked(),
     ],
 )
 def test_wrong_specifications_are_refused(make):
@@ -144,3 +149,27 @@ def test_canonical_variants_collect_only_the_first(lake):
     whole = {r.queryCanonical: r for r in P.canonical_variants(lake, select("queryCanonical").where(JAN).spec, most=1000).collect()}
     got = found.collect()
     assert got and all(r.variants == "||".join(whole[r.queryCanonical].variants.split("||")[:2]) and r.variant_count == whole[r.queryCanonical].variant_count for r in got)
+
+
+def test_search_type_of_a_filter_reaches_the_rows(spark, lake):
+    both = P.Lake({k: v.withColumn("search_type", F.lit("web")).unionByName(v.withColumn("search_type", F.lit("image")).withColumn("clicks", F.col("clicks") * 10)) for k, v in lake.tables.items()}, lake.query_dim)
+    clicks = lambda *f, **k: {r.page: r.clicks for r in P.run(both, replace(select("page").where(JAN, *f).spec, **k)).collect()}
+    assert clicks()["/a"] == 66 and clicks(eq("searchType", "image"))["/a"] == 60 and clicks(eq("searchType", "web"))["/a"] == 6
+    assert clicks(eq("searchType", "image"), search_type="web")["/a"] == 6  # the specification's own comes first
+    assert clicks(and_(eq("searchType", "image"), or_(eq("page", "/a"), eq("page", "/b"))))  == {"/a": 60, "/b": 0}
+    v = {r.queryCanonical: r for r in P.canonical_variants(both, select("queryCanonical").where(JAN, eq("searchType", "image")).spec).collect()}
+    assert v["shoe"].variants.startswith("red shoe:::60:::150:::3.0||")
+    with pytest.raises(QueryError, match="search types"):
+        P.run(lake, select("page").where(JAN, eq("searchType", "image")).spec)
+
+
+def test_an_or_over_groups_is_answered_after_grouping(lake):
+    spec = select("query").where(JAN, or_(gte("clicks", 9), lte("position", 2))).spec
+    assert {r["query"] for r in P.run(lake, spec).collect()} == {"Red hat"}
+    assert {r["query"] for r in P.run(lake, select("query").where(JAN, or_(gte("clicks", 9), lte("position", 3))).spec).collect()} == {"Red hat", "red shoe"}
+
+
+def test_canonical_variants_round_to_one_decimal(spark, lake):
+    pq = spark.createDataFrame([("/a", "red shoe", "2024-01-01", 5, 7, 3.0)], "url string, query string, date string, clicks long, impressions long, sum_position double").withColumn("date", F.to_date("date"))
+    small = P.Lake({"queries": pq.drop("url")}, lake.query_dim)
+    assert P.canonical_variants(small, select("queryCanonical").where(JAN).spec).first().variants == "red shoe:::5:::7:::1.4"

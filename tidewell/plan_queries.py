@@ -84,11 +84,39 @@ add(
     f"""WITH {SPARSE}, {DIM} SELECT query_canonical AS queryCanonical, {FOUR} FROM sparse JOIN dim USING (query) WHERE {inside(SHORT)} GROUP BY 1 ORDER BY clicks DESC, 1 LIMIT 60""",
 )
 add(
-    "plan_canonical_variants", lambda k: P.canonical_variants(k, select("queryCanonical").where(during(SHORT)).limit(60).spec).drop("variants"),
-    f"""WITH {SPARSE}, {DIM}, v AS (SELECT query_canonical AS queryCanonical, query, sum(clicks) AS c FROM sparse JOIN dim USING (query) WHERE {inside(SHORT)} GROUP BY ALL)
+    "plan_canonical_variants", lambda k: P.canonical_variants(k, select("queryCanonical").where(during(SHORT)).limit(60).spec),
+    f"""WITH {SPARSE}, {DIM}, v AS (SELECT query_canonical AS queryCanonical, query, sum(clicks) AS c, sum(impressions) AS i, sum(sum_position) / sum(impressions) + 1 AS p FROM sparse JOIN dim USING (query) WHERE {inside(SHORT)} GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY queryCanonical ORDER BY c DESC, query) AS rn FROM v)
+    SELECT queryCanonical, CAST(count(*) AS INTEGER) AS variant_count, (array_agg(query ORDER BY rn))[1] AS canonical_name,
+      string_agg(query || ':::' || CAST(CAST(c AS BIGINT) AS VARCHAR) || ':::' || CAST(CAST(i AS BIGINT) AS VARCHAR) || ':::' || CAST(round(p, 1) AS VARCHAR), '||' ORDER BY rn) FILTER (WHERE rn <= 10) AS variants
+    FROM r GROUP BY 1""",
+    "",
+)
+TYPED = "typed AS (SELECT *, CASE WHEN length(url) % 3 = 0 THEN 'image' ELSE 'web' END AS search_type FROM sparse)"
+
+
+def typed(k: P.Lake) -> P.Lake:
+    """The lake with a search type for each address."""
+    pq = k.tables["page_queries"].withColumn("search_type", F.when(F.length("url") % 3 == 0, "image").otherwise("web"))
+    sums = [F.sum(m).alias(m) for m in ("clicks", "impressions", "sum_position")]
+    return P.Lake({"page_queries": pq, "pages": pq, "queries": pq.groupBy("query", "date", "search_type").agg(*sums)}, k.query_dim)
+
+
+add(
+    "plan_search_type", lambda k: P.run(typed(k), select("page").where(during(SHORT), eq("searchType", "image")).limit(200).spec),
+    f"WITH {SPARSE}, {TYPED} SELECT url AS page, {FOUR} FROM typed WHERE {inside(SHORT)} AND search_type = 'image' GROUP BY url ORDER BY clicks DESC, page LIMIT 200",
+)
+add(
+    "plan_canonical_of_search_type", lambda k: P.canonical_variants(typed(k), select("queryCanonical").where(during(SHORT), eq("searchType", "web")).limit(60).spec).drop("variants"),
+    f"""WITH {SPARSE}, {TYPED}, {DIM}, v AS (SELECT query_canonical AS queryCanonical, query, sum(clicks) AS c FROM typed JOIN dim USING (query) WHERE {inside(SHORT)} AND search_type = 'web' GROUP BY ALL)
     SELECT queryCanonical, CAST(count(*) AS INTEGER) AS variant_count, (array_agg(query ORDER BY c DESC, query))[1] AS canonical_name FROM v GROUP BY 1""",
     "",
 )
+add(
+    "plan_or_of_groups", lambda k: P.run(k, select("page", "query").where(during(SHORT), or_(gte("clicks", 9), lte("position", 9.5))).limit(5000).spec),
+    f"""WITH {SPARSE} SELECT url AS page, query, {FOUR} FROM sparse WHERE {inside(SHORT)} GROUP BY url, query
+    HAVING sum(clicks) >= 9 OR sum(sum_position) / sum(impressions) + 1 <= 9.5 ORDER BY clicks DESC, page, query LIMIT 5000""",
+)
 add(
     "plan_detail_padded", lambda k: P.detail(k, select().where(during(("1997-01-01", "1997-06-30")), contains("query", "red")).spec),
     f"""WITH {SPARSE}, d AS (SELECT date, {FOUR} FROM sparse WHERE {inside(('1997-01-01', '1997-06-30'))} AND contains(query, 'red') GROUP BY date),
@@ -99,9 +127,9 @@ add(
 ALL_BOTH = ", ".join(f"coalesce(c.{m}, 0) AS {m}" for m in ("clicks", "impressions", "ctr", "position")) + ", " + ", ".join(f"coalesce(p.{m}, 0) AS prev{m.title()}" for m in ("clicks", "impressions", "ctr", "position"))
 
 
-def both_sql(source: str, key: str, name: str, where: str = "true", having: str = "") -> str:
+def both_sql(source: str, key: str, name: str, where: str = "true", having: str = "", now: tuple[str, str] = NOW, before: tuple[str, str] = BEFORE) -> str:
     side = lambda p, h: f"SELECT {key} AS k, {FOUR} FROM {source} WHERE {inside(p)} AND {where} GROUP BY 1 {h}"
-    return f"SELECT coalesce(c.k, p.k) AS {name}, {ALL_BOTH} FROM ({side(NOW, having)}) c FULL JOIN ({side(BEFORE, '')}) p ON c.k = p.k"
+    return f"SELECT coalesce(c.k, p.k) AS {name}, {ALL_BOTH} FROM ({side(now, having)}) c FULL JOIN ({side(before, '')}) p ON c.k = p.k"
 
 
 TWO = "ctr position prevCtr prevPosition"
@@ -144,10 +172,18 @@ add(
     "arch_top_n", lambda k: A.top_n_breakdown(k, SHORT, "page", ("impressions", "desc"), 25, 5, total=True),
     f"WITH {SPARSE}, g AS (SELECT url AS page, {FOUR} FROM sparse WHERE {inside(SHORT)} GROUP BY url) SELECT *, (SELECT count(*) FROM g) AS total FROM g ORDER BY impressions DESC, page LIMIT 25 OFFSET 5",
 )
+#: Two spans of days in which some pages show and others don't.
+DAYS_NOW, DAYS_BEFORE = ("1998-03-04", "1998-03-06"), ("1998-03-01", "1998-03-03")
 for mode, (where, order) in {
     "improving": ("clicks > prevClicks", "clicks - prevClicks DESC"), "declining": ("clicks < prevClicks", "clicks - prevClicks"),
     "new": ("prevImpressions = 0 AND impressions > 0", "clicks DESC, impressions DESC"), "lost": ("impressions = 0 AND prevImpressions > 0", "prevImpressions DESC"),
 }.items():
+    if mode in ("new", "lost"):
+        add(
+            f"arch_movers_{mode}", lambda k, mode=mode: A.top_n_breakdown(k, DAYS_NOW, "page", limit=20, compare=DAYS_BEFORE, movers=mode),
+            f"WITH {SPARSE}, b AS ({both_sql('sparse', 'url', 'page', now=DAYS_NOW, before=DAYS_BEFORE)}) SELECT * FROM b WHERE {where} ORDER BY {order}, page LIMIT 20", TWO,
+        )
+        continue
     add(
         f"arch_movers_{mode}", lambda k, mode=mode: A.top_n_breakdown(k, NOW, "query", limit=20, compare=BEFORE, movers=mode),
         f"WITH {SPARSE}, b AS ({both_sql('sparse', 'query', 'query')}) SELECT * FROM b WHERE {where} ORDER BY {order}, query LIMIT 20", TWO,

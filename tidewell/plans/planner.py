@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..metrics import METRICS, aggregates
-from .spec import TIME_DIMENSIONS, Filter, Leaf, QueryError, QuerySpec, leaves, period_of
+from .spec import TIME_DIMENSIONS, Filter, Leaf, QueryError, QuerySpec, leaves, period_of, search_type_of
 
 FAMILIES = ({"page", "query", "queryCanonical"}, {"country"}, {"searchAppearance", "page", "query", "queryCanonical"})
 
@@ -99,6 +99,7 @@ class Plan:
 
 def plan(spec: QuerySpec) -> Plan:
     spec = spec.checked()
+    spec = replace(spec, search_type=spec.search_type or search_type_of(spec.filter))
     used = {leaf.column for leaf in leaves(spec.filter) if is_dimension(leaf)}
     return Plan(spec, dataset_for({*spec.dimensions, *used}), *period_of(spec.filter))
 
@@ -129,6 +130,14 @@ class Lake:
         return rows
 
 
+def of_search_type(rows: DataFrame, p: Plan) -> DataFrame:
+    if p.spec.search_type is None:
+        return rows
+    if "search_type" not in rows.columns:
+        raise QueryError("unresolvable-dataset", f"the table {p.dataset} does not tell search types apart")
+    return rows.where(F.col("search_type") == p.spec.search_type)
+
+
 def rows_of(lake: Lake, p: Plan, prefilter: bool = True, filters: Filter | None = None) -> DataFrame:
     """Rows of the plan's table and period under its dimension filters and, if wanted, its row-level metric filter."""
     rows = lake.scan(p)
@@ -136,8 +145,7 @@ def rows_of(lake: Lake, p: Plan, prefilter: bool = True, filters: Filter | None
         rows = rows.where(F.col("date") >= F.lit(p.first).cast("date"))
     if p.last:
         rows = rows.where(F.col("date") <= F.lit(p.last).cast("date"))
-    if p.spec.search_type and "search_type" in rows.columns:
-        rows = rows.where(F.col("search_type") == p.spec.search_type)
+    rows = of_search_type(rows, p)
     where = tree(filters if filters is not None else p.spec.filter, is_dimension)
     if where is not None:
         rows = rows.where(where)
@@ -193,18 +201,21 @@ def with_totals(lake: Lake, spec: QuerySpec) -> DataFrame:
 
 
 def canonical_variants(lake: Lake, spec: QuerySpec, most: int = 10) -> DataFrame:
-    """For each canonical query on the page: how many raw queries it has, the commonest one, and the first ``most``."""
+    """For each canonical query on the page: how many raw queries it has, the commonest one, and the first ``most``.
+
+    Variants are query:::clicks:::impressions:::position (to one decimal), parted by ||.
+    """
     p = plan(spec)
     page = run(lake, spec).select("queryCanonical")
     raw = lake.tables["queries"].join(lake.query_dim.select("query", "query_canonical"), "query", "left")
-    raw = raw.where(F.col("date").between(F.lit(p.first).cast("date"), F.lit(p.last).cast("date"))).withColumn("queryCanonical", column_of("queryCanonical"))
+    raw = of_search_type(raw, p).where(F.col("date").between(F.lit(p.first).cast("date"), F.lit(p.last).cast("date"))).withColumn("queryCanonical", column_of("queryCanonical"))
     each = raw.join(page, "queryCanonical", "left_semi").groupBy("queryCanonical", "query").agg(*aggregates())
     order = (-F.col("clicks")).alias("o")
     counts = each.groupBy("queryCanonical").agg(F.count("*").cast("int").alias("variant_count"), F.min(F.struct(order, "query"))["query"].alias("canonical_name"))
     # Only the first of each canonical query are collected, however many it has.
     ranked = each.withColumn("n", F.row_number().over(W.partitionBy("queryCanonical").orderBy(order, "query"))).where(F.col("n") <= most)
     ordered = F.sort_array(F.collect_list(F.struct("n", "query", "clicks", "impressions", "position")))
-    packed = F.transform("v", lambda v: F.concat_ws(":::", v["query"], v["clicks"].cast("long").cast("string"), v["impressions"].cast("long").cast("string"), F.round(v["position"], 2).cast("string")))
+    packed = F.transform("v", lambda v: F.concat_ws(":::", v["query"], v["clicks"].cast("long").cast("string"), v["impressions"].cast("long").cast("string"), F.round(v["position"], 1).cast("string")))
     firsts = ranked.groupBy("queryCanonical").agg(ordered.alias("v")).select("queryCanonical", F.array_join(packed, "||").alias("variants"))
     return counts.join(firsts, "queryCanonical", "left").select("queryCanonical", "variant_count", "canonical_name", F.coalesce("variants", F.lit("")).alias("variants"))
 

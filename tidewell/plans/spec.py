@@ -120,6 +120,8 @@ def or_(*parts: Filter) -> Group:
             raise QueryError("invalid-filter", "or() takes single conditions")
         if p.column in ("date", "searchType"):
             raise QueryError("invalid-filter", f"or() can't hold a condition on {p.column}")
+    if len({p.column in METRICS for p in parts}) > 1:
+        raise QueryError("invalid-filter", "or() can't join conditions on rows with conditions on groups")
     return Group("or", parts)
 
 
@@ -156,8 +158,12 @@ class QuerySpec:
             raise QueryError("unknown-search-type", f"no search type {self.search_type!r}")
         if self.minimum_impressions is not None and not (math.isfinite(self.minimum_impressions) and self.minimum_impressions >= 0):
             raise QueryError("invalid-filter", "minimum_impressions must be finite and not negative")
-        for leaf in leaves(self.filter):
+        for leaf in (*leaves(self.filter), *leaves(self.prefilter)):
             check_leaf(leaf)
+        for leaf in leaves(self.prefilter):
+            if leaf.column not in METRICS:
+                raise QueryError("invalid-filter", f"a prefilter takes conditions on metrics, not on {leaf.column}")
+        check_groups(self.filter)
         return replace(self, metrics=self.metrics or METRICS)
 
 
@@ -179,10 +185,33 @@ def check_leaf(leaf: Leaf) -> None:
         for v in (leaf.value, leaf.upper):
             if v is not None and not (isinstance(v, (int, float)) and math.isfinite(v)):
                 raise QueryError("invalid-filter", f"{v!r} is no finite number")
-    elif leaf.column not in (*DIMENSIONS, "searchType"):
+    elif leaf.column == "searchType":
+        if leaf.op != "equals" or leaf.value not in SEARCH_TYPES:
+            raise QueryError("unknown-search-type", f"no search type {leaf.value!r}")
+    elif leaf.column not in DIMENSIONS:
         raise QueryError("unknown-dimension", f"no column {leaf.column!r}")
 
 
+def check_groups(f: Filter | None) -> None:
+    """An OR over rows and groups has no one place to be answered, so it is refused, never answered as AND."""
+    if isinstance(f, Group):
+        kinds = {"group" if leaf.column in METRICS else leaf.column if leaf.column in ("date", "searchType") else "row" for leaf in leaves(f)}
+        if f.kind == "or" and (len(kinds) > 1 or kinds & {"date", "searchType"}):
+            raise QueryError("invalid-filter", "an or() takes conditions on rows alone or on groups alone")
+        for p in f.parts:
+            check_groups(p)
+
+
+def search_type_of(f: Filter | None) -> str | None:
+    """The search type that a filter asks for: the last one of the outer scope, else the first of the groups inside."""
+    if isinstance(f, Leaf):
+        return f.value if f.column == "searchType" else None
+    parts = f.parts if f else ()
+    outer = [v for p in parts if isinstance(p, Leaf) and (v := search_type_of(p))]
+    inner = [v for p in parts if isinstance(p, Group) and (v := search_type_of(p))]
+    return outer[-1] if outer else inner[0] if inner else None
+
+
 def period_of(f: Filter | None) -> tuple[str | None, str | None]:
     """The first and last day that date conditions leave; of several the last one in the outer scope holds."""
     first = last = None
