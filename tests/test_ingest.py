@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import intent_code, normalize_query, query_dim, singular
 from tidewell.operators import indexing as I
-from tidewell.operators import reports, series
+from tidewell.operators import series
 from tidewell.schemas import FACTS
-from tidewell.sources.facts import Facts
 from tidewell.sources.ingest import FactStore, append_identity, compacted, dates_row, end_of, from_api, live_files, overlay, partitions_of, rendered, start_of, to_path
 from tidewell.streaming import ingest as streaming
 
@@ -234,14 +233,3 @@ def record(spark, clicks):
 )
 def test_trajectory_shapes(spark, clicks, shape):
     assert series.trajectory(record(spark, clicks)).first()["shape"] == shape
-
-
-def test_report_marks_failed_steps_and_stops_on_required_ones(spark):
-    pq = spark.createDataFrame([("/a", "red", DAY, 1, 200, 2000.0)], "url string, query string, date date, clicks int, impressions int, sum_position double")
-    ctx = reports.Context(Facts(pq), ("2024-01-01", "2024-01-31"), ("2023-12-01", "2023-12-31"), params={"brand_terms": ["red"]})
-    found = {s.key: s for s in reports.run_report("risks", ctx).sections}
-    assert found["device-gap"].severity == "unknown" and found["decay"].severity == "none"
-    assert {s.key: s.total for s in reports.run_report("opportunities", ctx).sections}["striking-distance"] == 1
-    with pytest.raises(reports.ReportError):
-        reports.run_report("brand", reports.Context(Facts(pq), ctx.period, ctx.before))
-    assert reports.input_hash("risks", ctx) != reports.input_hash("brand", ctx)

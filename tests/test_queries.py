@@ -4,12 +4,13 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewell import analyzer_queries, plan_queries, rollup_queries
+from tidewell import analyzer_queries, plan_queries, report_queries, rollup_queries
 from tools_compare import TABLES, tidy
 
 SF = "/root/testdata/sf0.001"
-QUERIES = analyzer_queries.QUERIES | plan_queries.QUERIES | rollup_queries.QUERIES
-SQL = analyzer_queries.SQL | plan_queries.SQL | rollup_queries.SQL
+MODULES = (analyzer_queries, plan_queries, rollup_queries, report_queries)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .analyzer_queries import BEFORE, FOUR, MONTH, NOW, SPARSE, Query, inside, rounded, tidy
+from .analyzer_queries import FOUR, SPARSE, Query, inside, rounded, tidy
 from .operators import indexing as I
-from .operators import reports, rollups
+from .operators import rollups
 from .plan_queries import DIM, lake
 from .plans.periods import islands
 from .sources import facts
@@ -182,20 +182,3 @@ add(
     "overlay_view", lambda s, d: (lambda p: overlay(p.where("date < '1998-01-01'"), p.where("date >= '1997-12-01'")))(facts.sparse(s, d).pages),
     f"WITH {SPARSE} SELECT url, date, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, sum(sum_position) AS sum_position FROM sparse GROUP BY ALL", "sum_position",
 )
-SITE = {"brand": "sparse", "growth": "long", "health": "dense", "movers": "sparse", "opportunities": "sparse", "pre-publish": "sparse", "risks": "sparse", "triage": "dense"}
-
-
-def report(name: str) -> Query:
-    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
-        kind = SITE[name]
-        f = {"sparse": facts.sparse, "long": facts.long, "dense": facts.dense}[kind](spark, sf_dir)
-        period, before = (MONTH, ("2023-12-01", "2023-12-31")) if kind == "dense" else (NOW, BEFORE)
-        ctx = reports.Context(f, period, before, "s.example", facts.device_dates(spark, sf_dir) if name == "risks" else None, {"brand_terms": ["red"], "topic": "red", "target": "/"})
-        rows = reports.as_rows(reports.run_report(name, ctx))
-        return spark.createDataFrame(rows, "report string, section string, severity string, total long, findings string")
-
-    return made
-
-
-for name in reports.REPORTS:
-    QUERIES[f"report_{name.replace('-', '_')}"] = report(name)
