@@ -268,8 +268,8 @@ MOVERS = f"""WITH {SPARSE}, j AS (SELECT * FROM ({compared_sql('sparse', 'query,
 add("movers", lambda s, d: movement.movers(facts.sparse(s, d), NOW, BEFORE), MOVERS + " SELECT * FROM d", "now_position before_position clicks_change_percent impressions_change_percent position_change")
 add(
     "movers_series",
-    lambda s, d: (lambda f: movement.weekly_series(f, movement.movers_top(f, NOW, BEFORE, limit=40), NOW, BEFORE))(facts.sparse(s, d)),
-    MOVERS + f""", top AS (SELECT query, url FROM d WHERE direction <> 'stable' ORDER BY abs(clicks_change) DESC, query, url LIMIT 40)
+    lambda s, d: (lambda f: movement.weekly_series(f, movement.movers_top(f, NOW, BEFORE), NOW, BEFORE))(facts.sparse(s, d)),
+    MOVERS + f""", top AS (SELECT query, url FROM d WHERE direction <> 'stable' ORDER BY abs(clicks_change) DESC, query, url LIMIT 2000)
     SELECT query, url, CAST(date_trunc('week', date) AS DATE) AS week, CAST(sum(clicks) AS DOUBLE) AS clicks, CAST(sum(impressions) AS DOUBLE) AS impressions
     FROM sparse JOIN top USING (query, url) WHERE {inside(NOW)} OR {inside(BEFORE)} GROUP BY ALL""",
 )

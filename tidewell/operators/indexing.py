@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def transitions(inspections: DataFrame, fields: tuple[str, ...] = STATE_FIELDS)
 
 
 def issue_conditions(today: Column) -> dict[str, Column]:
-    """The filter of each kind of indexing issue."""
+    """The filter of each kind of indexing issue; the states it names are fixed values."""
     state, fetch = F.col("coverage_state"), F.col("page_fetch_state")
     older = lambda n: F.col("last_crawl_time").cast("date") < F.date_sub(today, n)
     both: Callable[[str, str], Column] = lambda f, tag: (fetch == f) | (state == COVERAGE[tag][0])
@@ -100,6 +101,21 @@ def issue_conditions(today: Column) -> dict[str, Column]:
     }
 
 
+#: What each issue is called and how grave it is.
+ISSUES = {
+    "canonical_mismatch": ("Canonical mismatch", "warning"), "canonical_cross_domain": ("Cross-domain canonical", "error"),
+    "canonical_formatting": ("Canonical formatting differs", "info"), "stale_crawl": ("Not crawled in 30+ days", "info"),
+    "very_stale_crawl": ("Not crawled in 60+ days", "warning"), "not_indexed": ("Not indexed", "error"),
+    "unknown_to_google": ("Unknown to Google", "warning"), "crawled_not_indexed": ("Crawled, not indexed", "error"),
+    "discovered_not_indexed": ("Discovered, not indexed", "warning"), "not_found": ("404 Not Found", "error"), "soft_404": ("Soft 404", "error"),
+    "server_error": ("Server error", "error"), "access_forbidden": ("Blocked: forbidden (403)", "error"),
+    "access_denied": ("Blocked: unauthorized (401)", "error"), "blocked_4xx": ("Blocked: other 4xx", "error"), "redirect_error": ("Redirect error", "error"),
+    "crawl_error": ("Crawl error", "warning"), "blocked_robots": ("Blocked by robots.txt", "warning"), "noindex": ("Noindex tag", "info"),
+    "redirect": ("Redirect", "info"), "sitemap_redirect": ("Sitemap URL redirects", "warning"), "alternate_canonical": ("Alternate page with canonical", "info"),
+    "duplicate_no_canonical": ("Duplicate, no canonical declared", "warning"), "indexed_consider_canonical": ("Indexed, Google suggests a canonical", "info"),
+    "page_removed": ("Removed via removal tool", "info"), "fragment_url": ("Fragment URL (#)", "warning"), "mobile_fail": ("Mobile usability issues", "warning"),
+    "rich_results_fail": ("Rich results errors", "error"), "rich_results_warning": ("Rich results warnings", "warning"), "rich_results_pass": ("Has rich results", "info"),
+}
 ISSUE_COLUMNS = (
     "canonical_kind", "last_crawl_time", "verdict", "coverage_state", "page_fetch_state", "robots_txt_state", "indexing_state", "sitemaps", "url",
     "mobile_verdict", "rich_results_verdict",
@@ -114,6 +130,118 @@ def issue_counts(inspections: DataFrame, today: str) -> DataFrame:
     return sums.unpivot([], list(found), "issue", "n")
 
 
+def labelled_issues(counts: DataFrame) -> DataFrame:
+    """``counts`` (issue, n) with label and severity."""
+    table = counts.sparkSession.createDataFrame([(k, label, severity) for k, (label, severity) in ISSUES.items()], "issue string, label string, severity string")
+    return counts.join(F.broadcast(table), "issue")
+
+
+@dataclass(frozen=True)
+class CollapsePolicy:
+    """A count has collapsed if the most before it is at least ``least``, it is under ``ratio`` of that, and it fell by ``drop`` or more; the newest ``skip`` counts set no mark."""
+
+    ratio: float
+    least: int
+    drop: int
+    skip: int
+
+    def collapsed(self, count: Column, mark: Column) -> Column:
+        return (mark >= self.least) & (count < mark * self.ratio) & (mark - count >= self.drop)
+
+
+#: When a sync stops to ask, and when trust in a sitemap ends.
+SYNC_COLLAPSE, TRUST_COLLAPSE = CollapsePolicy(0.5, 10, 10, 1), CollapsePolicy(0.2, 20, 0, 2)
+
+
+def sitemap_collapse(counts: DataFrame, policy: CollapsePolicy = TRUST_COLLAPSE) -> DataFrame:
+    """State of each sitemap by its counts (feed, date, urls): feed, state, current, high_water, now_collapsed, ever_collapsed.
+
+    The newest count is held against the most of the older ones. A drop waits
+    for a second low count (awaiting_confirmation), then persists; one that has
+    risen again was a blip (recovered_blip); else none. now_collapsed compares
+    the newest count with all before it, and is null for a single one;
+    ever_collapsed tells whether any count fell so against those before it.
+    Null and negative counts are zero.
+    """
+    newest = W.partitionBy("feed").orderBy(F.desc("date"))
+    older = W.partitionBy("feed").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
+    rows = counts.select("feed", "date", F.greatest(F.coalesce("urls", F.lit(0)), F.lit(0)).alias("urls"))
+    rows = rows.select("*", F.row_number().over(newest).alias("n"), F.coalesce(F.max("urls").over(older), F.lit(0)).alias("before"))
+    at = lambda n: F.max(F.when(F.col("n") == n, F.col("urls")))
+    sums = rows.groupBy("feed").agg(
+        F.count("*").alias("k"), at(1).alias("current"), F.coalesce(at(2), F.lit(0)).alias("previous"), F.coalesce(F.max(F.when(F.col("n") > policy.skip, F.col("urls"))), F.lit(0)).alias("high_water"),
+        F.coalesce(F.max(F.when(F.col("n") > 1, F.col("urls"))), F.lit(0)).alias("most_before"), F.bool_or(policy.collapsed(F.col("urls"), F.col("before"))).alias("ever_collapsed"),
+    )
+    low, was_low = policy.collapsed(F.col("current"), F.col("high_water")), policy.collapsed(F.col("previous"), F.col("high_water"))
+    state = F.when(F.col("k") <= policy.skip, "none").when(low & was_low, "persisted").when(low, "awaiting_confirmation").when(was_low, "recovered_blip").otherwise("none")
+    now = F.when(F.col("k") >= 2, policy.collapsed(F.col("current"), F.col("most_before")))
+    return sums.select("feed", state.alias("state"), "current", "high_water", now.alias("now_collapsed"), "ever_collapsed")
+
+
+def sitemap_error_deltas(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Sitemaps (path, errors, warnings) whose errors or warnings have changed; those that were not known before have not."""
+    old = before.select("path", F.coalesce("errors", F.lit(0)).alias("e"), F.coalesce("warnings", F.lit(0)).alias("w"))
+    rows = now.join(old, "path").select("path", (F.col("errors") - F.col("e")).alias("error_delta"), (F.col("warnings") - F.col("w")).alias("warning_delta"), F.col("errors").alias("new_errors"), F.col("warnings").alias("new_warnings"))
+    return rows.where("error_delta <> 0 OR warning_delta <> 0")
+
+
+#: Days after which a sitemap's last download counts as old.
+STALE_DOWNLOAD_DAYS = 7
+
+
+def trust_gate(sites: DataFrame, now: Column) -> DataFrame:
+    """``sites`` with trust_state: whether what is known of their indexing can be believed.
+
+    Columns: connected, no_sitemaps, sitemaps_pending and sitemap_collapsed
+    (boolean), live_status (reachable, timeout, error or null without a probe)
+    and live_code, inspected and total_urls, indexing_status, downloaded_at.
+    States: not_connected, no_sitemap, pending, broken (the probe failed and
+    old evidence agrees), blip (the probe alone failed), unknown (no probe, but
+    old evidence), ok.
+    """
+    seen = F.coalesce("inspected", "total_urls", F.lit(0))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    old = F.coalesce(now.cast("timestamp").cast("double") - F.col("downloaded_at").cast("timestamp").cast("double") >= 86_400 * STALE_DOWNLOAD_DAYS, F.lit(False))
+    evidence, failed = old | yes("sitemap_collapsed"), F.coalesce(F.col("live_status").isin("timeout", "error"), F.lit(False))
+    syncing = F.coalesce(~F.col("indexing_status").isin("complete", "partial", ""), F.lit(False))
+    state = (
+        F.when(~yes("connected"), "not_connected").when(yes("no_sitemaps") | F.coalesce(F.col("live_code") == 404, F.lit(False)), "no_sitemap")
+        .when((seen <= 0) | syncing, "pending").when(failed & evidence, "broken").when(failed, "blip").when(F.col("live_status").isNull() & evidence, "unknown").otherwise("ok")
+    )
+    return sites.withColumn("trust_state", state)
+
+
+def stacked(readings: DataFrame, first: str, last: str, top: int = 5, most_buckets: int = 30) -> DataFrame:
+    """Levels of series (series, day, value) over a period, stacked: bucket_start, bucket_end, series, value, is_other.
+
+    Days of the axis are those with a reading in the period, dealt to at most
+    ``most_buckets`` buckets of equal length; a bucket shows the level of its
+    last day. A series carries its last reading forward; before its first one
+    it holds that. The ``top`` series by their last level keep their name and
+    the others are one, unless it would be a single one. Series that are never
+    above zero in the period are left out.
+    """
+    a, b = F.lit(first).cast("date"), F.lit(last).cast("date")
+    known = readings.where(F.col("day") <= b).groupBy("series", "day").agg(F.max("value").alias("value"))
+    days = known.where(F.col("day") >= a).select("day").distinct()
+    # A row for each day of the period at most.
+    placed = days.select("day", (F.row_number().over(W.orderBy("day")) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("n"))
+    size = F.greatest(F.lit(1), F.ceil(F.col("n") / most_buckets))
+    axis = placed.groupBy(F.floor(F.col("i") / size).alias("bucket")).agg(F.min("day").alias("bucket_start"), F.max("day").alias("bucket_end"))
+    by = W.partitionBy("series").orderBy("day")
+    grid = known.select("series").distinct().crossJoin(F.broadcast(days))
+    held = grid.join(known, ["series", "day"], "outer").select(
+        "series", "day", F.coalesce(F.last("value", ignorenulls=True).over(by), F.first("value", ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing))).alias("value")
+    ).where(F.col("day") >= a)
+    latest = held.groupBy("series").agg(F.max_by("value", "day").alias("level"), F.max("value").alias("most")).where("most > 0")
+    # Series are ranked in one task; they are sites or issues, not readings.
+    ranked = latest.withColumn("place", F.row_number().over(W.orderBy(F.desc("level"), "series"))).withColumn("k", F.count("*").over(W.partitionBy()))
+    other = (F.col("place") > top) & (F.col("k") != top + 1)
+    shown = held.join(F.broadcast(axis), F.col("day") == F.col("bucket_end")).join(ranked.select("series", other.alias("is_other")), "series")
+    name = F.when(F.col("is_other"), "other").otherwise(F.col("series"))
+    return shown.groupBy("bucket_start", "bucket_end", name.alias("series"), "is_other").agg(F.sum("value").alias("value"))
+
+
 def verdict_freshness(inspections: DataFrame, today: str) -> DataFrame:
     """Inspections older than a week and a month, and the share within a week in percent."""
     age = F.datediff(F.lit(today).cast("date"), F.col("inspected_at").cast("date"))

@@ -79,8 +79,19 @@ def sitemap_health(generations: DataFrame) -> DataFrame:
     return generations.withColumn("date", day).withColumn("n", newest).where("n = 1").drop("n")
 
 
-def sitemap_changes(events: DataFrame, anchor: str, days: int = 28, most: int = 200) -> DataFrame:
-    """Added and removed addresses by day and feed, from (feed, observed_at, op), the latest first."""
-    rows = events.withColumn("date", F.col("observed_at").cast("date")).where(F.col("date") >= F.date_sub(F.lit(anchor).cast("date"), days))
-    sums = rows.groupBy("date", "feed").agg(F.count_if(F.col("op") == "added").alias("added"), F.count_if(F.col("op") == "removed").alias("removed"))
-    return sums.orderBy(F.desc("date"), "feed").limit(most)
+def recent_changes(events: DataFrame, anchor: str, days: int) -> DataFrame:
+    """Added and removed addresses of the last days, from (feed, loc, observed_at, op); updates are no changes of the list."""
+    rows = events.withColumn("date", F.col("observed_at").cast("date")).where(F.col("op").isin("added", "removed"))
+    return rows.where(F.col("date").between(F.date_sub(F.lit(anchor).cast("date"), days), F.lit(anchor).cast("date")))
+
+
+def sitemap_change_days(events: DataFrame, anchor: str, days: int = 28) -> DataFrame:
+    """How many addresses each feed added and removed on each day."""
+    return recent_changes(events, anchor, days).groupBy("date", "feed").agg(F.count_if(F.col("op") == "added").alias("added"), F.count_if(F.col("op") == "removed").alias("removed"))
+
+
+def sitemap_latest_changes(events: DataFrame, anchor: str, days: int = 28, most: int = 200) -> DataFrame:
+    """op, feed, loc and observed_at of the latest ``most`` additions and as many removals."""
+    rows = recent_changes(events, anchor, days).select("op", "feed", "loc", "observed_at")
+    latest = lambda op: rows.where(F.col("op") == op).orderBy(F.desc("observed_at"), "feed", "loc").limit(most)
+    return latest("added").unionByName(latest("removed"))

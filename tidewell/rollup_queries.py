@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .analyzer_queries import FOUR, SPARSE, Query, inside, rounded, tidy
 from .operators import indexing as I
-from .operators import rollups
+from .operators import cohorts, rollups
 from .plan_queries import DIM, lake
 from .plans.periods import islands
 from .sources import facts
@@ -34,8 +34,8 @@ add(
 add("rollup_weekly_totals", lambda s, d: rollups.weekly_totals(facts.sparse(s, d).pages), f"WITH {SPARSE} SELECT CAST(date_trunc('week', date) AS DATE) AS week, {FOUR} FROM sparse GROUP BY 1", "ctr position")
 for name, key, table in (("pages", "url", "pages"), ("keywords", "query", "queries")):
     add(
-        f"rollup_top_{name}_28d", lambda s, d, key=key, table=table: rollups.top_recent(getattr(facts.sparse(s, d), table), key, ANCHOR, most=100),
-        f"WITH {SPARSE} SELECT {key}, {FOUR} FROM sparse WHERE date >= DATE '{ANCHOR}' - 28 GROUP BY {key} ORDER BY clicks DESC, {key} LIMIT 100", "ctr position",
+        f"rollup_top_{name}_28d", lambda s, d, key=key, table=table: rollups.top_recent(getattr(facts.sparse(s, d), table), key, ANCHOR),
+        f"WITH {SPARSE} SELECT {key}, {FOUR} FROM sparse WHERE date >= DATE '{ANCHOR}' - 28 GROUP BY {key} ORDER BY clicks DESC, {key} LIMIT 1000", "ctr position",
     )
 add(
     "rollup_top_countries_28d", lambda s, d: rollups.top_recent(facts.countries(s, d), "country", ANCHOR, most=250),
@@ -133,7 +133,11 @@ add(
 add(
     "canonical_difference",
     lambda s, d: facts.table(s, d, "pages").select("page_id", I.canonical_kind(F.col("url"), F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("/"))).when(F.col("page_id") % 4 == 1, F.lit("https://other.example/x")).when(F.col("page_id") % 4 == 2, F.concat("url", F.lit("/more"))).otherwise(F.col("url"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")),
-    None,
+    r"""WITH p AS (SELECT url AS u, CASE page_id % 4 WHEN 0 THEN url || '/' WHEN 1 THEN 'https://other.example/x' WHEN 2 THEN url || '/more' ELSE url END AS g FROM pages),
+    h AS (SELECT u, g, regexp_replace(lower(regexp_extract(u, '^https?://([^/?#]+)', 1)), '^www[.]', '') AS hu, regexp_replace(lower(regexp_extract(g, '^https?://([^/?#]+)', 1)), '^www[.]', '') AS hg,
+            regexp_replace(regexp_replace(u, '^https?://[^/?#]+', ''), '/*(#.*)?$', '') AS ru, regexp_replace(regexp_replace(g, '^https?://[^/?#]+', ''), '/*(#.*)?$', '') AS rg FROM p)
+    SELECT CASE WHEN coalesce(u, '') = '' OR coalesce(g, '') = '' OR u = g THEN 'none' WHEN hu = '' OR hg = '' THEN 'path' WHEN hu <> hg THEN 'cross_domain' WHEN ru = rg THEN 'formatting' ELSE 'path' END AS kind, count(*) AS n
+    FROM h GROUP BY 1""",
 )
 add(
     "index_percent", lambda s, d: (lambda f: rollups.index_percent(f.pages.select("url"), f.pages.where("impressions >= 60")))(facts.sparse(s, d)),
@@ -143,13 +147,24 @@ add(
 )
 add(
     "portfolio_carried_forward",
-    lambda s, d: I.carried_forward(facts.sparse(s, d).pages.where(F.col("date").between(*[F.lit(x).cast("date") for x in MONTHS])).select(F.col("url").alias("site"), F.col("date").alias("day"), F.col("clicks").alias("value")), *MONTHS),
+    lambda s, d: I.carried_forward(facts.sparse(s, d).pages.select(F.col("url").alias("site"), F.col("date").alias("day"), F.col("clicks").alias("value")), *MONTHS),
     None,
 )
-SQL["portfolio_carried_forward"] = f"""WITH {SPARSE}, r AS (SELECT url AS site, date AS day, sum(clicks) AS v FROM sparse WHERE {inside(MONTHS)} GROUP BY ALL),
-    g AS (SELECT site, CAST(unnest(generate_series(DATE '{MONTHS[0]}', DATE '{MONTHS[1]}', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT site FROM r)),
-    h AS (SELECT site, day, last_value(v IGNORE NULLS) OVER (PARTITION BY site ORDER BY day) AS v FROM g LEFT JOIN r USING (site, day))
+SQL["portfolio_carried_forward"] = f"""WITH {SPARSE}, r AS (SELECT url AS site, date AS day, sum(clicks) AS v FROM sparse WHERE date <= DATE '{MONTHS[1]}' GROUP BY ALL),
+    g AS (SELECT site, CAST(unnest(generate_series(DATE '{MONTHS[0]}', DATE '{MONTHS[1]}', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT url AS site FROM sparse)),
+    h AS (SELECT g.site, g.day, r.v FROM g ASOF LEFT JOIN r ON g.site = r.site AND g.day >= r.day)
     SELECT day, CAST(coalesce(sum(v), 0) AS BIGINT) AS total, count(v) AS sites FROM h GROUP BY day"""
+STACK = ("1998-01-01", "1998-06-30")
+add(
+    "portfolio_stack", lambda s, d: I.stacked(facts.sparse(s, d).pages.select(F.col("url").alias("series"), F.col("date").alias("day"), F.col("clicks").alias("value")), *STACK),
+    f"""WITH {SPARSE}, r AS (SELECT url AS series, date AS day, sum(clicks) AS v FROM sparse WHERE date <= DATE '{STACK[1]}' GROUP BY ALL), days AS (SELECT DISTINCT day FROM r WHERE day >= DATE '{STACK[0]}'),
+    axis AS (SELECT min(day) AS bucket_start, max(day) AS bucket_end FROM (SELECT day, (row_number() OVER (ORDER BY day) - 1) // CAST(greatest(1, ceil(count(*) OVER () / 30.0)) AS BIGINT) AS b FROM days) GROUP BY b),
+    f AS (SELECT series, arg_min(v, day) AS v0 FROM r GROUP BY series), g AS (SELECT series, day, v0 FROM f, days),
+    h AS (SELECT g.series, g.day, coalesce(r.v, v0) AS v FROM g ASOF LEFT JOIN r ON g.series = r.series AND g.day >= r.day),
+    l AS (SELECT series, arg_max(v, day) AS level FROM h GROUP BY series HAVING max(v) > 0), k AS (SELECT *, row_number() OVER (ORDER BY level DESC, series) AS place, count(*) OVER () AS n FROM l),
+    o AS (SELECT series, place > 5 AND n <> 6 AS is_other FROM k)
+    SELECT bucket_start, bucket_end, CASE WHEN is_other THEN 'other' ELSE series END AS series, is_other, CAST(sum(v) AS BIGINT) AS value FROM h JOIN axis ON day = bucket_end JOIN o USING (series) GROUP BY ALL""",
+)
 add(
     "cohort_diagnosis", lambda s, d: I.cohort_diagnosis(facts.sparse(s, d).pages.select("url", "date", (F.col("clicks") > 2).alias("indexed"))),
     f"""WITH {SPARSE}, p AS (SELECT url, date, sum(clicks) > 2 AS x FROM sparse GROUP BY ALL), e AS (SELECT split_part(url, '/', 2) AS section, count(*) AS n, count(*) FILTER (WHERE x) AS hits FROM p GROUP BY 1),
@@ -161,6 +176,80 @@ add(
     SELECT *, low > 0 OR high < 0 AS differs FROM v""",
     "share other_share low high",
 )
+
+
+def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by part with a version in some paths; whether one is indexed depends on its section and size."""
+    p = facts.table(spark, sf_dir, "part")
+    version = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("/v"), (F.col("p_size") % 3).cast("string"))).otherwise("")
+    path = F.concat(F.lit("/"), F.lower("p_type"), version, F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("/"), F.col("p_partkey").cast("string"))
+    return p.select(path.alias("path"), ((F.col("p_size") > 12) & (F.col("p_type") != "STANDARD")).alias("indexed"))
+
+
+add(
+    "cohort_outliers", lambda s, d: cohorts.outlier_cohorts(crawled(s, d)).drop("low", "high"),
+    None,
+)
+add(
+    "cohort_cells", lambda s, d: cohorts.compared_cells(crawled(s, d))[0],
+    """WITH c AS (SELECT '/' || lower(p_type) || CASE WHEN p_size % 5 = 0 THEN '/v' || CAST(p_size % 3 AS VARCHAR) ELSE '' END || '/' || lower(replace(p_brand, '#', '-')) || '/' || CAST(p_partkey AS VARCHAR) AS path,
+      p_size > 12 AND p_type <> 'STANDARD' AS indexed FROM part), w AS (SELECT count(*) AS all_total, count(*) FILTER (WHERE NOT indexed) AS all_not_indexed FROM c),
+    k AS (SELECT indexed, 'section' AS dimension, '/' || split_part(path, '/', 2) AS key FROM c UNION ALL SELECT indexed, 'section', '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) FROM c
+      UNION ALL SELECT indexed, 'lifecycle', CASE WHEN regexp_matches(path, '/v[0-9]+/.+') THEN 'versioned' ELSE 'evergreen' END FROM c)
+    SELECT dimension, key, count(*) AS total, count(*) FILTER (WHERE NOT indexed) AS not_indexed, all_total, all_not_indexed FROM k, w GROUP BY ALL HAVING count(*) >= 12 AND count(*) < all_total""",
+)
+
+
+def sitemap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change of a sitemap for each event."""
+    e = facts.table(spark, sf_dir, "events")
+    op = F.element_at(F.array(*map(F.lit, ("added", "removed", "updated"))), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select(F.concat(F.lit("/feed"), (F.col("user_id") % 4).cast("string")).alias("feed"), F.concat(F.lit("/page"), F.col("event_id").cast("string")).alias("loc"), F.col("ts").alias("observed_at"), op.alias("op"))
+
+
+CHANGES = """chg AS (SELECT '/feed' || CAST(user_id % 4 AS VARCHAR) AS feed, '/page' || CAST(event_id AS VARCHAR) AS loc, ts AS observed_at, (['added', 'removed', 'updated'])[event_id % 3 + 1] AS op, CAST(ts AS DATE) AS date FROM events),
+    near AS (SELECT * FROM chg WHERE op <> 'updated' AND date BETWEEN DATE '2024-01-30' - 28 AND DATE '2024-01-30')"""
+add(
+    "sitemap_change_days", lambda s, d: rollups.sitemap_change_days(sitemap_events(s, d), "2024-01-30"),
+    f"WITH {CHANGES} SELECT date, feed, count(*) FILTER (WHERE op = 'added') AS added, count(*) FILTER (WHERE op = 'removed') AS removed FROM near GROUP BY ALL",
+)
+add(
+    "sitemap_latest_changes", lambda s, d: rollups.sitemap_latest_changes(sitemap_events(s, d), "2024-01-30").select("op", "feed", "loc", F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss").alias("at")),
+    f"WITH {CHANGES} SELECT op, feed, loc, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS at FROM near QUALIFY row_number() OVER (PARTITION BY op ORDER BY observed_at DESC, feed, loc) <= 200",
+)
+add(
+    "indexing_metadata", lambda s, d: rollups.indexing_metadata(facts.table(s, d, "events").select("ts", F.when(F.col("event_type") == "error", "remove").otherwise("update").alias("kind"))),
+    "SELECT CAST(ts AS DATE) AS date, count(*) FILTER (WHERE event_type <> 'error') AS updates, count(*) FILTER (WHERE event_type = 'error') AS removals FROM events GROUP BY 1",
+)
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = facts.table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("/feed"), (F.col("user_id") % 4).cast("string")).alias("feed"), F.col("ts").alias("generated_at"), F.col("event_id").alias("urls"), (F.col("event_id") % 5).alias("errors"), (F.col("event_id") % 7).alias("warnings"))
+
+
+GENS = "gen AS (SELECT '/feed' || CAST(user_id % 4 AS VARCHAR) AS feed, ts AS generated_at, event_id AS urls, event_id % 5 AS errors, event_id % 7 AS warnings FROM events)"
+add(
+    "sitemap_health", lambda s, d: rollups.sitemap_health(generations(s, d)).drop("generated_at"),
+    f"WITH {GENS} SELECT feed, urls, errors, warnings, CAST(generated_at AS DATE) AS date FROM gen QUALIFY row_number() OVER (PARTITION BY feed, CAST(generated_at AS DATE) ORDER BY generated_at DESC, urls DESC) = 1",
+)
+add(
+    "sitemap_collapse", lambda s, d: I.sitemap_collapse(rollups.sitemap_health(generations(s, d)).select("feed", "date", (F.col("urls") % 211).alias("urls"))),
+    f"""WITH {GENS}, h AS (SELECT feed, CAST(generated_at AS DATE) AS date, urls % 211 AS urls FROM gen QUALIFY row_number() OVER (PARTITION BY feed, CAST(generated_at AS DATE) ORDER BY generated_at DESC, urls DESC) = 1),
+    n AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY date DESC) AS n, coalesce(max(urls) OVER (PARTITION BY feed ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM h),
+    s AS (SELECT feed, count(*) AS k, max(urls) FILTER (WHERE n = 1) AS current, max(urls) FILTER (WHERE n = 2) AS previous, max(urls) FILTER (WHERE n > 2) AS high_water, max(urls) FILTER (WHERE n > 1) AS mb,
+            bool_or(b >= 20 AND urls < 0.2 * b) AS ever_collapsed FROM n GROUP BY feed),
+    t AS (SELECT *, high_water >= 20 AND current < 0.2 * high_water AS low, high_water >= 20 AND previous < 0.2 * high_water AS was FROM s)
+    SELECT feed, CASE WHEN low AND was THEN 'persisted' WHEN low THEN 'awaiting_confirmation' WHEN was THEN 'recovered_blip' ELSE 'none' END AS state, current, high_water,
+           mb >= 20 AND current < 0.2 * mb AS now_collapsed, ever_collapsed FROM t""",
+)
+add(
+    "indexing_issue_labels", lambda s, d: I.labelled_issues(I.issue_counts(inspections(s, d), TODAY)).where("n > 0"),
+    f"""WITH {INSPECT}, c AS (SELECT count(*) FILTER (WHERE CAST(last_crawl_time AS DATE) < DATE '{TODAY}' - 30) AS stale_crawl, count(*) FILTER (WHERE verdict IN ('FAIL', 'PARTIAL', 'NEUTRAL')) AS not_indexed,
+      count(*) FILTER (WHERE page_fetch_state = 'NOT_FOUND' OR coverage_state = 'Not found (404)') AS not_found, count(*) FILTER (WHERE coverage_state = 'Page with redirect') AS redirect FROM ins),
+    l AS (SELECT * FROM (VALUES ('stale_crawl', 'Not crawled in 30+ days', 'info'), ('not_indexed', 'Not indexed', 'error'), ('not_found', '404 Not Found', 'error'), ('redirect', 'Redirect', 'info')) v(issue, label, severity))
+    SELECT issue, n, label, severity FROM (UNPIVOT c ON COLUMNS(*) INTO NAME issue VALUE n) JOIN l USING (issue) WHERE n > 0""",
+)
 add(
     "coverage_islands", lambda s, d: islands(facts.sparse(s, d).pages.where("impressions >= 40"), "url"),
     f"""WITH {SPARSE}, p AS (SELECT url, date FROM sparse GROUP BY ALL HAVING sum(impressions) >= 40), r AS (SELECT url, date, date - CAST(row_number() OVER (PARTITION BY url ORDER BY date) AS INTEGER) AS run FROM p)
