@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph, movement, scoring, series
+from .operators import details, graph, movement, scoring, series
 from .operators.scoring import EXPECTED_CTR, EXPECTED_CTR_BEYOND, INTENT_PREFIXES, STOP_WORDS
 from .sources import facts
 
@@ -428,3 +428,64 @@ def pagerank_sql(rounds: int = graph.ROUNDS) -> str:
 
 
 add("bipartite_pagerank", lambda s, d: graph.bipartite_pagerank(facts.sparse(s, d), WHOLE), pagerank_sql(), "rank")
+
+# What stands behind the rows of an analyzer.
+add(
+    "cluster_members", lambda s, d: details.cluster_members(facts.long(s, d), WHOLE),
+    f"""WITH {LONG}, q AS (SELECT query, {FOUR} FROM long WHERE {inside(WHOLE)} GROUP BY query HAVING sum(impressions) >= 10),
+    k AS (SELECT *, nullif(regexp_extract(lower(query), '^({'|'.join(INTENT_PREFIXES)})(\\s|$)', 1), '') AS intent, string_split_regex(lower(query), '\\s+') AS w FROM q),
+    n AS (SELECT *, coalesce(intent, CASE WHEN len(w) >= 3 THEN w[1] || ' ' || w[2] END) AS cluster FROM k)
+    SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY impressions DESC, query) AS INTEGER) AS rank, query, impressions, clicks, position FROM n
+    WHERE cluster IS NOT NULL QUALIFY count(*) OVER (PARTITION BY cluster) >= 2""",
+    "position",
+)
+add(
+    "atlas_members", lambda s, d: details.atlas_members(facts.long(s, d), WHOLE),
+    f"""WITH {LONG}, q AS (SELECT query, {FOUR} FROM long WHERE {inside(WHOLE)} AND query <> '' GROUP BY query HAVING sum(impressions) >= 20),
+    t AS (SELECT query, impressions, unnest(string_split_regex(lower(query), '\\s+')) AS token FROM q),
+    k AS (SELECT * FROM t WHERE length(token) >= 3 AND token NOT IN ({', '.join(f"'{w}'" for w in STOP_WORDS)})),
+    w AS (SELECT token, sum(impressions) AS weight FROM k GROUP BY token HAVING sum(impressions) >= 50),
+    o AS (SELECT query, token, row_number() OVER (PARTITION BY query ORDER BY weight DESC, token) AS n FROM k JOIN w USING (token)),
+    c AS (SELECT query, string_agg(token, ' + ' ORDER BY token) AS cluster FROM o WHERE n <= 2 GROUP BY query HAVING count(*) >= 2),
+    r AS (SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY impressions DESC, query) AS INTEGER) AS rank, query, impressions, clicks, position, count(*) OVER (PARTITION BY cluster) AS n FROM q JOIN c USING (query))
+    SELECT cluster, rank, query, impressions, clicks, position FROM r WHERE n >= 3 AND rank <= 25""",
+    "position",
+)
+add(
+    "long_tail_points", lambda s, d: details.long_tail_points(facts.long(s, d), WHOLE, least=1, fewest=4),
+    f"""WITH RECURSIVE {LONG}, g AS (SELECT 1 AS k, CAST(11 AS BIGINT) AS rank UNION ALL SELECT k + 1, greatest(rank + 1, CAST(ceil(power(1.15, k + 1)) AS BIGINT)) FROM g WHERE rank < 100000),
+    p AS ({pair_sql('long', WHOLE, 1)}), r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY impressions DESC, query) AS rank, count(*) OVER (PARTITION BY url) AS n FROM p WHERE query <> '' AND url <> '')
+    SELECT url, CAST(rank AS INTEGER) AS rank, query, impressions, clicks FROM r WHERE n >= 4 AND (n <= 80 OR rank <= 10 OR rank IN (SELECT rank FROM g))""",
+)
+add(
+    "decay_series", lambda s, d: details.decay_series(facts.sparse(s, d), NOW, BEFORE),
+    f"""WITH {SPARSE}, j AS ({compared_sql('sparse', 'url', NOW, BEFORE)}), k AS (SELECT url FROM j WHERE before_clicks >= 50 AND before_clicks - now_clicks > 0 AND (before_clicks - now_clicks) / before_clicks >= 0.2)
+    SELECT url, CAST(date_trunc('week', date) AS DATE) AS week, CAST(sum(clicks) AS DOUBLE) AS clicks, CAST(sum(impressions) AS DOUBLE) AS impressions
+    FROM sparse JOIN k USING (url) WHERE {inside(NOW)} OR {inside(BEFORE)} GROUP BY ALL""",
+)
+add(
+    "ctr_anomaly_series", lambda s, d: details.ctr_anomaly_series(facts.dense(s, d), MONTH, days=1),
+    BREACH + """, a AS (SELECT query, url FROM b GROUP BY query, url HAVING count(*) FILTER (WHERE breach AND z < 0) >= 1)
+    SELECT query, url, date, ctr, position, impressions, rolling_ctr, rolling_sd, z, breach AND z < 0 AS breach FROM b JOIN a USING (query, url)""",
+    "ctr position rolling_ctr rolling_sd z",
+)
+add(
+    "ctr_sides", lambda s, d: details.ctr_sides(facts.long(s, d), WHOLE),
+    f"""SELECT *, CASE WHEN ctr_diff > 0 THEN 'over' ELSE 'under' END AS side, CAST(row_number() OVER (PARTITION BY ctr_diff > 0 ORDER BY abs(ctr_diff) DESC, query) AS INTEGER) AS rank
+    FROM ({SQL['ctr_outliers'].replace('round(ctr_diff, 6) + 0.0 AS ctr_diff', 'round(ctr_diff, 9) AS ctr_diff')}) WHERE ctr_diff <> 0 QUALIFY rank <= 25""",
+    "ctr_diff",
+)
+add(
+    "breadth_lists", lambda s, d: details.breadth_lists(facts.sparse(s, d), SHORT),
+    BREADTH + """ SELECT * FROM (SELECT 'fragile' AS list, CAST(row_number() OVER (ORDER BY clicks DESC, url) AS INTEGER) AS rank, url, keyword_count, clicks, impressions FROM c WHERE keyword_count <= 2 AND clicks >= 5) WHERE rank <= 20
+    UNION ALL SELECT * FROM (SELECT 'authority', CAST(row_number() OVER (ORDER BY keyword_count DESC, url) AS INTEGER) AS rank, url, keyword_count, clicks, impressions FROM c WHERE keyword_count >= 20) WHERE rank <= 20""",
+)
+add(
+    "breadth_stats", lambda s, d: details.breadth_stats(facts.sparse(s, d), SHORT),
+    BREADTH + " SELECT count(*) AS total_pages, avg(keyword_count) AS avg_keywords, count(*) FILTER (WHERE keyword_count <= 2) AS fragile_count, count(*) FILTER (WHERE keyword_count >= 20) AS authority_count FROM c",
+    "avg_keywords",
+)
+add(
+    "movers_page", lambda s, d: details.sorted_page(movement.movers(facts.sparse(s, d), NOW, BEFORE), ("clicks_change", "now_impressions"), ("clicks_change", "desc"), "now_impressions", "desc", 50, 10, ("query", "url")),
+    MOVERS + " SELECT * FROM d ORDER BY now_impressions DESC, query, url LIMIT 50 OFFSET 10", "now_position before_position clicks_change_percent impressions_change_percent position_change",
+)

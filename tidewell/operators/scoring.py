@@ -134,8 +134,8 @@ INTENT_PREFIXES = (
 )
 
 
-def clustering(facts: Facts, period, least=10, smallest=2, by="both") -> DataFrame:
-    """Queries by the intent words they open with, else by their first two words if they have three or more."""
+def clustered_queries(facts: Facts, period, least=10, by="both") -> DataFrame:
+    """Queries with their cluster: the intent words they open with, else their first two words if they have three or more."""
     words = F.split(F.lower("query"), r"\s+")
     intent = F.nullif(F.regexp_extract(F.lower("query"), rf"^({'|'.join(INTENT_PREFIXES)})(\s|$)", 1), F.lit(""))
     prefix = F.when(F.size(words) >= 3, F.array_join(F.slice(words, 1, 2), " "))
@@ -143,7 +143,12 @@ def clustering(facts: Facts, period, least=10, smallest=2, by="both") -> DataFra
     intent, prefix = (intent if by != "prefix" else none), (prefix if by != "intent" else none)
     agg = during(facts.queries, period).groupBy("query").agg(*aggregates()).where(F.col("impressions") >= least)
     keyed = agg.select("*", F.coalesce(intent, prefix).alias("cluster"), F.when(intent.isNotNull(), "intent").otherwise("prefix").alias("kind"))
-    return keyed.where("cluster IS NOT NULL").groupBy("cluster").agg(
+    return keyed.where("cluster IS NOT NULL")
+
+
+def clustering(facts: Facts, period, least=10, smallest=2, by="both") -> DataFrame:
+    """Clusters of queries that open alike."""
+    return clustered_queries(facts, period, least, by).groupBy("cluster").agg(
         F.min("kind").alias("cluster_type"),
         F.count("*").alias("keyword_count"),
         F.sum("clicks").alias("total_clicks"),
@@ -212,8 +217,8 @@ STOP_WORDS = (
 )
 
 
-def intent_atlas(facts: Facts, period, least=20, token_least=50, smallest=3) -> DataFrame:
-    """Clusters of queries by their two weightiest words."""
+def atlas_queries(facts: Facts, period, least=20, token_least=50) -> DataFrame:
+    """Queries with their two weightiest words as cluster."""
     rows = during(named(facts.queries, "query"), period).groupBy("query").agg(*aggregates("impressions", "clicks", "position")).where(F.col("impressions") >= least)
     tokens = rows.select("query", "impressions", F.explode(F.split(F.lower("query"), r"\s+")).alias("token")).where(
         (F.length("token") >= 3) & ~F.col("token").isin(*STOP_WORDS)
@@ -225,7 +230,12 @@ def intent_atlas(facts: Facts, period, least=20, token_least=50, smallest=3) ->
         .groupBy("query").agg(F.sort_array(F.collect_list("token")).alias("two")).where(F.size("two") >= 2)
         .select("query", F.array_join("two", " + ").alias("cluster"))
     )
-    return rows.join(keys, "query").groupBy("cluster").agg(
+    return rows.join(keys, "query")
+
+
+def intent_atlas(facts: Facts, period, least=20, token_least=50, smallest=3) -> DataFrame:
+    """Clusters of queries that share their two weightiest words."""
+    return atlas_queries(facts, period, least, token_least).groupBy("cluster").agg(
         F.count("*").alias("keyword_count"),
         F.sum("impressions").alias("total_impressions"),
         F.sum("clicks").alias("total_clicks"),
