@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from tidewell.llm.shards import FANOUT, Conflict, ShardStore, shard_documents
+from tidewell.llm.shards import FANOUT, Conflict, Shard, ShardStore, shard_documents
 
 SCHEMA = "doc_id long, text string, shard_id int, file string"
 
@@ -71,3 +73,74 @@ def test_each_merged_shard_holds_one_group(spark, tmp_path):
     for r in store.rows([s for s in after.shards if s.run == before.version + 1]).select("row.doc_id", "shard_file").collect():
         held.setdefault(r[1], set()).add(of_doc[r[0]])
     assert len(held) == len(groups) and all(len(x) == 1 for x in held.values())
+
+
+def test_two_writers_never_commit_the_same_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = ShardStore(spark, f"file://{tmp_path}/d")
+    base = store.manifest()
+
+    def attempt(i):
+        try:
+            return store.commit(base, [Shard(f"x/{i}", i, 1)])
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        made = [m for m in pool.map(attempt, range(24)) if m]
+    assert len(made) == 1 and store.manifest() == made[0]
+    assert [n for n, _ in store.files(".") if n.startswith(".aside") or n.endswith(".json")] == ["manifest-0000000001.json"]
+
+
+def slow_compaction(sizes, target):
+    """Sizes after merging runs of alike shards, one run at a time, until no tier is full."""
+    tier = lambda s: next(t for t in range(21) if s * FANOUT ** (t + 1) > target or t == 20)
+    while True:
+        tiers = {}
+        for s in sizes:
+            if 2 * s <= target:
+                tiers.setdefault(tier(s), []).append(s)
+        runs = []
+        for members in tiers.values():
+            if len(members) >= FANOUT:
+                run = []
+                for s in members:
+                    if run and sum(run) + s > target:
+                        runs.append(run)
+                        run = []
+                    run.append(s)
+                runs.append(run)
+        runs = [r for r in runs if len(r) > 1]
+        if not runs:
+            return sizes
+        for r in runs:
+            for s in r:
+                sizes.remove(s)
+        sizes = sizes + [sum(r) for r in runs]
+
+
+@pytest.mark.parametrize("n", [2, 8, 128])
+def test_groups_against_a_slow_version(spark, tmp_path, monkeypatch, n):
+    """The tiers and runs alone, with files whose size is the sum of what they merge."""
+    rng = random.Random(n)
+    target = 1000
+    start = [rng.choice([1, 3, 40, 90, 200, 260, 499, 700]) for _ in range(5 * n)]
+    store = ShardStore(spark, f"file://{tmp_path}/e{n}", target_bytes=target)
+    live = [Shard(f"s{i}", size, 0) for i, size in enumerate(start)]
+    while groups := store.groups(live):
+        assert all(sum(s.bytes for s in g) <= target and len(g) > 1 for g in groups)
+        gone = {s.path for g in groups for s in g}
+        live = [s for s in live if s.path not in gone] + [Shard(f"{g[0].path}+", sum(s.bytes for s in g), 1) for g in groups]
+    assert sorted(s.bytes for s in live) == sorted(slow_compaction(list(start), target))
+
+
+@pytest.mark.parametrize("groups", [2, 8, 128])
+def test_no_merged_shard_exceeds_the_target(spark, tmp_path, groups):
+    noise = "array_join(transform(sequence(1, 6), j -> hex(xxhash64(id, j))), '')"
+    store = ShardStore(spark, f"file://{tmp_path}/f{groups}", target_bytes=20_000)
+    store.append(spark.range(groups * 120).selectExpr("id AS doc_id", f"{noise} AS text").repartition(groups * 3))
+    assert len(store.groups(store.manifest().shards)) >= groups / 2
+    after = store.compact()
+    assert after.version > 1 and all(s.bytes <= store.target for s in after.shards)
+    assert store.read().count() == groups * 120

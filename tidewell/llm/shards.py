@@ -6,6 +6,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +42,11 @@ class ShardStore:
     """Shards under one folder that all executors reach, and manifests that say which of them are live.
 
     Readers take the newest manifest, so they see a whole version or the one
-    before. A commit writes the manifest aside and renames it to its version's
-    name, which fails if that name exists; files of a failed or lost attempt
-    are in no manifest and go with ``vacuum``.
+    before. A commit writes the manifest aside and gives it its version's name
+    in one step that refuses a name that is taken: a hard link on a local file
+    system, a rename elsewhere, which HDFS refuses. Stores whose rename
+    overwrites or copies need one writer at a time. Files of a failed or lost
+    attempt are in no manifest and go with ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES) -> None:
@@ -77,11 +80,27 @@ class ShardStore:
         stream = self.fs.create(aside, False)
         stream.write(json.dumps(asdict(new)).encode())
         stream.close()
-        if self.fs.exists(self.Path(f"{self.root}/{name}")) or not self.fs.rename(aside, self.Path(f"{self.root}/{name}")):
+        try:
+            if not self.named(aside, self.Path(f"{self.root}/{name}")):
+                raise Conflict(name)
+        finally:
             self.fs.delete(aside, False)
-            raise Conflict(name)
         return new
 
+    def named(self, aside, final) -> bool:
+        """Give a file its final name, or False if that is taken."""
+        if self.fs.getUri().getScheme() != "file":
+            return not self.fs.exists(final) and self.fs.rename(aside, final)
+        jvm = self.spark._jvm
+        local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            jvm.java.nio.file.Files.createLink(local(final), local(aside))
+        except Py4JJavaError as err:
+            if "FileAlreadyExistsException" in str(err.java_exception):
+                return False
+            raise
+        return True
+
     def written(self, df: DataFrame, run: int, most_rows: int = 0) -> list[Shard]:
         """Write each partition of ``df`` as a shard, or several of at most ``most_rows`` rows; empty ones give none (an empty table is written as one empty file)."""
         folder = f"data-{run:010d}-{uuid.uuid4().hex[:8]}"
@@ -172,7 +191,10 @@ def shard_documents(docs: DataFrame, target_bytes: int = TARGET_BYTES, root: str
     manifest_version, one row per input row, nulls and repeats included; an
     empty table gives no rows. Columns keep their names and values in the
     shards. Shards in the last version are near target size, but for what is
-    left of each tier with fewer than FANOUT members.
+    left of each tier with fewer than FANOUT members. A merge takes shards of
+    together at most the target, so it can pass it only by what Parquet packs
+    worse in one file than in several; an arrival passes it only if
+    ARRIVAL_ROWS very long texts do, and is then never merged or cut.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target_bytes)
