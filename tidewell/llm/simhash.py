@@ -21,29 +21,40 @@ HASH_SEED = 42
 CELL_SIDE = 2048
 #: Mean bucket size up to which a coarser set of band keys is taken.
 BUCKET_MEAN = 128
+#: The pipeline's stage: words of a shingle, least similarity of a link, keys by which texts meet, and the radius within which they are looked at.
+STAGE_WORDS, SIMILARITY, KEYS, STAGE_RADIUS = 5, 0.8, 12, 20
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes, n_words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> bytes:
-    """Eight bytes, most significant bit first, of one UTF-8 text."""
+def shingle_digests(text: bytes, n_words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> tuple[bytes, bytes]:
+    """The lower-cased words of one UTF-8 text, and the hashes of its shingles, repeats included, eight bytes each."""
     from xxhash import xxh64_digest
 
     words = text.lower().split()
     n = len(words) - n_words + 1
-    if not words:
-        return bytes(8)
     joined = b" ".join(words)
     if n <= 1:
-        return xxh64_digest(joined, seed)
+        return joined, xxh64_digest(joined, seed) if words else b""
     length = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(length + 1) - 1
     start = (end - length)[:n].tolist()
-    digests = b"".join([xxh64_digest(joined[a:b], seed) for a, b in zip(start, end[n_words - 1 :].tolist(), strict=True)])
+    return joined, b"".join([xxh64_digest(joined[a:b], seed) for a, b in zip(start, end[n_words - 1 :].tolist(), strict=True)])
+
+
+def folded(digests: bytes) -> bytes:
+    """The fingerprint, most significant bit first, of shingle hashes."""
+    raw = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    if len(raw) == 1:
+        return digests
     bits = np.zeros(64, np.int64)
-    raw = np.frombuffer(digests, np.uint8).reshape(n, 8)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(raw), 1 << 16):
         bits += np.unpackbits(raw[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * bits > n).tobytes()
+    return np.packbits(2 * bits > len(raw)).tobytes()
+
+
+def fingerprint(text: bytes, n_words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> bytes:
+    """Eight bytes, most significant bit first, of one UTF-8 text."""
+    return folded(shingle_digests(text, n_words, seed)[1])
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
@@ -175,42 +186,55 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             "band", "bits"
         ),
     )
+    spark = fps.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(n * len(masks), 2_000_000))
+
+    def forest(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        label = joined(len(ids), pairs)
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return ids[label[moved]], ids[moved]
+
+    return compared(keyed.withColumn("id", F.col("fp")), radius, parts, forest)
+
+
+def compared(keyed: DataFrame, radius: int, parts: int, edges) -> DataFrame:
+    """Edges (a, b) between the ids of ``keyed`` (id, fp, band, bits) that meet in a bucket with fingerprints within ``radius``.
+
+    ``edges`` makes them from the ids of some cells and the pairs of their
+    places that are close. A bucket of more than CELL_SIDE fingerprints is
+    dealt over pairs of cells.
+    """
     counts = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1")
     sides = F.ceil(F.col("n") / CELL_SIDE).cast("int")
     dealt = keyed.join(counts, ["band", "bits"]).withColumn("g", sides)
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("g")).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("g")).cast("int")
     cells = (
         dealt.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select(
-            F.xxhash64("band", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp"
-        )
+        .select(F.xxhash64("band", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "fp")
     )
-    spark = fps.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(n * len(masks), 2_000_000))
-    placed = cells.repartition(parts, "cell").sortWithinPartitions("cell")
+    placed = cells.repartition(parts, "cell").sortWithinPartitions("cell", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows = 0
 
-        def compare(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def compare(cell: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(fp) < 2:
                 return
-            label = joined(len(fp), close_pairs(cell, fp, radius))
-            moved = np.flatnonzero(label != np.arange(len(fp)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[label[moved]]), pa.array(fp[moved])], ["a", "b"])
+            a, b = edges(ids, close_pairs(cell, fp, radius))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            held.append((batch.column("cell").to_numpy(), batch.column("fp").to_numpy()))
+            held.append(tuple(batch.column(c).to_numpy() for c in ("cell", "id", "fp")))
             rows += len(held[-1][0])
             if rows >= 50_000:
-                cell, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                whole = int(np.searchsorted(cell, cell[-1], "left"))  # the last cell may go on
-                if whole:
-                    yield from compare(cell[:whole], fp[:whole])
-                held, rows = [(cell[whole:], fp[whole:])], len(cell) - whole
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                to = int(np.searchsorted(whole[0], whole[0][-1], "left"))  # the last cell may go on
+                if to:
+                    yield from compare(*(x[:to] for x in whole))
+                held, rows = [tuple(x[to:] for x in whole)], len(whole[0]) - to
         if rows:
             yield from compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -244,31 +268,126 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def text_sketches(rows: DataFrame) -> DataFrame:
+    """``rows`` with t1 and t2 (128 bits of the words of a text), fp (of shingles of STAGE_WORDS words) and keys in place of text.
+
+    A key is three MinHash values of the shingles; texts of similarity s share
+    a given key with chance s ** 3, and one of KEYS keys in all but
+    (1 - s ** 3) ** KEYS of the cases: 3 in 10,000 at 0.8. A text without a
+    word has fingerprint zero and no keys.
+    """
+    fields = [f for f in rows.schema if f.name != "text"]
+    names = [f.name for f in fields]
+    more = [T.StructField(c, T.LongType()) for c in ("t1", "t2", "fp")] + [T.StructField("keys", T.ArrayType(T.LongType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        mult = np.random.default_rng(31).integers(1, 1 << 63, 3 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            t1, t2, fps, keys = [], [], [], []
+            for v in batch.column("text").cast(pa.large_binary()):
+                words, digests = shingle_digests(v.as_buffer().to_pybytes() if v.is_valid else b"", STAGE_WORDS)
+                t1.append(xxh64_intdigest(words, 1))
+                t2.append(xxh64_intdigest(words, 2))
+                fps.append(folded(digests))
+                h = np.frombuffer(digests, ">u8").astype(np.uint64)
+                if not len(h):
+                    keys.append([])
+                    continue
+                low = np.full(3 * KEYS, ALL, np.uint64)
+                for at in range(0, len(h), 1 << 15):
+                    np.minimum(low, (h[None, at : at + (1 << 15)] * mult[:, None]).min(axis=1), out=low)
+                low = low.reshape(KEYS, 3)
+                key = (low[:, 0] * mult[0] ^ low[:, 1]) * mult[1] ^ low[:, 2]
+                keys.append(key.view(np.int64).tolist())
+            number = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            fp = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names], number(t1), number(t2), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], [*names, "t1", "t2", "fp", "keys"]
+            )
+
+    return rows.mapInArrow(run, T.StructType([*fields, *more]))
+
+
+def some_before(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the first and the last one before it that are close to it: two edges at most for each text and bucket, never all pairs."""
+    first, last = np.full(len(ids), len(ids)), np.full(len(ids), -1)
+    for a, z in pairs:
+        np.minimum.at(first, z, a)
+        np.maximum.at(last, z, a)
+    some = np.flatnonzero(last >= 0)
+    more = some[first[some] != last[some]]
+    return np.r_[ids[first[some]], ids[last[more]]], np.r_[ids[some], ids[more]]
+
+
+def alike(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b) of those ``pairs`` (a, b, text_a, text_b) whose sets of shingles have a Jaccard similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, set[bytes]] = (None, set())
+
+        def shingles(text: pa.Scalar) -> set[bytes]:
+            raw = shingle_digests(text.as_py() if text.is_valid else b"", STAGE_WORDS)[1]
+            return {raw[i : i + 8] for i in range(0, len(raw), 8)}
+
+        for batch in batches:
+            ids, texts = batch.column("a").to_pylist(), [batch.column(c).cast(pa.large_binary()) for c in ("text_a", "text_b")]
+            yes = []
+            for i, a in enumerate(ids):
+                if held[0] != a:
+                    held = a, shingles(texts[0][i])
+                other = shingles(texts[1][i])
+                shared = len(held[1] & other)
+                yes.append(shared >= least * (len(held[1]) + len(other) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    return pairs.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
     """Keep one row of each group: that with the smallest doc_id (null last), then text hash; columns as they came.
 
+    Texts link if the sets of their shingles of STAGE_WORDS words (lower-cased
+    A-Z, parted by white space) have a Jaccard similarity of ``similarity`` or
+    more. Texts of equal words are one text. Others meet in buckets by MinHash
+    keys, in which fingerprints are compared by bit planes; of those within
+    ``radius`` bits each text is held against the first and the last before it
+    in each of its buckets, by its whole set of shingles. So a link may be
+    missed; none is wrong.
+
     Each row counts by itself: rows that share a doc_id, or have none, stand in
-    the groups of their own texts. Rows that are equal in all columns are one
-    row, of which one stays. Rows with other columns of their own but the same
-    doc_id and text go by a hash of all columns. So the result does not depend
-    on the order of rows. Rows to drop are found by hashes of 128 bits of the
-    whole row, and only those hashes are shuffled; Spark broadcasts them
-    where they are small, and joins by them where they aren't.
+    the groups of their own texts. Null, empty and blank texts are one text.
+    Rows that are equal in all columns are one row, of which one stays; rows
+    with other columns of their own but the same doc_id and text go by a hash
+    of all columns. So the result does not depend on the order of rows. Rows to drop
+    are found by hashes of 128 bits of the whole row, and only those hashes
+    are shuffled, with the texts that are held against each other; Spark
+    broadcasts them where they are small, and joins by them where they aren't.
     """
+    spark = docs.sparkSession
     # With their nulls marked, as hashes pass over nulls.
     whole = F.struct(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
     keys = {"k1": F.xxhash64(F.lit(1), whole), "k2": F.xxhash64(F.lit(2), whole)}
     rows = docs.select(
         F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), *[k.alias(n) for n, k in keys.items()]).alias("place"), "text"
     )
-    marked = cut(fingerprints(rows))
-    least = cut(marked.groupBy("fp").agg(F.min("place").alias("least")))
-    roots = cut(group_roots(least.select("fp"), radius))
-    low = with_least(roots.join(least, "fp"), "root", "least", "winner").select("fp", "winner")
-    winners = cut(least.join(low, "fp", "left").select("fp", F.coalesce("winner", "least").alias("winner")))
-    met = marked.join(winners, "fp").select("place.k1", "place.k2", ((F.col("place.k1") == F.col("winner.k1")) & (F.col("place.k2") == F.col("winner.k2"))).alias("won"))
+    marked = cut(text_sketches(rows))
+    # One row for each different text, by which rows are joined where very many share one.
+    texts = cut(marked.groupBy("t1", "t2").agg(F.min("place").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    keyed = texts.select(F.col("t1").alias("id"), "fp", F.posexplode("keys").alias("band", "bits"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(texts.count() * KEYS, 2_000_000))
+    near = cut(compared(keyed, radius, parts, some_before).distinct())
+    met = cut(near.select(F.col("a").alias("t1")).union(near.select("b")).distinct().join(texts.select("t1", "least.k1", "least.k2"), "t1"))
+    bodies = cut(docs.select(*[k.alias(n) for n, k in keys.items()], "text").join(met, ["k1", "k2"]).groupBy("t1").agg(F.first("text").alias("text")))
+    body = lambda side: bodies.select(F.col("t1").alias(side), F.col("text").alias(f"text_{side}"))
+    roots = cut(components(alike(near.join(body("a"), "a").join(body("b"), "b"), similarity)).select(F.col("node").alias("t1"), "root"))
+    low = with_least(roots.join(texts.select("t1", "least"), "t1"), "root", "least", "winner").select("t1", "winner")
+    winners = cut(texts.join(low, "t1", "left").select("t1", "t2", F.coalesce("winner", "least").alias("winner")))
+    won = (F.col("place.k1") == F.col("winner.k1")) & (F.col("place.k2") == F.col("winner.k2"))
+    placed = marked.select("place", "t1", "t2").join(winners, ["t1", "t2"]).select("place.k1", "place.k2", won.alias("won"))
     # A winner that stands in several equal rows is held apart and made one.
-    judged = cut(met.groupBy("k1", "k2").agg(F.max("won").alias("won"), F.count("*").alias("n")).where("NOT won OR n > 1"))
+    judged = cut(placed.groupBy("k1", "k2").agg(F.max("won").alias("won"), F.count("*").alias("n")).where("NOT won OR n > 1"))
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *[k.alias(n) for n, k in keys.items()])
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     single = keyed.join(judged.select("k1", "k2"), ["k1", "k2"], "left_anti").select(*back)
