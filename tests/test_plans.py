@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.plans import archetypes as A
 from tidewell.plans import compare as C
 from tidewell.plans import planner as P
-from tidewell.plans.periods import Period, gaps, islands, preset, routes_to_live, spans
+from tidewell.plans.periods import Period, default_period, gaps, islands, preset, routes_to_live, spans
 from tidewell.plans.spec import Group, QueryError, and_, between, eq, gt, gte, in_array, leaves, like, lt, lte, not_, or_, period_of, regex, select, top_level
 
 ROWS = [
@@ -132,6 +132,7 @@ def test_periods(spark):
     assert preset("last-7d", d(2024, 3, 10)) == Period(d(2024, 3, 3), d(2024, 3, 9))
     assert preset("last-quarter", d(2024, 2, 1)) == Period(d(2023, 10, 1), d(2023, 12, 31))
     assert preset("mtd", d(2024, 3, 10)) == Period(d(2024, 3, 1), d(2024, 3, 9)) and preset("last-month", d(2024, 3, 1)).first == d(2024, 2, 1)
+    assert default_period(d(2024, 3, 31)) == Period(d(2024, 2, 29), d(2024, 3, 28))
     p = Period(d(2024, 1, 8), d(2024, 1, 14))
     assert p.previous() == Period(d(2024, 1, 1), d(2024, 1, 7)) and p.year_before().first.weekday() == p.first.weekday()
     assert spans([d(2024, 1, 1), d(2024, 1, 2), d(2024, 1, 4)], 30) == [Period(d(2024, 1, 1), d(2024, 1, 2)), Period(d(2024, 1, 4), d(2024, 1, 4))]

@@ -489,3 +489,9 @@ add(
     "movers_page", lambda s, d: details.sorted_page(movement.movers(facts.sparse(s, d), NOW, BEFORE), ("clicks_change", "now_impressions"), ("clicks_change", "desc"), "now_impressions", "desc", 50, 10, ("query", "url")),
     MOVERS + " SELECT * FROM d ORDER BY now_impressions DESC, query, url LIMIT 50 OFFSET 10", "now_position before_position clicks_change_percent impressions_change_percent position_change",
 )
+add(
+    "pagerank_deltas", lambda s, d: graph.pagerank_deltas(facts.sparse(s, d), WHOLE),
+    pagerank_sql().split(""",
+    s AS (SELECT""")[0] + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k + 1} AS step, sum(abs(b.rank - a.rank)) AS l1 FROM r{k} a JOIN r{k + 1} b USING (kind, node)" for k in range(graph.ROUNDS)) + ")",
+    "l1",
+)

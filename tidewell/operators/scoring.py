@@ -117,10 +117,14 @@ def cannibalization(facts: Facts, period, least=50, rivals=2) -> DataFrame:
     )
 
 
-def competitor_edges(facts: Facts, period, least=50, rivals=2) -> DataFrame:
-    """Pairs of pages that compete for the same queries: how many, and the impressions of the weaker page."""
+def competitor_edges(facts: Facts, period, least=50, rivals=2, most=1000) -> DataFrame:
+    """Pairs of pages that compete for the ``most`` gravest queries: for how many, and the impressions of the weaker page.
+
+    The graph is that of a page of findings, so its queries are bounded; a
+    query gives an edge for each two of its pages, as the graph has them.
+    """
     agg = named(pairs(facts, period, least), "query", "url")
-    kept = cannibalization(facts, period, least, rivals).select("query")
+    kept = cannibalization(facts, period, least, rivals).orderBy(F.desc("severity"), F.desc(F.round("stolen_clicks", 6)), "query").limit(most).select("query")
     rows = agg.join(kept, "query", "left_semi").select("query", "url", "impressions")
     other = rows.select("query", F.col("url").alias("target"), F.col("impressions").alias("more"))
     met = rows.withColumnRenamed("url", "source").join(other, "query").where("source < target")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..metrics import METRICS, aggregates
 from ..schemas import DEVICES
+from ..sources.staging import staged
 from .compare import PREVIOUS
 from .planner import Lake, column_of, dataset_for
 from .spec import QueryError
@@ -114,6 +115,7 @@ def top_n_breakdown(
             where, ranks = MOVERS[movers]()
             out = out.where(where)
     if total:
+        out = staged(out)  # computed once, for its rows and their number
         out = out.crossJoin(F.broadcast(out.agg(F.count("*").alias("total"))))
     page = out.orderBy(*ranks, F.asc_nulls_last(dimension))
     return (page.offset(offset) if offset else page).limit(limit)

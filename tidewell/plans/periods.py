@@ -30,6 +30,11 @@ class Period:
         return Period(self.first - 364 * DAY, self.last - 364 * DAY)
 
 
+def default_period(today: dt.date) -> Period:
+    """What a read takes that names no period: 29 days up to three days ago, as later days are not final."""
+    return Period(today - 31 * DAY, today - 3 * DAY)
+
+
 def preset(name: str, today: dt.date) -> Period:
     """last-7d and the like, mtd, qtd, ytd, last-month and last-quarter, up to the day before ``today``."""
     end = today - DAY
