@@ -20,17 +20,22 @@ SYNONYMS = {
     "build": "generate", "make": "generate", "lookup": "search", "finder": "search", "find": "search", "online": "", "free": "",
 }
 #: Words that keep their final s.
-KEEP_S = set(
-    """css js ts os as is us has was its this yes no bus gas dns rss sms gps aws sas cms ios less loss miss pass class access process express
-    address cross press stress progress success business wordpress status radius nexus focus bonus campus census corpus nucleus stimulus terminus
-    versus virus surplus cactus analysis basis thesis crisis axis genesis synopsis diagnosis emphasis hypothesis synthesis parenthesis redis apis
-    chaos demos logos photos videos nuxtjs nextjs nodejs reactjs vuejs angularjs expressjs nestjs threejs alpinejs solidjs sveltejs dejs bunjs
-    denojs canvas atlas alias bias perhaps whereas kubernetes sass postgres always across previous various serious famous anonymous continuous
-    dangerous generous obvious numerous curious nervous conscious""".split()
-)
+KEEP_S = {
+    "css", "js", "ts", "os", "as", "is", "us", "has", "was", "its", "this", "yes", "no", "bus", "gas", "dns", "rss", "sms", "gps", "aws", "sas",
+    "cms", "ios", "less", "loss", "miss", "pass", "class", "access", "process", "express", "address", "cross", "press", "stress", "progress",
+    "success", "business", "wordpress", "status", "radius", "nexus", "focus", "bonus", "campus", "census", "corpus", "nucleus", "stimulus",
+    "terminus", "versus", "virus", "surplus", "cactus", "analysis", "basis", "thesis", "crisis", "axis", "genesis", "synopsis", "diagnosis",
+    "emphasis", "hypothesis", "synthesis", "parenthesis", "redis", "apis", "chaos", "demos", "logos", "photos", "videos", "nuxtjs", "nextjs",
+    "nodejs", "reactjs", "vuejs", "angularjs", "expressjs", "nestjs", "threejs", "alpinejs", "solidjs", "sveltejs", "dejs", "bunjs", "denojs",
+    "canvas", "atlas", "alias", "bias", "perhaps", "whereas", "kubernetes", "sass", "postgres", "always", "across", "previous", "various", "serious",
+    "famous", "anonymous", "continuous", "dangerous", "generous", "obvious", "numerous", "curious", "nervous", "conscious",
+}
 #: Words between which order matters, and words after which ``to`` gives no direction.
 DIRECTIONS = {"to", "into", ">", "→"}
-IDIOMS = set("how what why when where who which guide way tip intro introduction learn tutorial step reason idea example benefit need".split())
+IDIOMS = {
+    "how", "what", "why", "when", "where", "who", "which", "guide", "way", "tip", "intro", "introduction", "learn", "tutorial", "step", "reason",
+    "idea", "example", "benefit", "need",
+}
 #: Plurals that follow no rule, and words without one.
 IRREGULAR = {
     "people": "person", "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "geese": "goose", "mice": "mouse",
@@ -40,17 +45,28 @@ IRREGULAR = {
     "potatoes": "potato", "tomatoes": "tomato", "echoes": "echo", "lives": "life", "knives": "knife", "wives": "wife", "leaves": "leaf",
     "halves": "half", "shelves": "shelf", "wolves": "wolf", "thieves": "thief", "loaves": "loaf",
 }
-UNCOUNTED = set("series species news means sheep deer fish moose aircraft software hardware information equipment money rice traffic chess".split())
+UNCOUNTED = {
+    "series", "species", "news", "means", "sheep", "deer", "fish", "moose", "aircraft", "software", "hardware", "information", "equipment", "money",
+    "rice", "traffic", "chess",
+}
 
 QUOTES = re.compile("[\"'‘’“”`]+")
 SEPARATORS = re.compile(r"[-_/.@#:+,;!?()\[\]]+")
+#: Words and phrases that give away what a query is after, and the numbers of its kinds.
 CUES = {
-    "informational": """how what why when where who which whose whom guide tutorial example examples meaning definition define explained explain tip
-        idea learn basics intro introduction overview cheatsheet documentation docs faq""".split(),
-    "commercial": "best top vs versus review comparison compare alternative alternatives cheapest recommended popular".split(),
-    "transactional": """buy price pricing cost cheap coupon deal discount order purchase download subscribe subscription signup trial demo install
-        free sale quote checkout cart""".split(),
-}
+    "informational": {
+        "how", "what", "why", "when", "where", "who", "which", "whose", "whom", "guide", "tutorial", "example", "examples", "meaning", "definition",
+        "define", "explained", "explain", "tip", "idea", "learn", "basics", "intro", "introduction", "overview", "cheatsheet", "documentation",
+        "docs", "faq",
+    },
+    "commercial": {
+        "best", "top", "vs", "versus", "review", "comparison", "compare", "alternative", "alternatives", "cheapest", "recommended", "popular",
+    },
+    "transactional": {
+        "buy", "price", "pricing", "cost", "cheap", "coupon", "deal", "discount", "order", "purchase", "download", "subscribe", "subscription",
+        "signup", "trial", "demo", "install", "free", "sale", "quote", "checkout", "cart",
+    },
+}
 BUYING_PHRASES = r"\b(for sale|sign up|near me|how much)\b"
 CODES = {"unknown": 0, "informational": 1, "commercial": 2, "transactional": 3}
 HOW_TO_BIT = 4
@@ -98,7 +114,7 @@ def intent_code(query: Column) -> Column:
     """0 unknown, 1 informational, 2 commercial, 3 transactional, plus 4 for how-to queries; the most buying cue wins."""
     text = intent_text(query)
     words = F.split(text, " ")
-    has = lambda kind: F.arrays_overlap(words, F.array(*map(F.lit, CUES[kind])))
+    has = lambda kind: F.arrays_overlap(words, F.array(*map(F.lit, sorted(CUES[kind]))))
     how_to = text.rlike(r"\bhow to\b")
     kind = (
         F.when(has("transactional") | text.rlike(BUYING_PHRASES), CODES["transactional"])
