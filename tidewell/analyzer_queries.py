@@ -15,7 +15,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 WHOLE = ("1995-01-01", "2001-12-31")
 NOW, BEFORE = ("1998-01-01", "1998-12-31"), ("1997-01-01", "1997-12-31")
-QUARTER, QUARTER_BEFORE = ("1997-01-01", "1997-03-31"), ("1996-10-01", "1996-12-31")
 HALF_YEAR = ("1998-01-05", "1998-07-19")
 MONTH = ("2024-01-01", "2024-01-31")
 PLACES = 6
@@ -293,8 +292,8 @@ add(
     "slope growth_ratio avg_position",
 )
 add(
-    "query_migration", lambda s, d: movement.query_migration(facts.sparse(s, d), QUARTER, QUARTER_BEFORE),
-    f"""WITH {SPARSE}, c AS ({pair_sql('sparse', QUARTER, 20)}), p AS ({pair_sql('sparse', QUARTER_BEFORE, 20)}),
+    "query_migration", lambda s, d: movement.query_migration(facts.sparse(s, d), NOW, BEFORE),
+    f"""WITH {SPARSE}, c AS ({pair_sql('sparse', NOW, 20)}), p AS ({pair_sql('sparse', BEFORE, 20)}),
     l AS (SELECT * FROM p ANTI JOIN c USING (query, url)), g AS (SELECT * FROM c ANTI JOIN p USING (query, url))
     SELECT l.url AS source, g.url AS target, sum(least(l.impressions, g.impressions)) AS weight, count(*) AS query_count, count(*) FILTER (WHERE l.query = g.query) AS exact_count
     FROM l JOIN g ON l.url <> g.url AND levenshtein(l.query, g.query) <= 2 GROUP BY ALL""",
@@ -330,12 +329,12 @@ add(
     "severity max_z baseline_ctr baseline_position",
 )
 add(
-    "position_volatility", lambda s, d: series.position_volatility(facts.dense(s, d), MONTH, top=3),
+    "position_volatility", lambda s, d: series.position_volatility(facts.dense(s, d), MONTH),
     f"""WITH {DENSE}, q AS (SELECT * FROM ({DAYS}) WHERE impressions >= 1),
     d AS (SELECT url, date, count(*) AS query_count, sum(impressions) AS day_impressions, sum(position * impressions) / sum(impressions) AS avg_position, stddev_pop(position) AS pos_sd,
             min(position) AS best_position, max(position) AS worst_position FROM q GROUP BY url, date HAVING sum(impressions) >= 10),
     s AS (SELECT *, coalesce(abs(avg_position - lag(avg_position) OVER (PARTITION BY url ORDER BY date)), 0) AS shift FROM d), v AS (SELECT *, pos_sd + shift AS volatility FROM s),
-    t AS (SELECT url, avg(volatility) AS page_volatility, max(volatility) AS page_peak, sum(day_impressions) AS page_impressions FROM v GROUP BY url HAVING count(*) >= 7 ORDER BY round(avg(volatility), 9) DESC, url LIMIT 3)
+    t AS (SELECT url, avg(volatility) AS page_volatility, max(volatility) AS page_peak, sum(day_impressions) AS page_impressions FROM v GROUP BY url HAVING count(*) >= 7 ORDER BY round(avg(volatility), 9) DESC, url LIMIT 30)
     SELECT * FROM v JOIN t USING (url)""",
     "avg_position pos_sd best_position worst_position shift volatility page_volatility page_peak",
 )

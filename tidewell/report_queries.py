@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import analyzer_queries as A
-from .analyzer_queries import BEFORE, MONTH, NOW, QUARTER, QUARTER_BEFORE, SHORT, SPARSE, WHOLE, Query, inside, rounded
+from .analyzer_queries import BEFORE, MONTH, NOW, SHORT, SPARSE, WHOLE, Query, inside, rounded
 from .operators import reports
 from .sources import facts
 
@@ -17,12 +17,12 @@ LEAST = {"least": 20}
 ASKED = {
     "brand": {"brand_terms": "red, Green."},
     "growth": {"options": {"long-tail": {"fewest": 4}}},
-    "health": {"options": {"ctr-anomaly": {"days": 1}, "change-point": {"threshold": 2.0}, "position-volatility": {"top": 3}}},
+    "health": {"options": {"ctr-anomaly": {"days": 1}, "change-point": {"threshold": 2.0}}},
     "movers": {"options": {"striking": LEAST}},
     "opportunities": {"options": {"striking": LEAST, "opportunity": LEAST, "zero-click": {"least": 30, "below_ctr": 0.035}}},
     "pre-publish": {"topic": "Red", "options": {"cannibalization": LEAST, "striking": LEAST}},
     "risks": {"options": {"cannibalization": LEAST}},
-    "triage": {"target": "https://s.example/click", "options": {"change-point": {"threshold": 2.0}, "position-volatility": {"top": 3}}},
+    "triage": {"target": "https://s.example/click", "options": {"change-point": {"threshold": 2.0}}},
 }
 FACTS = {"growth": facts.long, "health": facts.dense, "triage": facts.dense}
 
@@ -41,9 +41,8 @@ def query(name: str) -> Query:
 def analyzer(name: str, *changes: tuple[str, str]) -> str:
     """The SQL of an analyzer over the year that the reports look at, with other floors."""
     sql = A.SQL[name]
-    for period in (WHOLE, SHORT, QUARTER):
+    for period in (WHOLE, SHORT):
         sql = sql.replace(inside(period), inside(NOW))
-    sql = sql.replace(inside(QUARTER_BEFORE), inside(BEFORE))
     for old, new in changes:
         if old not in sql:
             raise ValueError(f"{name} has no {old!r}")
