@@ -22,7 +22,9 @@ CELL_SIDE = 2048
 #: Mean bucket size up to which a coarser set of band keys is taken.
 BUCKET_MEAN = 128
 #: The pipeline's stage: words of a shingle, least similarity of a link, keys by which texts meet, and the radius within which they are looked at.
-STAGE_WORDS, SIMILARITY, KEYS, STAGE_RADIUS = 5, 0.8, 12, 20
+STAGE_WORDS, SIMILARITY, KEYS, STAGE_RADIUS = 5, 0.8, 12, 18
+#: Bins of a sketch by which pairs are sorted out before their texts are fetched.
+BINS = 128
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -268,8 +270,29 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def sketched(h: np.ndarray) -> bytes:
+    """A byte for each of BINS bins of shingle hashes: of its smallest hash, or 0 if it is empty."""
+    low = np.full(BINS, ALL, np.uint64)
+    np.minimum.at(low, (h % np.uint64(BINS)).astype(np.int64), h // np.uint64(BINS))
+    byte = (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
+    return np.where(low == ALL, 0, byte).astype(np.uint8).tobytes()
+
+
+def likely(edges: DataFrame, least: float) -> DataFrame:
+    """(a, b) of those ``edges`` (a, b, sketch_a, sketch_b) whose similarity by their sketches is within four standard errors of ``least``, or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+            full = ((a > 0) | (b > 0)).sum(axis=1)
+            share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(full, 1)
+            yield batch.select(["a", "b"]).filter(pa.array(share >= least - 4 * np.sqrt(least * (1 - least) / np.maximum(full, 1))))
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def text_sketches(rows: DataFrame) -> DataFrame:
-    """``rows`` with t1 and t2 (128 bits of the words of a text), fp (of shingles of STAGE_WORDS words) and keys in place of text.
+    """``rows`` with t1 and t2 (128 bits of the words of a text), fp (of shingles of STAGE_WORDS words), keys and sketch in place of text.
 
     A key is three MinHash values of the shingles; texts of similarity s share
     a given key with chance s ** 3, and one of KEYS keys in all but
@@ -278,20 +301,21 @@ def text_sketches(rows: DataFrame) -> DataFrame:
     """
     fields = [f for f in rows.schema if f.name != "text"]
     names = [f.name for f in fields]
-    more = [T.StructField(c, T.LongType()) for c in ("t1", "t2", "fp")] + [T.StructField("keys", T.ArrayType(T.LongType()))]
+    more = [T.StructField(c, T.LongType()) for c in ("t1", "t2", "fp")] + [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         mult = np.random.default_rng(31).integers(1, 1 << 63, 3 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            t1, t2, fps, keys = [], [], [], []
+            t1, t2, fps, keys, sketches = [], [], [], [], []
             for v in batch.column("text").cast(pa.large_binary()):
                 words, digests = shingle_digests(v.as_buffer().to_pybytes() if v.is_valid else b"", STAGE_WORDS)
                 t1.append(xxh64_intdigest(words, 1))
                 t2.append(xxh64_intdigest(words, 2))
                 fps.append(folded(digests))
                 h = np.frombuffer(digests, ">u8").astype(np.uint64)
+                sketches.append(sketched(h))
                 if not len(h):
                     keys.append([])
                     continue
@@ -304,7 +328,8 @@ def text_sketches(rows: DataFrame) -> DataFrame:
             number = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             fp = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], number(t1), number(t2), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], [*names, "t1", "t2", "fp", "keys"]
+                [*[batch.column(c) for c in names], number(t1), number(t2), pa.array(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                [*names, "t1", "t2", "fp", "keys", "sketch"],
             )
 
     return rows.mapInArrow(run, T.StructType([*fields, *more]))
@@ -353,8 +378,9 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     more. Texts of equal words are one text. Others meet in buckets by MinHash
     keys, in which fingerprints are compared by bit planes; of those within
     ``radius`` bits each text is held against the first and the last before it
-    in each of its buckets, by its whole set of shingles. So a link may be
-    missed; none is wrong.
+    in each of its buckets: by a sketch, which all but sorts out those far from
+    alike, and then by its whole set of shingles. So a link may be missed; none
+    is wrong.
 
     Each row counts by itself: rows that share a doc_id, or have none, stand in
     the groups of their own texts. Null, empty and blank texts are one text.
@@ -374,13 +400,15 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     )
     marked = cut(text_sketches(rows))
     # One row for each different text, by which rows are joined where very many share one.
-    texts = cut(marked.groupBy("t1", "t2").agg(F.min("place").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    texts = cut(marked.groupBy("t1", "t2").agg(F.min("place").alias("least"), *[F.first(c).alias(c) for c in ("fp", "keys", "sketch")]))
     keyed = texts.select(F.col("t1").alias("id"), "fp", F.posexplode("keys").alias("band", "bits"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(texts.count() * KEYS, 2_000_000))
-    near = cut(compared(keyed, radius, parts, some_before).distinct())
+    met = compared(keyed, radius, parts, some_before).distinct()
+    sketch = lambda side: texts.select(F.col("t1").alias(side), F.col("sketch").alias(f"sketch_{side}")).hint("merge")
+    near = cut(likely(met.join(sketch("a"), "a").join(sketch("b"), "b"), similarity))
     met = cut(near.select(F.col("a").alias("t1")).union(near.select("b")).distinct().join(texts.select("t1", "least.k1", "least.k2"), "t1"))
     bodies = cut(docs.select(*[k.alias(n) for n, k in keys.items()], "text").join(met, ["k1", "k2"]).groupBy("t1").agg(F.first("text").alias("text")))
-    body = lambda side: bodies.select(F.col("t1").alias(side), F.col("text").alias(f"text_{side}"))
+    body = lambda side: bodies.select(F.col("t1").alias(side), F.col("text").alias(f"text_{side}")).hint("merge")
     roots = cut(components(alike(near.join(body("a"), "a").join(body("b"), "b"), similarity)).select(F.col("node").alias("t1"), "root"))
     low = with_least(roots.join(texts.select("t1", "least"), "t1"), "root", "least", "winner").select("t1", "winner")
     winners = cut(texts.join(low, "t1", "left").select("t1", "t2", F.coalesce("winner", "least").alias("winner")))
