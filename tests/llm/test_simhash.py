@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
-from tidewell.llm.simhash import band_masks, drop_near_copies, simhash_groups
+from tidewell.llm.simhash import BINS, band_masks, drop_near_copies, likely, simhash_groups, sketched
 
 
 def slow_fingerprint(text):
@@ -163,3 +164,20 @@ def test_each_row_stands_for_itself(spark):
         got = [[tuple(r) for r in drop_near_copies(spark.createDataFrame(some, schema)).collect()] for some in (rows, rows[::-1])]
         assert sorted(got[0], key=str) == sorted(got[1], key=str)
         assert len(got[0]) == want if isinstance(want, int) else sorted(got[0], key=str) == sorted(want, key=str)
+
+
+def test_sketches_keep_all_that_are_alike(spark):
+    rng = random.Random(11)
+    rows, similar = [], {}
+    for i in range(400):
+        n = rng.choice([1, 3, 10, 60, 400, 3000])
+        keep = rng.choice([1.0, 0.97, 0.9, 0.89, 0.7, 0.3, 0.0])
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = {x if rng.random() < keep else rng.getrandbits(64) for x in a}
+        similar[i] = len(a & b) / len(a | b)
+        rows.append((i, -i, *(bytearray(sketched(np.array(sorted(x), np.uint64))) for x in (a, b))))
+    edges = spark.createDataFrame(rows, "a long, b long, sketch_a binary, sketch_b binary").repartition(3)
+    got = {r.a for r in likely(edges, 0.8).collect()}
+    assert got >= {i for i, s in similar.items() if s >= 0.8}
+    assert len(got & {i for i, s in similar.items() if s < 0.5 and len(rows[i][2]) == BINS}) < 0.5 * sum(s < 0.5 for s in similar.values())
+    assert likely(edges.limit(0), 0.8).collect() == []
