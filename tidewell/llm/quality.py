@@ -219,11 +219,11 @@ def draw(docs: DataFrame, labels: DataFrame, most_labelled: int, evidence: float
     """Weighed rows, the fixed-point log ratio of each feature, and the smallest draw key that is kept."""
     spark = docs.sparkSession
     sample = cut(labelled_sample(labels, most_labelled))
-    since = len(CUTS)
+    since = len(CUTS.paths)
     grams = with_grams(docs, seed)
     ratio = spark.sparkContext.broadcast(np.round(log_ratio(grams, sample) * FIXED).astype(np.int64))
     weighed = weigh(grams, ratio, evidence)
-    clear_cuts(spark, since, but=weighed)
+    clear_cuts(spark, CUTS.paths[since:-1])
     k = target_count(weighed, sample) if share is None else round(share * weighed.count())
     return weighed, ratio, kth_largest(weighed, "draw_key", k) if k else (1 << 63) - 1
 
@@ -260,9 +260,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Texts are hashed and weighed a second time where they are read, which
     takes less than to shuffle them or to hold a second copy of them.
     """
-    since, spark = len(CUTS), docs.sparkSession
+    since, spark = len(CUTS.paths), docs.sparkSession
     _, ratio, least = draw(docs, labels, MOST_LABELLED, EVIDENCE, SEED, None)
-    clear_cuts(spark, since)
+    clear_cuts(spark, CUTS.paths[since:])
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], draw_noise(SEED).alias("noise"))
     names, text = rows.columns, f"c{docs.columns.index('text')}"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,15 @@ from pyspark.sql import functions as F
 #: White space that parts words, as a class for Java and RE2 patterns.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Folders of the tables that ``cut`` has written and that still stand.
-CUTS: list[str] = []
+
+class Cuts(threading.local):
+    """Folders of the tables that this thread has written with ``cut`` and that still stand, the latest last."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+CUTS = Cuts()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,17 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    CUTS.append(path)
+    CUTS.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_cuts(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
-    """Delete the tables that ``cut`` has written after the first ``since``, but for those that ``but`` reads; nothing else may need them still."""
-    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in but.inputFiles()} if but is not None else set()
-    for path in [p for p in CUTS[since:] if p.rpartition("/")[2] not in kept]:
+def clear_cuts(spark: SparkSession, paths: list[str]) -> None:
+    """Delete some of the tables in CUTS; nothing may need them still."""
+    for path in list(paths):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        CUTS.remove(path)
+        CUTS.paths.remove(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
