@@ -206,9 +206,10 @@ def compared(keyed: DataFrame, radius: int, parts: int, edges) -> DataFrame:
     places that are close. A bucket of more than CELL_SIDE fingerprints is
     dealt over pairs of cells.
     """
-    counts = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    sides = F.ceil(F.col("n") / CELL_SIDE).cast("int")
-    dealt = keyed.join(counts, ["band", "bits"]).withColumn("g", sides)
+    # Few buckets are so large; the others need no join.
+    counts = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > CELL_SIDE)
+    large = cut(counts.select("band", "bits", F.ceil(F.col("n") / CELL_SIDE).cast("int").alias("sides")))
+    dealt = keyed.join(large, ["band", "bits"], "left").withColumn("g", F.coalesce("sides", F.lit(1)))
     own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("g")).cast("int")
     cells = (
         dealt.withColumn("own", own)
