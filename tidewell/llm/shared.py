@@ -56,6 +56,15 @@ def clear_cuts(spark: SparkSession, paths: list[str]) -> None:
         CUTS.paths.remove(path)
 
 
+#: Rows of a few numbers up to which a written table is broadcast: some 24 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_enough(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to broadcast if it is counted small; else as it is, for a join by key."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

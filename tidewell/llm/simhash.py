@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components, with_least
-from .shared import cut, parts_for
+from .shared import cut, parts_for, small_enough
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -389,8 +389,8 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     with other columns of their own but the same doc_id and text go by a hash
     of all columns. So the result does not depend on the order of rows. Rows to drop
     are found by hashes of 128 bits of the whole row, and only those hashes
-    are shuffled, with the texts that are held against each other; Spark
-    broadcasts them where they are small, and joins by them where they aren't.
+    are shuffled, with the texts that are held against each other; they are
+    broadcast if they are counted few, and joined by key if they aren't.
     """
     spark = docs.sparkSession
     # With their nulls marked, as hashes pass over nulls.
@@ -408,7 +408,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     sketch = lambda side: texts.select(F.col("t1").alias(side), F.col("sketch").alias(f"sketch_{side}")).hint("merge")
     near = cut(likely(met.join(sketch("a"), "a").join(sketch("b"), "b"), similarity))
     met = cut(near.select(F.col("a").alias("t1")).union(near.select("b")).distinct().join(texts.select("t1", "least.k1", "least.k2"), "t1"))
-    bodies = cut(docs.select(*[k.alias(n) for n, k in keys.items()], "text").join(met, ["k1", "k2"]).groupBy("t1").agg(F.first("text").alias("text")))
+    bodies = cut(docs.select(*[k.alias(n) for n, k in keys.items()], "text").join(small_enough(met), ["k1", "k2"]).groupBy("t1").agg(F.first("text").alias("text")))
     body = lambda side: bodies.select(F.col("t1").alias(side), F.col("text").alias(f"text_{side}")).hint("merge")
     roots = cut(components(alike(near.join(body("a"), "a").join(body("b"), "b"), similarity)).select(F.col("node").alias("t1"), "root"))
     low = with_least(roots.join(texts.select("t1", "least"), "t1"), "root", "least", "winner").select("t1", "winner")
@@ -419,8 +419,8 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     judged = cut(placed.groupBy("k1", "k2").agg(F.max("won").alias("won"), F.count("*").alias("n")).where("NOT won OR n > 1"))
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *[k.alias(n) for n, k in keys.items()])
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    single = keyed.join(judged.select("k1", "k2"), ["k1", "k2"], "left_anti").select(*back)
+    single = keyed.join(small_enough(judged.select("k1", "k2")), ["k1", "k2"], "left_anti").select(*back)
     repeated = cut(judged.where("won").select("k1", "k2"))
     if repeated.isEmpty():
         return single
-    return single.unionAll(keyed.join(repeated, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*back))
+    return single.unionAll(keyed.join(small_enough(repeated), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*back))
