@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +87,20 @@ def unit_hash(*cols, seed: int = 0):
     """A seeded number in (0, 1) that depends on nothing but the given columns."""
     h = F.xxhash64(F.lit(seed), *cols)
     return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(2**53))
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and backticks included, for F.col."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``batch`` with up to ``most_bytes`` in a string or binary column, one row at least."""
+    values = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(values):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
+        yield batch.slice(at, to - at)
+        at = to
