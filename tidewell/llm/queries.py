@@ -13,6 +13,7 @@ from .divergence import divergence
 from .embeddings import embedding_groups
 from .language import identify_languages
 from .lines import dedup_lines
+from .merkle import verified
 from .mixing import mix
 from .quality import resample
 from .repeats import remove_repeats
@@ -84,6 +85,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(read(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_bpe_round_trip": op11_bpe_round_trip,
         "op12_source_divergence": op12_source_divergence,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -233,6 +239,56 @@ WITH docs AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT *, n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS changed FROM (
+    SELECT doc_id, lang, n_chars, source, text, list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END) AS crc FROM documents)
+), hashed AS (
+  SELECT doc_id, lang, a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || b AS whole, a || coalesce(strlen(changed::VARCHAR) || ':' || changed, '-') || b AS claim
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+               coalesce(strlen(text) || ':' || text, '-') AS b FROM rows)
+), leaves AS (
+  SELECT doc_id, lang, sha256(whole) AS leaf, sha256(claim) AS claim,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(whole)) - 1 AS idx FROM hashed
+), levels AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY idx) AS h FROM leaves GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: sha256(h[i] || coalesce(h[i + 1], ''))) FROM levels WHERE len(h) > 1
+), subroots AS (
+  SELECT lang, level AS height, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM levels WHERE len(h) = 1
+), tops AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: sha256(h[i] || coalesce(h[i + 1], ''))) FROM tops WHERE len(h) > 1
+), root AS (
+  SELECT level AS height, h[1] AS root FROM tops WHERE len(h) = 1
+), nodes AS (
+  SELECT lang, level, unnest(range(len(h))) AS idx, unnest(h) AS hash FROM levels
+), top_nodes AS (
+  SELECT level, unnest(range(len(h))) AS idx, unnest(h) AS hash FROM tops
+), steps AS (
+  SELECT l.lang, l.idx, s.level, (l.idx >> s.level) % 2 AS odd, n.hash
+  FROM leaves l JOIN (SELECT DISTINCT lang, level, len(h) AS n FROM levels WHERE len(h) > 1) s ON l.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN nodes n ON n.lang IS NOT DISTINCT FROM l.lang AND n.level = s.level AND n.idx = xor(l.idx >> s.level, 1)
+  UNION ALL
+  SELECT l.lang, l.idx, 1000 + t.level, (r.place >> t.level) % 2, n.hash
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang JOIN (SELECT level FROM tops WHERE len(h) > 1) t ON true
+  LEFT JOIN top_nodes n ON n.level = t.level AND n.idx = xor(r.place >> t.level, 1)
+), listed AS (
+  SELECT lang, idx, list({'odd': odd, 'hash': coalesce(hash, '')} ORDER BY level) AS s FROM steps GROUP BY lang, idx
+), proved AS (
+  SELECT l.doc_id, l.leaf, r.subroot, root.root, coalesce(p.s, []) AS s, l.claim
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang JOIN root ON true LEFT JOIN listed p ON p.lang IS NOT DISTINCT FROM l.lang AND p.idx = l.idx
+), folded AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(s, lambda x: x.hash), '')) AS proof_sha256,
+         list_reduce(list_prepend({'odd': 0::BIGINT, 'hash': claim}, s),
+                     lambda acc, x: {'odd': 0::BIGINT, 'hash': sha256(CASE WHEN x.odd = 1 THEN x.hash || acc.hash ELSE acc.hash || x.hash END)}).hash AS folded_root FROM proved
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
 OP7_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -264,4 +320,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_embedding_groups": OP7_SQL,
         "op9_url_filter": judge_sql(),
         "op12_source_divergence": OP12_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
