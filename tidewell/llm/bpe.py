@@ -8,7 +8,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 LATIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 #: Runs whose ids a task remembers.
-KNOWN_RUNS = 1 << 20
+KNOWN_RUNS = 1 << 17
 #: Bytes that must follow the start of a run for the pattern to see that it starts there: two characters of four bytes.
 AHEAD = 8
 
@@ -61,6 +61,26 @@ def starts_anew(char: str) -> bool:
     return unicodedata.category(char) != "Cn" and not unicodedata.combining(first) and first not in composing()
 
 
+@lru_cache(maxsize=4)
+def token_names(vocabulary: str) -> pa.Array:
+    """The name of each id."""
+    spec = json.loads(vocabulary)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    names = [""] * (1 + max(ids.values()))
+    for name, i in ids.items():
+        names[i] = name
+    return pa.array(names)
+
+
+def names_of(ids: pa.Array, names: pa.Array) -> pa.Array:
+    """The text of each row of packed ``ids`` as the library's decode gives it: without a decoder, the tokens' names parted by spaces."""
+    _, ends, flat = ids.buffers()
+    ends = np.frombuffer(ends, np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4
+    of = names.take(pa.array(np.frombuffer(flat, "<u4")[ends[0] : ends[-1]])) if flat is not None else pa.array([], pa.string())
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), of), " ")
+    return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
+
+
 class Codec:
     """A byte-level BPE vocabulary whose words end in a suffix, as a JSON text of the tokenizers library.
 
@@ -75,7 +95,6 @@ class Codec:
 
     def __init__(self, text: str) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
         spec = json.loads(text)
         model, extra = spec["model"], spec["added_tokens"]
@@ -87,25 +106,20 @@ class Codec:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.word_model = self.whole.model
-        #: Merges without the suffix, for windows that do not reach the end of a word.
-        self.inner_model = BPE(model["vocab"], [tuple(m) for m in (x.split(" ") if isinstance(x, str) else x for x in model["merges"])])
-        self.names: list[str] = [""] * (1 + max([*model["vocab"].values(), *(t["id"] for t in extra)]))
-        for name, i in [*model["vocab"].items(), *((t["content"], t["id"]) for t in extra)]:
-            self.names[i] = name
+        self.text, names = text, token_names(text).to_pylist()
         suffix, byte_of = model["end_of_word_suffix"], {c: b for b, c in enumerate(byte_chars())}
         special = {t["id"] for t in extra}
-        self.raw = [b"" if i in special else bytes(byte_of[c] for c in n.removesuffix(suffix)) for i, n in enumerate(self.names)] + [b" "]
+        self.raw = [b"" if i in special else bytes(byte_of[c] for c in n.removesuffix(suffix)) for i, n in enumerate(names)] + [b" "]
         self.n_bytes = np.array([len(b) for b in self.raw])
         #: What may come before a run: the end of a word, a special token, or white space (the last place, which is that of MARK).
-        self.closes = np.array([i in special or n.endswith(suffix) for i, n in enumerate(self.names)] + [True])
-        self.bars = np.array([i in special for i in range(len(self.names))] + [True])
+        self.closes = np.array([i in special or n.endswith(suffix) for i, n in enumerate(names)] + [True])
+        self.bars = np.array([i in special for i in range(len(names))] + [True])
         self.specials = sorted((t["content"] for t in extra), key=len, reverse=True)
         at = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp", "Cc")]
         white = "".join(c for c in at if self.whole.normalizer.normalize_str(c) == " ")
         self.white = re.compile(f"[{re.escape(white)}]+")
         if not set("\t\n\v\f\r ") <= set(white):
             raise ValueError("the vocabulary's normalizer must make white space of ASCII white space")
-        self.name_array = pa.array(self.names)
         self.plain = all(PATTERN == p["pattern"].get("Regex") for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
         self.known: dict[str, tuple[int, ...]] = {}
@@ -141,16 +155,16 @@ class Codec:
             known.clear()
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        """The text of each row of packed ``ids`` as the library's decode gives it: without a decoder, the tokens' names parted by spaces."""
-        _, ends, flat = ids.buffers()
-        ends = np.frombuffer(ends, np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4
-        names = self.name_array.take(pa.array(np.frombuffer(flat, "<u4")[ends[0] : ends[-1]])) if flat is not None else pa.array([], pa.string())
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), names), " ")
-        return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
-
     # -- leaves and their joins
 
+    @cached_property
+    def inner_model(self):
+        """Merges without the suffix, for windows that do not reach the end of a word."""
+        from tokenizers.models import BPE
+
+        model = json.loads(self.text)["model"]
+        return BPE(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+
     def cut_places(self, text: str, leaf_chars: int) -> list[int]:
         """Where a long text is cut: every ``leaf_chars`` characters, or as soon after as no special token or composed character is cut."""
         longest = max(map(len, self.specials), default=1)
@@ -372,9 +386,9 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     columns = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(shared.value)
+        names = token_names(shared.value)
         for batch in batches:
             for part in slices(batch, "ids"):
-                yield pa.RecordBatch.from_arrays([*part.columns, use.decode(part.column("ids"))], [*columns, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, names_of(part.column("ids"), names)], [*columns, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())]))
