@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +17,7 @@ from pyspark.sql.window import Window as W
 from ..metrics import to_sum_position
 from ..schemas import DEVICES, FACTS, FactTable
 from .staging import staged
+from .tiers import shadowed, spans
 
 
 def to_path(url: Column) -> Column:
@@ -61,6 +65,8 @@ def dates_row(totals: DataFrame, devices: DataFrame, queries: DataFrame) -> Data
 #: Days of a period after which its files are merged into the next one: days into weeks, weeks into months, months into quarters.
 TIER_DAYS = {"raw": 7, "d7": 30, "d30": 90}
 TIERS = ("raw", "d7", "d30", "d90")
+#: Milliseconds after which a lock's holder counts as lost.
+LOST_LOCK_MS = 3_600_000
 #: Younger days may still be written again.
 PENDING_DAYS = 4
 
@@ -145,7 +151,23 @@ class FactStore:
             for tier in TIERS:
                 begun = begun | ((F.col("tier") == tier) & (F.col("first_day") >= F.lit(start_of(day, tier))))
             rows = rows.where(begun & (F.col("date") >= F.lit(day)))
-        return rows.drop("tier", "first_day")
+        return self.once(table, rows, first, last, site).drop("tier", "first_day")
+
+    def once(self, table: str, rows: DataFrame, first: str | None = None, last: str | None = None, site: str | None = None) -> DataFrame:
+        """``rows`` of ``whole`` with each day from its finest partition alone, so that a merge that is under way or was broken off changes no sum.
+
+        Partitions that supply nothing are left out by their partition columns,
+        so they are not opened; where none overlap, the plan is as it was.
+        """
+        if table == "hourly_pages":
+            return rows
+        bounds = [dt.date.fromisoformat(x) if x else None for x in (first, last)]
+        for p, days in shadowed(self.partitions(table, site), TIERS, end_of, *bounds).items():
+            whole = spans(p, days, end_of)
+            here = reduce(lambda a, b: a & b, [F.col(name) == F.lit(value) for name, value in zip(self.PARTS, p, strict=True)])
+            inside = reduce(lambda a, b: a | b, [F.col("date").between(*map(F.lit, d)) for d in days])
+            rows = rows.where(~here if whole else ~(here & inside))
+        return rows
 
     def empty(self, table: str) -> DataFrame:
         return self.spark.createDataFrame([], FACTS[table].schema())
@@ -161,16 +183,52 @@ class FactStore:
             .option("compression", "zstd").partitionBy(*self.PARTS).parquet(self.path(table))
         )
 
+    def mark(self, table: str, site: str, search_type: str, tier: str, first: dt.date) -> str:
+        """The file that says a merged partition is whole; Spark doesn't read names that begin with an underscore."""
+        return f"{self.path(table, site, search_type, tier, first.isoformat())}/_merged"
+
+    def set_mark(self, *partition) -> None:
+        where, fs = self.hadoop(self.mark(*partition))
+        fs.create(where, True).close()
+
     def tier_of(self, table: str, site: str, search_type: str, day: dt.date) -> str:
-        """The tier of the partition that holds a day; raw if none does."""
-        return next((t for t in TIERS[:0:-1] if self.exists(self.path(table, site, search_type, t, start_of(day, t).isoformat()))), "raw")
+        """The tier of the partition that a day is to be written to: the one that reads take it from; raw if none holds it.
+
+        Where a merge was broken off after its partition was marked, the parts
+        of that day are deleted first, so the merged one supplies it.
+        """
+        holders = [t for t in TIERS if self.exists(self.path(table, site, search_type, t, start_of(day, t).isoformat()))]
+        for k in range(len(holders) - 1, 0, -1):
+            if self.exists(self.mark(table, site, search_type, holders[k], start_of(day, holders[k]))):
+                for finer in holders[:k]:
+                    self.delete_all(table, site, search_type, finer, [start_of(day, finer)])
+                return holders[k]
+        return holders[0] if holders else "raw"
+
+    @contextmanager
+    def locked(self, site: str, table: str, wait: float = 600.0) -> Iterator[None]:
+        """Hold the lock of a site's table: a file that only one can create. Its holder's age says when it counts as lost."""
+        where, fs = self.hadoop(f"{self.root}/_locks/{table}/{site}")
+        until = time.monotonic() + wait
+        while not fs.createNewFile(where):
+            if fs.exists(where) and time.time() * 1000 - fs.getFileStatus(where).getModificationTime() > LOST_LOCK_MS:
+                fs.delete(where, False)
+            elif time.monotonic() > until:
+                raise TimeoutError(f"{table} of {site} is locked")
+            else:
+                time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(where, False)
 
     def write_days(self, table: str, rows: DataFrame, site: str, search_type: str = "web", files: int | None = None) -> None:
         """Replace every day that ``rows`` holds, in the partition where it lies."""
         keyed = summed_by_key(rows, table).withColumn("date", F.col("date").cast("date"))
         days = [r.date for r in keyed.select("date").distinct().collect()]  # the days of one sync
-        tiers = {day: self.tier_of(table, site, search_type, day) for day in days}
-        self.replace(table, keyed, site, search_type, tiers, files)
+        with self.locked(site, table):
+            tiers = {day: self.tier_of(table, site, search_type, day) for day in days}
+            self.replace(table, keyed, site, search_type, tiers, files)
 
     def replace(self, table: str, rows: DataFrame, site: str, search_type: str, tiers: dict[dt.date, str], files: int | None = None) -> None:
         """Write ``rows`` in place of the days in ``tiers``; other days of merged partitions stay."""
@@ -186,8 +244,12 @@ class FactStore:
                 part = part.unionByName(staged(old.where(~F.col("date").isin(days)).drop(*self.PARTS)), allowMissingColumns=True)
             part = part.withColumn("tier", F.lit(tier)).withColumn("first_day", start_column(F.col("date"), tier))
             placed = part if placed is None else placed.unionByName(part)
+        merged = {(site, search_type, t, start_of(d, t)) for d, t in tiers.items() if t != "raw"}
+        marked = [p for p in merged if self.exists(self.mark(table, *p))]
         if placed is not None:
             self.put(table, placed.withColumn("site_id", F.lit(site)).withColumn("search_type", F.lit(search_type)), files)
+        for p in marked:
+            self.set_mark(table, *p)
 
     def merge_hours(self, rows: DataFrame, site: str, search_type: str = "web") -> None:
         """Upsert hourly rows by (url, date, hour): new ones win, hours that are not among them stay."""
@@ -223,32 +285,74 @@ class FactStore:
 
         A period is merged once its last day is older than TIER_DAYS of its
         parts. Search types are never merged, hours not at all. The new
-        partition is written before its parts are deleted, so a read in between
-        sees both; parts that an interrupted run has left are deleted by the
-        next one.
+        partition is written, marked as whole, and then its parts are deleted.
+        Reads take each day from its finest partition (``once``), so they give
+        the same sums at each step. Where a run was broken off, the next one
+        goes by the mark: if it is there, the parts are deleted; if not, what
+        was written is merged again from the parts, and from itself for the days
+        that no part holds.
         """
         if table == "hourly_pages":
             return 0
         made = 0
         for fine, coarse in zip(TIERS, TIERS[1:], strict=False):
-            parts = self.partitions(table, site)
             cutoff = today - dt.timedelta(max(TIER_DAYS[fine], PENDING_DAYS))
             groups: dict[tuple[str, str, dt.date], list[dt.date]] = {}
-            for where, kind, tier, first in parts:
+            for where, kind, tier, first in self.partitions(table, site):
                 if tier == fine and end_of(start_of(first, coarse), coarse) < cutoff:
                     groups.setdefault((where, kind, start_of(first, coarse)), []).append(first)
             for (where, kind, start), firsts in groups.items():
-                if self.exists(self.path(table, where, kind, coarse, start.isoformat())):
-                    self.delete_all(table, where, kind, fine, firsts)
-                    continue
-                rows = self.whole(table).where(
-                    (F.col("site_id") == where) & (F.col("search_type") == kind) & (F.col("tier") == fine) & F.col("first_day").isin(firsts)
-                )
-                self.put(table, rows.withColumn("tier", F.lit(coarse)).withColumn("first_day", F.lit(start)))
-                self.delete_all(table, where, kind, fine, firsts)
-                made += 1
+                with self.locked(where, table):
+                    made += self.merge(table, where, kind, fine, coarse, start, firsts)
         return made
 
+    def merge(self, table: str, site: str, search_type: str, fine: str, coarse: str, start: dt.date, firsts: list[dt.date]) -> int:
+        """One step of ``compact``: 1 if the partition was written, 0 if parts were left to delete."""
+        exists = self.exists(self.path(table, site, search_type, coarse, start.isoformat()))
+        if not (exists and self.exists(self.mark(table, site, search_type, coarse, start))):
+            mine = self.whole(table).where((F.col("site_id") == site) & (F.col("search_type") == search_type))
+            parts = (F.col("tier") == fine) & F.col("first_day").isin(firsts)
+            older = (F.col("tier") == coarse) & (F.col("first_day") == F.lit(start))
+            rows = self.once(table, mine, site=site).where(parts | older if exists else parts)
+            # A partition that is read cannot be written over, so its rows are put aside.
+            rows = staged(rows) if exists else rows
+            self.put(table, rows.withColumn("tier", F.lit(coarse)).withColumn("first_day", F.lit(start)))
+            self.set_mark(table, site, search_type, coarse, start)
+            self.delete_all(table, site, search_type, fine, firsts)
+            return 1
+        self.delete_all(table, site, search_type, fine, firsts)
+        return 0
+
+    def sweep(self, now_ms: int, grace_ms: int, site: str | None = None) -> int:
+        """Delete what no read needs and is older than ``grace_ms``; how many folders that were.
+
+        Those are folders of writes that broke off, and parts of partitions that
+        are marked as whole. A part is looked at again under the lock of its
+        table and site, as a writer may be at it. Younger ones stay, as their writer may
+        still be at work or their reader at reading.
+        """
+        swept = 0
+        for table in FACTS:
+            where, fs = self.hadoop(self.path(table))
+            if not fs.exists(where):
+                continue
+            broken = [f for f in fs.listStatus(where) if f.isDirectory() and f.getPath().getName().startswith((".spark-staging", "_temporary"))]
+            for f in broken:
+                swept += f.getModificationTime() <= now_ms - grace_ms and bool(fs.delete(f.getPath(), True))
+            if table == "hourly_pages":
+                continue
+            found = set(self.partitions(table, site))
+            for p in sorted(found):
+                over = [(*p[:2], t, start_of(p[3], t)) for t in TIERS[TIERS.index(p[2]) + 1 :]]
+                if not any(c in found for c in over):
+                    continue
+                with self.locked(p[0], table):
+                    path, _ = self.hadoop(self.path(table, *p[:3], p[3].isoformat()))
+                    old = fs.exists(path) and fs.getFileStatus(path).getModificationTime() <= now_ms - grace_ms
+                    if old and any(self.exists(self.mark(table, *c)) for c in over):
+                        swept += bool(fs.delete(path, True))
+        return swept
+
     def delete_all(self, table: str, site: str, search_type: str, tier: str, firsts: list[dt.date]) -> None:
         for first in firsts:
             self.delete(self.path(table, site, search_type, tier, first.isoformat()))
