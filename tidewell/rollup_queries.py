@@ -11,7 +11,9 @@ from .operators import cohorts, rollups
 from .plan_queries import DIM, lake
 from .plans.periods import islands
 from .sources import facts
-from .sources.ingest import from_api, overlay, summed_by_key
+from .sources.ingest import FactStore, from_api, overlay, start_column, summed_by_key
+from .sources.staging import shared_path
+from .streaming.ingest import latest_rows
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -271,3 +273,37 @@ add(
     "overlay_view", lambda s, d: (lambda p: overlay(p.where("date < '1998-01-01'"), p.where("date >= '1997-12-01'")))(facts.sparse(s, d).pages),
     f"WITH {SPARSE} SELECT url, date, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, sum(sum_position) AS sum_position FROM sparse GROUP BY ALL", "sum_position",
 )
+
+
+def api_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as API rows of pages: a supplier's page by line number and day, sent again with each later order."""
+    lines = facts.table(spark, sf_dir, "lineitem")
+    url = F.concat(F.lit("https://shop.example/s/"), "l_suppkey", F.lit("?line="), "l_linenumber")
+    return lines.select(
+        F.array(url, F.col("l_shipdate").cast("date").cast("string")).alias("keys"), F.col("l_quantity").cast("int").alias("clicks"),
+        (F.col("l_quantity").cast("int") * 10).alias("impressions"), (F.col("l_linenumber") * 2.0).alias("position"), F.timestamp_seconds("l_orderkey").alias("arrived"),
+    )
+
+
+add(
+    "ingest_latest_rows", lambda s, d: summed_by_key(latest_rows(api_rows(s, d), "pages"), "pages"),
+    """WITH lines AS (
+      SELECT l_suppkey, l_linenumber, CAST(l_shipdate AS DATE) AS date, CAST(trunc(l_quantity) AS INT) AS n,
+             row_number() OVER (PARTITION BY l_suppkey, l_linenumber, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC) AS k FROM lineitem
+    )
+    SELECT '/s/' || l_suppkey AS url, date, CAST(sum(n) AS BIGINT) AS clicks, CAST(sum(10 * n) AS BIGINT) AS impressions,
+           CAST(sum((2.0 * l_linenumber - 1) * 10 * n) AS DOUBLE) AS sum_position FROM lines WHERE k = 1 GROUP BY 1, 2""",
+)
+
+
+def half_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page facts read from a store in which weeks stand beside the months and quarters that they are merged into."""
+    store, pages = FactStore(spark, shared_path(spark, "store")), facts.sparse(spark, sf_dir).pages
+    place = lambda rows, tier: rows.withColumn("tier", F.lit(tier)).withColumn("first_day", start_column(F.col("date"), tier))
+    # Later years are in weeks too, the last one in weeks alone.
+    rows = place(pages.where("date < '1998-01-01'"), "d30").unionByName(place(pages.where("date >= '1995-01-01'"), "d7")).unionByName(place(pages.where("date < '1993-07-01'"), "d90"))
+    store.put("pages", rows.withColumn("site_id", F.lit("s")).withColumn("search_type", F.lit("web")), 8)
+    return store.read("pages", "1993-02-10", "1998-03-05").select("url", "date", "clicks", "impressions", "sum_position")
+
+
+add("store_half_merged", half_merged, f"WITH {SPARSE} SELECT url, date, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, sum(sum_position) AS sum_position FROM sparse WHERE date BETWEEN DATE '1993-02-10' AND DATE '1998-03-05' GROUP BY url, date")
