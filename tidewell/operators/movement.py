@@ -8,10 +8,13 @@ from pyspark.sql.window import Window as W
 
 from ..metrics import aggregates, over, percent_change
 from ..sources.facts import Facts
+from ..sources.staging import staged
 from .scoring import during, named, pairs
 
 #: Most edits between two queries that still count as the same.
 EDITS = 2
+#: Pairs that may meet in one piece before a second one must be shared.
+HEAVY_PAIRS = 100_000
 
 
 def either(df: DataFrame, now: tuple[str, str], before: tuple[str, str]) -> DataFrame:
@@ -127,12 +130,16 @@ def query_migration(facts: Facts, now, before, least=20) -> DataFrame:
     )
 
 
-def near_words(left: DataFrame, right: DataFrame, edits: int = EDITS) -> DataFrame:
+def near_words(left: DataFrame, right: DataFrame, edits: int = EDITS, heavy: int = HEAVY_PAIRS) -> DataFrame:
     """(x, y): different words within ``edits`` edits.
 
     x is cut into edits + 1 pieces by its length; edits can touch all but one of
-    them, and the untouched piece stands in y at most ``edits`` places off. Words
-    too short to be cut are looked up by length alone, of which there are few.
+    them, and the untouched piece stands in y at most ``edits`` places off. A
+    piece in which more than ``heavy`` pairs would meet, as a common beginning,
+    is split by a second key: of the halves of the other pieces, edits can touch all
+    but two, so the words also share one of those, again at most ``edits`` places
+    off. Words too short to be cut are looked up by length alone, of which
+    there are few.
     """
     n = edits + 1
     xs = left.select("x").distinct().withColumn("lx", F.length("x"))
@@ -151,7 +158,18 @@ def near_words(left: DataFrame, right: DataFrame, edits: int = EDITS) -> DataFra
         ]
     )
     y_keys = sized.where("ly + 2 >= lx").select("y", "lx", F.explode(shifted).alias("key")).select("y", "lx", "key.*").where("piece IS NOT NULL").distinct()
-    cut = x_keys.join(y_keys, ["lx", "k", "piece"]).select("x", "y")
+    key = ["lx", "k", "piece"]
+    many = x_keys.groupBy(key).agg(F.count("*").alias("nx")).join(y_keys.groupBy(key).agg(F.count("*").alias("ny")), key).where(F.col("nx") * F.col("ny") > heavy).select(key)
+    many = staged(many)
+    plain = x_keys.join(many, key, "left_anti").join(y_keys, key).select("x", "y")
+    # Half h of piece j: of the halves of the other pieces, edits leave at least one as it is, too.
+    half = lambda j, h: begin(j, F.col("lx")) + F.floor((begin(j + 1, F.col("lx")) - begin(j, F.col("lx"))) * h / 2).cast("int")
+    place = lambda j, h, word, d: F.struct(F.lit(j).alias("j"), F.lit(h).alias("h"), F.when(half(j, h) + d >= 0, piece(word, half(j, h) + d, half(j, h + 1) - half(j, h))).alias("second"))
+    halves = [(j, h) for j in range(n) for h in range(2)]
+    x_seconds = x_keys.join(many, key, "left_semi").select("x", *key, F.explode(F.array(*[place(j, h, F.col("x"), 0) for j, h in halves])).alias("s"))
+    y_seconds = y_keys.join(many, key, "left_semi").select("y", *key, F.explode(F.array(*[place(j, h, F.col("y"), d) for j, h in halves for d in range(-edits, edits + 1)])).alias("s"))
+    seconds = [t.select(w, *key, "s.*").where("j <> k AND second IS NOT NULL").distinct() for t, w in ((x_seconds, "x"), (y_seconds, "y"))]
+    cut = plain.unionByName(seconds[0].join(seconds[1], [*key, "j", "h", "second"]).select("x", "y"))
     short = xs.where(F.col("lx") < n).join(ys.where(F.col("ly") < n + edits).withColumn("lx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ly") - edits), F.col("ly") + edits))), "lx").select("x", "y")
     return cut.unionByName(short).distinct().where((F.col("x") != F.col("y")) & F.levenshtein("x", "y", edits).between(0, edits))
 

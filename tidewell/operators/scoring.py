@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..metrics import aggregates, clamp, over, position
 from ..sources.facts import Facts
+from .dealt import pairs_within, running_sum
 
 
 def during(df: DataFrame, period: tuple[str, str]) -> DataFrame:
@@ -121,14 +122,15 @@ def competitor_edges(facts: Facts, period, least=50, rivals=2, most=1000) -> Dat
     """Pairs of pages that compete for the ``most`` gravest queries: for how many, and the impressions of the weaker page.
 
     The graph is that of a page of findings, so its queries are bounded; a
-    query gives an edge for each two of its pages, as the graph has them.
+    query gives an edge for each two of its pages, as the graph has them. The
+    pages of a query meet tile by tile (``pairs_within``), and tasks add up the
+    edges of their tiles before edges are shuffled.
     """
     agg = named(pairs(facts, period, least), "query", "url")
     kept = cannibalization(facts, period, least, rivals).orderBy(F.desc("severity"), F.desc(F.round("stolen_clicks", 6)), "query").limit(most).select("query")
     rows = agg.join(kept, "query", "left_semi").select("query", "url", "impressions")
-    other = rows.select("query", F.col("url").alias("target"), F.col("impressions").alias("more"))
-    met = rows.withColumnRenamed("url", "source").join(other, "query").where("source < target")
-    return met.groupBy("source", "target").agg(F.count("*").alias("queries"), F.sum(F.least("impressions", "more")).alias("weight"))
+    met = pairs_within(rows, "query", "url")
+    return met.groupBy(F.col("url").alias("source"), F.col("other_url").alias("target")).agg(F.count("*").alias("queries"), F.sum(F.least("impressions", "other_impressions")).alias("weight"))
 
 
 #: Words and phrases that open a query and name its intent.
@@ -164,19 +166,16 @@ def clustering(facts: Facts, period, least=10, smallest=2, by="both") -> DataFra
 def concentration(facts: Facts, period, dimension="pages", top=10) -> DataFrame:
     """One row: Gini coefficient, Herfindahl index and the share of the top items among those with clicks.
 
-    Ranks of all items would need one task; items are ranked by distinct click count
-    instead, so the window runs over a table of counts.
+    Items are counted by their clicks, and ranks follow from running sums over
+    ranges of distinct click counts (``running_sum``), so no task orders them all.
     """
     source, key = (facts.queries, "query") if dimension == "keywords" else (facts.pages, "url")
     items = during(source, period).groupBy(F.col(key).alias("key")).agg(F.sum("clicks").cast("double").alias("clicks")).where("clicks > 0")
-    sizes = items.groupBy("clicks").agg(F.count("*").alias("n"))
-    order = W.orderBy("clicks").rowsBetween(W.unboundedPreceding, -1)
-    above = W.orderBy(F.desc("clicks")).rowsBetween(W.unboundedPreceding, -1)
-    ranked = sizes.select("*", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("below"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("over"))
-    total = sizes.agg(F.sum(F.col("n") * F.col("clicks")).alias("total"), F.sum("n").alias("items"))
+    ranked = running_sum(items.groupBy("clicks").agg(F.count("*").alias("n")), "clicks", "n", "below")
+    total = ranked.agg(F.sum(F.col("n") * F.col("clicks")).alias("total"), F.sum("n").alias("items"))
     # n items with equal clicks hold ranks below + 1 to below + n.
     ranks = F.col("n") * F.col("below") + F.col("n") * (F.col("n") + 1) / 2
-    sums = ranked.crossJoin(F.broadcast(total)).agg(
+    sums = ranked.crossJoin(F.broadcast(total)).withColumn("over", F.col("items") - F.col("below") - F.col("n")).agg(
         F.sum((2 * ranks - F.col("n") * (F.col("items") + 1)) * F.col("clicks")).alias("weighted"),
         F.sum(F.col("n") * F.pow(100 * F.col("clicks") / F.col("total"), F.lit(2))).alias("h"),
         F.sum(F.col("clicks") * F.greatest(F.lit(0), F.least("n", F.lit(top) - F.col("over")))).alias("top_clicks"),
