@@ -61,20 +61,25 @@ def canonical_kind(user: Column, chosen: Column) -> Column:
 
 
 def latest(inspections: DataFrame) -> DataFrame:
-    """The newest inspection of each url."""
-    newest = F.row_number().over(W.partitionBy("url").orderBy(F.desc("inspected_at")))
+    """The newest inspection of each url; of several at one moment, the one with the largest hash."""
+    newest = F.row_number().over(W.partitionBy("url").orderBy(F.desc("inspected_at"), F.desc(F.xxhash64(*inspections.columns))))
     return inspections.withColumn("n", newest).where("n = 1").drop("n")
 
 
 def transitions(inspections: DataFrame, fields: tuple[str, ...] = STATE_FIELDS) -> DataFrame:
-    """Inspections that differ from the one before in any state field, nulls compared as values; one of each url and moment."""
-    by = W.partitionBy("url").orderBy("inspected_at")
+    """Inspections that differ from the one before in any state field, nulls compared as values; one of each url and moment.
+
+    Those of one moment come in the order of their hashes, so reruns agree.
+    """
+    tie = F.xxhash64(*inspections.columns)
+    by = W.partitionBy("url").orderBy("inspected_at", tie)
     used = [f for f in fields if f in inspections.columns]
     rows = inspections.select("*", F.lag("inspected_at").over(by).alias("previous_at"), *[F.lag(f).over(by).alias(f"previous_{f}") for f in used])
     changed = F.lit(False)
     for f in used:
         changed = changed | ~F.col(f).eqNullSafe(F.col(f"previous_{f}"))
-    return rows.where(F.col("previous_at").isNotNull() & changed).dropDuplicates(["url", "previous_at"])
+    first = F.row_number().over(W.partitionBy("url", "previous_at").orderBy("inspected_at", tie))
+    return rows.where(F.col("previous_at").isNotNull() & changed).withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def issue_conditions(today: Column) -> dict[str, Column]:

@@ -12,6 +12,7 @@ from .plan_queries import DIM, lake
 from .plans.periods import islands
 from .sources import facts
 from .sources.ingest import FactStore, from_api, overlay, start_column, summed_by_key
+from .sources.inspections import InspectionStore
 from .sources.staging import shared_path
 from .streaming.ingest import latest_rows
 
@@ -307,3 +308,15 @@ def half_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("store_half_merged", half_merged, f"WITH {SPARSE} SELECT url, date, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, sum(sum_position) AS sum_position FROM sparse WHERE date BETWEEN DATE '1993-02-10' AND DATE '1998-03-05' GROUP BY url, date")
+
+
+def inspected_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of state by url, from a store that gets the inspections in three batches, the middle one last and one of them twice."""
+    rows = inspections(spark, sf_dir)
+    store = InspectionStore(spark, shared_path(spark, "inspections"), rows.schema, ("verdict", "page_fetch_state"), 8)
+    for rest in (0, 2, 0, 1):
+        store.add(rows.where(F.col("seq") % 3 == rest))
+    return store.changes().groupBy("url").agg(F.count("*").alias("n"))
+
+
+add("inspection_store_changes", inspected_by_batches, SQL["indexing_transitions"])
