@@ -144,3 +144,34 @@ def test_no_merged_shard_exceeds_the_target(spark, tmp_path, groups):
     after = store.compact()
     assert after.version > 1 and all(s.bytes <= store.target for s in after.shards)
     assert store.read().count() == groups * 120
+
+
+def test_a_vacuum_between_write_and_commit_loses_no_committed_row(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/v")
+    store.append(spark.createDataFrame(rows(10), SCHEMA))
+    base = store.manifest()
+    new = store.written(spark.createDataFrame(rows(5), SCHEMA), base.version + 1)
+    store.vacuum(grace_ms=3_600_000)
+    kept = store.commit(base, base.shards + new)
+    assert store.read().count() == 15
+    gone = store.written(spark.createDataFrame(rows(5), SCHEMA), kept.version + 1)
+    store.vacuum()
+    with pytest.raises(Conflict):
+        store.commit(kept, kept.shards + gone)
+    assert store.manifest() == kept and store.read().count() == 15
+
+
+def test_an_append_goes_after_another_writer(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/w"
+    one, two = ShardStore(spark, root), ShardStore(spark, root)
+    written, first = ShardStore.written, []
+
+    def interrupted(self, *args):
+        shards = written(self, *args)
+        if self is one and not first:
+            first.append(two.append(spark.createDataFrame(rows(4), SCHEMA)))
+            two.vacuum()  # deletes what the other has not committed
+        return shards
+
+    monkeypatch.setattr(ShardStore, "written", interrupted)
+    assert one.append(spark.createDataFrame(rows(6), SCHEMA)).version == 2 and one.read().count() == 10

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, parts_for
+from .shared import cut, parts_for, quoted
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE_WORDS = 5
@@ -158,7 +158,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAIN
     doc_id, so nothing is shuffled. Between two blocks of items the rows that
     are left are written out, so that a task holds one index at a time.
     """
-    kept = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    kept = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     at = docs.columns.index("text")
     for k, shared in enumerate(indexes(docs.sparkSession, benchmark, threshold, pass_bytes)):
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .shared import WORD_PATTERN, cut
+from .shared import WORD_PATTERN, cut, quoted
 
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     gives none.
     """
     base = docs.select(
-        F.struct(*(keep or docs.columns)).alias("row"),
+        F.struct(*map(quoted, keep or docs.columns)).alias("row"),
         F.col("source").cast("string").alias("source"),
         n_words(F.col("text")).alias("size"),
         F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")).alias("h"),
@@ -152,5 +152,5 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it has copies, columns as they came."""
+    """The mix itself: each row of ``docs`` as often as it has copies, columns as they came, whatever their names; nulls as ``mix`` takes them."""
     return mix(docs).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import CUTS, clear_cuts, cut, unit_hash
+from .shared import CUTS, clear_cuts, cut, quoted, unit_hash
 from .words import Tokens
 
 #: Buckets of hashed one- and two-token grams; two more count three-token grams new to their text and seen in it before.
@@ -263,7 +263,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     since, spark = len(CUTS.paths), docs.sparkSession
     _, ratio, least = draw(docs, labels, MOST_LABELLED, EVIDENCE, SEED, None)
     clear_cuts(spark, CUTS.paths[since:])
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], draw_noise(SEED).alias("noise"))
+    rows = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)], draw_noise(SEED).alias("noise"))
     names, text = rows.columns, f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -10,7 +11,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import quoted, shared_dir
 
 TARGET_BYTES = 32 << 20
 #: Tiers part at TARGET_BYTES / FANOUT, TARGET_BYTES / FANOUT ** 2 and so on; that many shards of a tier start a merge.
@@ -34,6 +35,10 @@ class Manifest:
     shards: list[Shard] = field(default_factory=list)
 
 
+#: Versions that an append goes after before it gives up.
+TRIES = 5
+
+
 class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -74,7 +79,12 @@ class ShardStore:
         return Manifest(raw["version"], [Shard(**s) for s in raw["shards"]])
 
     def commit(self, based_on: Manifest, shards: list[Shard]) -> Manifest:
-        """Make ``shards`` the next version after ``based_on``, or raise Conflict."""
+        """Make ``shards`` the next version after ``based_on``, or raise Conflict: if that is taken, or if files of ``shards`` are gone, as after a vacuum."""
+        held = {s.path for s in based_on.shards}
+        for folder in sorted({s.path.partition("/")[0] for s in shards if s.path not in held and s.path.startswith("data-")}):
+            there = {f"{folder}/{n}" for n, _ in self.files(folder)}
+            if any(s.path not in there for s in shards if s.path.startswith(f"{folder}/")):
+                raise Conflict(f"files of {folder} are gone")
         new = Manifest(based_on.version + 1, shards)
         name, aside = f"manifest-{new.version:010d}.json", self.Path(f"{self.root}/.aside-{uuid.uuid4().hex}")
         stream = self.fs.create(aside, False)
@@ -113,12 +123,24 @@ class ShardStore:
     def rows(self, shards: list[Shard]) -> DataFrame:
         """row (a struct of the columns as written) and the name of the file it lies in."""
         found = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in shards])
-        return found.select(F.struct(*found.columns).alias("row"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("shard_file"))
+        return found.select(F.struct(*map(quoted, found.columns)).alias("row"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard_file"))
 
     def append(self, arrivals: DataFrame) -> Manifest:
-        """Add ``arrivals`` as small shards, written by the tasks that read them, without a shuffle."""
-        base = self.manifest()
-        return self.commit(base, base.shards + self.written(arrivals, base.version + 1, ARRIVAL_ROWS))
+        """Add ``arrivals`` as small shards, written by the tasks that read them, without a shuffle.
+
+        Where another writer was first, they are added to its version; where
+        their files are gone, they are written again.
+        """
+        new: list[Shard] | None = None
+        for left in reversed(range(TRIES)):
+            base = self.manifest()
+            if new is None or any(not self.fs.exists(self.Path(f"{self.root}/{s.path}")) for s in new):
+                new = self.written(arrivals, base.version + 1, ARRIVAL_ROWS)
+            try:
+                return self.commit(base, base.shards + new)
+            except Conflict:
+                if not left:
+                    raise
 
     def tier(self, size: int) -> int:
         """0 for shards of target size, one more for each factor of FANOUT below it."""
@@ -160,11 +182,17 @@ class ShardStore:
             base = self.commit(base, [s for s in base.shards if s.path not in into] + new)
         return base
 
-    def vacuum(self) -> None:
-        """Delete files that the newest manifest does not name."""
+    def vacuum(self, grace_ms: int = 0) -> None:
+        """Delete files that the newest manifest does not name and that are older than ``grace_ms``.
+
+        With no grace, files of a writer that has not committed go too; its
+        commit then raises Conflict. Where others write, give a grace longer
+        than a write takes, as readers of earlier versions need it as well.
+        """
+        latest = time.time() * 1000 - grace_ms
         live = {s.path for s in self.manifest().shards}
         for folder, _ in self.files("."):
-            if folder.startswith("data-"):
+            if folder.startswith("data-") and (not grace_ms or self.fs.getFileStatus(self.Path(f"{self.root}/{folder}")).getModificationTime() <= latest):
                 gone = [n for n, _ in self.files(folder) if f"{folder}/{n}" not in live]
                 if len(gone) == len(self.files(folder)):
                     self.fs.delete(self.Path(f"{self.root}/{folder}"), True)

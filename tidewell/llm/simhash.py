@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components, with_least
-from .shared import cut, parts_for, small_enough
+from .shared import cut, parts_for, quoted, small_enough
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -394,7 +394,10 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     """
     spark = docs.sparkSession
     # With their nulls marked, as hashes pass over nulls.
-    whole = F.struct(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+    has_map = lambda f: "map<" in f.dataType.simpleString()
+    # Maps have no hash, so they go by their text.
+    value = {f.name: F.to_json(F.struct(F.col(quoted(f.name)).alias("m"))) if has_map(f) else F.col(quoted(f.name)) for f in docs.schema}
+    whole = F.struct(*[x for c in docs.columns for x in (value[c], F.col(quoted(c)).isNull())])
     keys = {"k1": F.xxhash64(F.lit(1), whole), "k2": F.xxhash64(F.lit(2), whole)}
     rows = docs.select(
         F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), *[k.alias(n) for n, k in keys.items()]).alias("place"), "text"
@@ -417,7 +420,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     placed = marked.select("place", "t1", "t2").join(winners, ["t1", "t2"]).select("place.k1", "place.k2", won.alias("won"))
     # A winner that stands in several equal rows is held apart and made one.
     judged = cut(placed.groupBy("k1", "k2").agg(F.max("won").alias("won"), F.count("*").alias("n")).where("NOT won OR n > 1"))
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *[k.alias(n) for n, k in keys.items()])
+    keyed = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)], *[k.alias(n) for n, k in keys.items()])
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     single = keyed.join(small_enough(judged.select("k1", "k2")), ["k1", "k2"], "left_anti").select(*back)
     repeated = cut(judged.where("won").select("k1", "k2"))
