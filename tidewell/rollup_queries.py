@@ -9,6 +9,7 @@ from .analyzer_queries import FOUR, SPARSE, Query, inside, rounded, tidy
 from .operators import indexing as I
 from .operators import cohorts, rollups
 from .plan_queries import DIM, lake
+from .plans.coverage import coverage
 from .plans.periods import islands
 from .sources import facts
 from .sources.ingest import FactStore, from_api, overlay, start_column, summed_by_key
@@ -320,3 +321,21 @@ def inspected_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("inspection_store_changes", inspected_by_batches, SQL["indexing_transitions"])
+
+
+def held_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which each supplier of the first ten shipped something, as days that tables of these names hold."""
+    lines = facts.table(spark, sf_dir, "lineitem").where("l_suppkey <= 10")
+    return lines.select(F.col("l_suppkey").cast("string").alias("table"), F.col("l_shipdate").cast("date").alias("date"))
+
+
+add(
+    "coverage_runs_and_gaps", lambda s, d: coverage(held_days(s, d), {str(k): k % 2 == 0 for k in range(1, 12)}, "1994-01-01", "1997-12-31"),
+    """WITH asked AS (SELECT CAST(k AS VARCHAR) AS "table", k % 2 = 0 AS required FROM range(1, 12) r(k)),
+    calendar AS (SELECT CAST(DATE '1994-01-01' + CAST(i AS INT) AS DATE) AS date FROM range(0, 1461) r(i)),
+    held AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS "table", CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_suppkey <= 10),
+    each AS (SELECT a."table", required, c.date, CASE WHEN h.date IS NULL THEN 'gap' ELSE 'covered' END AS kind
+             FROM asked a CROSS JOIN calendar c LEFT JOIN held h ON h."table" = a."table" AND h.date = c.date),
+    runs AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY "table", kind ORDER BY date) AS INT) AS run FROM each)
+    SELECT "table", required, kind, min(date) AS first_day, max(date) AS last_day, CAST(count(*) AS INT) AS days FROM runs GROUP BY "table", required, kind, run""",
+)
