@@ -4,7 +4,9 @@ import re
 import numpy as np
 import xxhash
 
-from tidewell.llm.simhash import BINS, band_masks, drop_near_copies, likely, simhash_groups, sketched
+from tidewell.llm import simhash
+from tidewell.llm.shared import cut
+from tidewell.llm.simhash import BINS, alike, band_masks, drop_near_copies, likely, linked, named, simhash_groups, sketched
 
 
 def slow_fingerprint(text):
@@ -110,8 +112,6 @@ def test_against_brute_force(spark):
 
 
 def test_hot_bucket_is_dealt_over_cells(spark, monkeypatch):
-    from tidewell.llm import simhash
-
     monkeypatch.setattr(simhash, "CELL_SIDE", 8)
     fps = [(1 << a) | (1 << b) for a in range(20) for b in range(a)]
     edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
@@ -181,3 +181,49 @@ def test_sketches_keep_all_that_are_alike(spark):
     assert got >= {i for i, s in similar.items() if s >= 0.8}
     assert len(got & {i for i, s in similar.items() if s < 0.5 and len(rows[i][2]) == BINS}) < 0.5 * sum(s < 0.5 for s in similar.values())
     assert likely(edges.limit(0), 0.8).collect() == []
+
+
+def slow_alike(x, y, least=0.8):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.split(), y.split()))
+    return len(a & b) >= least * len(a | b) - 1e-9
+
+
+def test_texts_of_a_hub_are_dealt_and_edges_kept_exactly(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HUB_EDGES", 7)
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    bases = [rng.choices(words, k=n) for n in (1, 6, 80, 300, 5_000)]
+    texts = []
+    for i in range(150):
+        text = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 3, 6]) * max(1, len(text) // 200)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        texts.append(" ".join(text))
+    # Text 0 has an edge to each other one; the others have some, right or wrong.
+    edges = sorted({(0, i) for i in range(1, 150)} | {tuple(sorted(rng.sample(range(150), 2))) for _ in range(300)})
+    bodies = cut(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3))
+    near = cut(spark.createDataFrame([(*e, rng.random()) for e in edges], "a long, b long, share double").repartition(3))
+    right = [e for e in edges if slow_alike(texts[e[0]], texts[e[1]])]
+    assert 20 < len(right) < len(edges) - 20
+    assert sorted(tuple(r) for r in alike(near, bodies, 0.8).collect()) == right
+    root = list(range(150))
+    for _ in range(150):
+        for a, b in right:
+            root[a] = root[b] = min(root[a], root[b])
+    ends = {x for e in right for x in e}
+    assert {r.node: r.root for r in linked(near, bodies, 0.8).collect()} == {x: root[x] for x in ends}
+    assert linked(near.limit(0), bodies, 0.8).collect() == []
+
+
+def test_texts_that_share_half_their_name_stay_apart(spark, monkeypatch):
+    rows = [(1, 5), (1, 3), (1, 9), (2, 5), (-4, 0)]
+    got = {(r.t1, r.t2): r.id for r in named(spark.createDataFrame(rows, "t1 long, t2 long")).collect()}
+    assert len(set(got.values())) == len(rows) and got[1, 3] == 1 and got[2, 5] == 2 and got[-4, 0] == -4
+    # With all first halves equal, texts still go by themselves.
+    real = simhash.text_sketches
+    monkeypatch.setattr(simhash, "text_sketches", lambda rows: real(rows).selectExpr("place", "7L AS t1", "t2", "fp", "keys", "sketch"))
+    rng = random.Random(2)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "ab")
+    docs = [(1, a), (2, b), (3, a), (4, b + " more"), (5, None)]
+    kept = drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 5]

@@ -23,6 +23,8 @@ CELL_SIDE = 2048
 BUCKET_MEAN = 128
 #: The pipeline's stage: words of a shingle, least similarity of a link, keys by which texts meet, and the radius within which they are looked at.
 STAGE_WORDS, SIMILARITY, KEYS, STAGE_RADIUS = 5, 0.8, 12, 18
+#: Edges of one text that are looked at in one task.
+HUB_EDGES = 512
 #: Bins of a sketch by which pairs are sorted out before their texts are fetched.
 BINS = 128
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -280,16 +282,17 @@ def sketched(h: np.ndarray) -> bytes:
 
 
 def likely(edges: DataFrame, least: float) -> DataFrame:
-    """(a, b) of those ``edges`` (a, b, sketch_a, sketch_b) whose similarity by their sketches is within four standard errors of ``least``, or more."""
+    """(a, b, share) of those ``edges`` (a, b, sketch_a, sketch_b) whose similarity by their sketches, share, is within four standard errors of ``least``, or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
             full = ((a > 0) | (b > 0)).sum(axis=1)
             share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(full, 1)
-            yield batch.select(["a", "b"]).filter(pa.array(share >= least - 4 * np.sqrt(least * (1 - least) / np.maximum(full, 1))))
+            yes = pa.array(share >= least - 4 * np.sqrt(least * (1 - least) / np.maximum(full, 1)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "share"]).filter(yes)
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(run, "a long, b long, share double")
 
 
 def text_sketches(rows: DataFrame) -> DataFrame:
@@ -336,6 +339,16 @@ def text_sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*fields, *more]))
 
 
+def named(texts: DataFrame) -> DataFrame:
+    """``texts`` (t1, t2, one row per pair) with id, a long of their own: t1, or, where several have that t1, a hash of both for all but one of them."""
+    twice = cut(texts.groupBy("t1").agg(F.count("*").alias("n"), F.min("t2").alias("first")).where("n > 1").select("t1", "first"))
+    if twice.isEmpty():
+        return texts.withColumn("id", F.col("t1"))
+    marked = texts.join(small_enough(twice), "t1", "left")
+    other = F.col("first").isNotNull() & (F.col("first") != F.col("t2"))
+    return marked.withColumn("id", F.when(other, F.xxhash64("t1", "t2")).otherwise(F.col("t1"))).drop("first")
+
+
 def some_before(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """For each place the first and the last one before it that are close to it: two edges at most for each text and bucket, never all pairs."""
     first, last = np.full(len(ids), len(ids)), np.full(len(ids), -1)
@@ -347,28 +360,60 @@ def some_before(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]])
     return np.r_[ids[first[some]], ids[last[more]]], np.r_[ids[some], ids[more]]
 
 
-def alike(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b) of those ``pairs`` (a, b, text_a, text_b) whose sets of shingles have a Jaccard similarity of ``least`` or more."""
+def alike(edges: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """(a, b) of those ``edges`` (a, b) whose texts in ``bodies`` (id, text) have sets of shingles with a Jaccard similarity of ``least`` or more, written out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, set[bytes]] = (None, set())
+    A text is sent once for each edge in which it is b, and as a once to each
+    HUB_EDGES of its edges, which are compared in one task; the task holds the
+    shingles of one a at a time.
+    """
+    spark = edges.sparkSession
+    degree = edges.groupBy("a").agg(F.ceil(F.count("*") / HUB_EDGES).alias("splits"))
+    dealt = edges.select("a", "b").join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("splits")).alias("split"), "b")
+    hubs = dealt.select(F.col("a").alias("id"), "a", "split", F.lit(None).cast("long").alias("b")).distinct()
+    sides = cut(dealt.select(F.col("b").alias("id"), "a", "split", "b").unionAll(hubs))
+    sent = bodies.join(small_enough(sides), "id").select("a", "split", "b", "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(sides.count(), 10_000))
+    placed = sent.repartition(parts, "a", "split").sortWithinPartitions("a", "split", F.col("b").asc_nulls_first())
 
-        def shingles(text: pa.Scalar) -> set[bytes]:
-            raw = shingle_digests(text.as_py() if text.is_valid else b"", STAGE_WORDS)[1]
-            return {raw[i : i + 8] for i in range(0, len(raw), 8)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shingles(text: pa.Scalar) -> np.ndarray:
+            return np.unique(np.frombuffer(shingle_digests(text.as_buffer().to_pybytes(), STAGE_WORDS)[1], ">u8").astype(np.uint64))
 
+        hub = np.zeros(0, np.uint64)
         for batch in batches:
-            ids, texts = batch.column("a").to_pylist(), [batch.column(c).cast(pa.large_binary()) for c in ("text_a", "text_b")]
-            yes = []
-            for i, a in enumerate(ids):
-                if held[0] != a:
-                    held = a, shingles(texts[0][i])
-                other = shingles(texts[1][i])
-                shared = len(held[1] & other)
-                yes.append(shared >= least * (len(held[1]) + len(other) - shared) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+            a, b, texts = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text").cast(pa.large_binary())
+            found: list[tuple[int, int]] = []
+            for i, other in enumerate(b):
+                mine = shingles(texts[i])
+                if other is None:
+                    hub = mine
+                    continue
+                shared = len(np.intersect1d(hub, mine, assume_unique=True))
+                if shared >= least * (len(hub) + len(mine) - shared) - 1e-9:
+                    found.append((a[i], other))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return cut(placed.mapInArrow(run, "a long, b long"))
+
 
-    return pairs.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+def linked(near: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """(node, root): the components of those edges ``near`` (a, b, share) that ``alike`` finds right.
+
+    First each text is held against the one that its sketch is likest to; then
+    only edges whose ends aren't linked by that are looked at. What is left out
+    could not change a component.
+    """
+    best = near.groupBy("b").agg(F.max(F.struct("share", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    best = cut(best)
+    first = alike(best, bodies, least)
+    roots = components(first)
+    end = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    more = near.select("a", "b").join(best, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    apart = cut(more.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    if apart.isEmpty():
+        return roots
+    return components(first.unionAll(alike(apart, bodies, least)))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
@@ -389,8 +434,8 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     with other columns of their own but the same doc_id and text go by a hash
     of all columns. So the result does not depend on the order of rows. Rows to drop
     are found by hashes of 128 bits of the whole row, and only those hashes
-    are shuffled, with the texts that are held against each other; they are
-    broadcast if they are counted few, and joined by key if they aren't.
+    are shuffled, with the texts that are held against each other (``alike``);
+    they are broadcast if they are counted few, and joined by key if they aren't.
     """
     spark = docs.sparkSession
     # With their nulls marked, as hashes pass over nulls.
@@ -405,17 +450,19 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     marked = cut(text_sketches(rows))
     # One row for each different text, by which rows are joined where very many share one.
     texts = cut(marked.groupBy("t1", "t2").agg(F.min("place").alias("least"), *[F.first(c).alias(c) for c in ("fp", "keys", "sketch")]))
-    keyed = texts.select(F.col("t1").alias("id"), "fp", F.posexplode("keys").alias("band", "bits"))
+    texts = named(texts)
+    keyed = texts.select("id", "fp", F.posexplode("keys").alias("band", "bits"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(texts.count() * KEYS, 2_000_000))
     met = compared(keyed, radius, parts, some_before).distinct()
-    sketch = lambda side: texts.select(F.col("t1").alias(side), F.col("sketch").alias(f"sketch_{side}")).hint("merge")
+    sketch = lambda side: texts.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")).hint("merge")
     near = cut(likely(met.join(sketch("a"), "a").join(sketch("b"), "b"), similarity))
-    met = cut(near.select(F.col("a").alias("t1")).union(near.select("b")).distinct().join(texts.select("t1", "least.k1", "least.k2"), "t1"))
-    bodies = cut(docs.select(*[k.alias(n) for n, k in keys.items()], "text").join(small_enough(met), ["k1", "k2"]).groupBy("t1").agg(F.first("text").alias("text")))
-    body = lambda side: bodies.select(F.col("t1").alias(side), F.col("text").alias(f"text_{side}")).hint("merge")
-    roots = cut(components(alike(near.join(body("a"), "a").join(body("b"), "b"), similarity)).select(F.col("node").alias("t1"), "root"))
-    low = with_least(roots.join(texts.select("t1", "least"), "t1"), "root", "least", "winner").select("t1", "winner")
-    winners = cut(texts.join(low, "t1", "left").select("t1", "t2", F.coalesce("winner", "least").alias("winner")))
+    met = cut(near.select(F.col("a").alias("id")).union(near.select("b")).distinct().join(texts.select("id", "least.k1", "least.k2"), "id"))
+    bodies = cut(docs.select(*[k.alias(n) for n, k in keys.items()], "text").join(small_enough(met), ["k1", "k2"]).select("id", "text"))
+    if bodies.count() > met.count():  # rows that are equal in all columns
+        bodies = cut(bodies.groupBy("id").agg(F.first("text").alias("text")))
+    roots = cut(linked(near, bodies, similarity).select(F.col("node").alias("id"), "root"))
+    low = with_least(roots.join(texts.select("id", "least"), "id"), "root", "least", "winner").select("id", "winner")
+    winners = cut(texts.join(low, "id", "left").select("t1", "t2", F.coalesce("winner", "least").alias("winner")))
     won = (F.col("place.k1") == F.col("winner.k1")) & (F.col("place.k2") == F.col("winner.k2"))
     placed = marked.select("place", "t1", "t2").join(winners, ["t1", "t2"]).select("place.k1", "place.k2", won.alias("won"))
     # A winner that stands in several equal rows is held apart and made one.
