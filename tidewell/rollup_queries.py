@@ -14,6 +14,8 @@ from .plans.periods import islands
 from .sources import facts
 from .sources.ingest import FactStore, from_api, overlay, start_column, summed_by_key
 from .sources.inspections import InspectionStore
+from .sources.rebuild import CanonicalRollup, RollupFiles, top_keywords
+from .sources.sitemaps import SitemapStore
 from .sources.staging import shared_path
 from .streaming.ingest import latest_rows
 
@@ -339,3 +341,54 @@ add(
     runs AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY "table", kind ORDER BY date) AS INT) AS run FROM each)
     SELECT "table", required, kind, min(date) AS first_day, max(date) AS last_day, CAST(count(*) AS INT) AS days FROM runs GROUP BY "table", required, kind, run""",
 )
+
+
+def site_generations(spark: SparkSession, sf_dir: str) -> SitemapStore:
+    """A store with two generations of the pages, dealt to three feeds by the length of their address; the second one lacks a feed."""
+    store, feed = SitemapStore(spark, shared_path(spark, "sitemaps")), "https://s.example/{}.xml"
+    for name, at, pages, feeds in (("first", 1_704_067_200_000, generation(spark, sf_dir, 7, 3), 3), ("second", 1_704_153_600_000, generation(spark, sf_dir, 5, 4), 2)):
+        for k in range(feeds):
+            store.stage(name, at, feed.format(k), pages.where(F.length("loc") % 3 == k))
+        store.publish(name, at, [feed.format(k) for k in range(feeds)])
+    return store
+
+
+FEEDS = f"""a AS (SELECT 'https://s.example/' || (length(loc) % 3) || '.xml' AS feed, * FROM ({GEN.format(7, 3)})),
+    b AS (SELECT 'https://s.example/' || (length(loc) % 3) || '.xml' AS feed, * FROM ({GEN.format(5, 4)}) WHERE length(loc) % 3 < 2)"""
+add(
+    "sitemap_generation_events", lambda s, d: site_generations(s, d).events().select("feed", "op", "loc", "lastmod", "previous_lastmod", F.col("observed_at").cast("date").alias("date")),
+    f"""WITH {FEEDS}, j AS (SELECT coalesce(b.feed, a.feed) AS feed, coalesce(b.loc, a.loc) AS loc, b.lastmod, a.lastmod AS previous_lastmod, a.loc AS al, b.loc AS bl FROM b FULL JOIN a ON a.loc = b.loc AND a.feed = b.feed)
+    SELECT feed, 'added' AS op, loc, lastmod, CAST(NULL AS VARCHAR) AS previous_lastmod, DATE '2024-01-01' AS date FROM a
+    UNION ALL SELECT feed, CASE WHEN al IS NULL THEN 'added' WHEN bl IS NULL THEN 'removed' ELSE 'updated' END, loc, lastmod, previous_lastmod, DATE '2024-01-02' FROM j WHERE al IS NULL OR bl IS NULL OR lastmod <> previous_lastmod""",
+)
+add(
+    "sitemap_membership", lambda s, d: site_generations(s, d).membership(facts.table(s, d, "pages").select("url")).select("url", "present", "feed", "lastmod", F.col("first_seen_at").cast("date").alias("first_seen")),
+    f"""WITH {FEEDS} SELECT p.url, b.loc IS NOT NULL AS present, b.feed, b.lastmod, CASE WHEN b.loc IS NULL THEN NULL WHEN a.loc IS NULL THEN DATE '2024-01-02' ELSE DATE '2024-01-01' END AS first_seen
+    FROM pages p LEFT JOIN b ON b.loc = p.url LEFT JOIN a ON a.loc = b.loc AND a.feed = b.feed""",
+)
+
+
+def canonical_in_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical rollup built in two calls, of which the first stops in the middle of a window."""
+    k = lake(spark, sf_dir)
+    rollup = CanonicalRollup(spark, shared_path(spark, "canonical"), window_days=900, shards=2)
+    for most in (3, None):
+        rollup.build(k.tables["queries"], k.query_dim, 1, most)
+    return rollup.read()
+
+
+add("rollup_canonical_in_steps", canonical_in_steps, SQL["rollup_canonical_daily"])
+
+
+def keyword_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the table of top keywords, those with 40 clicks or more."""
+    files = RollupFiles(spark, shared_path(spark, "rollups"))
+    files.write("top_keywords_28d_parquet", top_keywords(facts.sparse(spark, sf_dir).queries, ANCHOR), 1)
+    return files.read("top_keywords_28d_parquet").where("clicks >= 40")
+
+
+add(
+    "rollup_top_keywords_files", keyword_files,
+    f"""WITH {SPARSE}, t AS (SELECT query, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(sum_position) AS DOUBLE) AS sum_position FROM sparse
+    WHERE date >= DATE '{ANCHOR}' - 28 GROUP BY query ORDER BY clicks DESC, query LIMIT 1000) SELECT * FROM t WHERE clicks >= 40""", "sum_position",
+)
