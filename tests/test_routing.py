@@ -77,3 +77,9 @@ def test_decisions(lake):
     assert made.source == "primary" and got.first().clicks == 5 and R.run(lake, page)[0].first().clicks == 6
     daily = lake.tables["queries"].withColumn("query_canonical", F.lit("rolled")).drop("query")
     assert R.run(lake, canon, canonical=R.Rollup(daily))[0].first().queryCanonical == "rolled" and R.run(lake, canon)[0].first().queryCanonical == "shoe"
+
+
+def test_sql_knows_the_position_of_sums(lake):
+    sql = "SELECT url, gsc_position(SUM(sum_position), SUM(impressions)) AS p, gsc_position(SUM(sum_position), SUM(impressions - impressions)) AS none FROM pages GROUP BY url"
+    for _ in range(2):
+        assert [(r.url, r.p, r.none) for r in R.SqlSource("s", lake).sql(sql).collect()] == [("/a", 3.0, None)]

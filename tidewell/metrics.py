@@ -6,7 +6,7 @@ exact under any grouping.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 METRICS = ("clicks", "impressions", "ctr", "position")
@@ -33,6 +33,18 @@ def position() -> Column:
     return over(F.sum("sum_position"), F.sum("impressions")) + 1
 
 
+def sql_functions(spark: SparkSession) -> None:
+    """Let SQL of this session say ``gsc_position(sum(sum_position), sum(impressions))`` for ``position()``: null without impressions.
+
+    It takes the sums, as functions written in SQL hold no aggregates of their
+    own and one in Python would get each group whole; so Spark adds up before the shuffle.
+    """
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION gsc_position(sum_position DOUBLE, impressions DOUBLE) RETURNS DOUBLE "
+        "RETURN sum_position / NULLIF(impressions, 0) + 1"
+    )
+
+
 def aggregates(*names: str) -> list[Column]:
     made = {"clicks": clicks, "impressions": impressions, "ctr": ctr, "position": position}
     return [made[n]().alias(n) for n in (names or METRICS)]

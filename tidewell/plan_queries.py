@@ -211,6 +211,10 @@ add(
     "arch_sql", lambda k: A.arbitrary_sql(k, "SELECT page, count(DISTINCT query) AS n FROM page_queries WHERE date >= :since GROUP BY page", since="1999-01-01"),
     f"WITH {SPARSE} SELECT url AS page, count(DISTINCT query) AS n FROM sparse WHERE date >= DATE '1999-01-01' GROUP BY url", "",
 )
+add(
+    "arch_sql_position", lambda k: A.arbitrary_sql(k, "SELECT query, sum(clicks) AS clicks, gsc_position(sum(sum_position), sum(impressions)) AS position FROM page_queries GROUP BY query"),
+    f"WITH {SPARSE} SELECT query, CAST(sum(clicks) AS BIGINT) AS clicks, sum(sum_position) / nullif(sum(impressions), 0) + 1 AS position FROM sparse GROUP BY query", "position",
+)
 
 
 def query_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..metrics import METRICS, aggregates
+from ..metrics import METRICS, aggregates, sql_functions
 from ..schemas import DEVICES
 from ..sources.staging import staged
 from .compare import PREVIOUS
@@ -147,8 +147,9 @@ def two_dimension_detail(lake: Lake, period: Period, page: str | None = None, qu
 
 
 def arbitrary_sql(lake: Lake, sql: str, **args) -> DataFrame:
-    """Spark SQL over views of the fact tables; pages also show as ``page``."""
+    """Spark SQL over views of the fact tables, with ``gsc_position`` of sums; pages also show as ``page``."""
     spark = next(iter(lake.tables.values())).sparkSession
+    sql_functions(spark)
     for name, df in lake.tables.items():
         (df.withColumn("page", F.col("url")) if "url" in df.columns else df).createOrReplaceTempView(name)
     return spark.sql(sql, args=args or None)

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..metrics import sql_functions
 from ..plans import planner
 from ..plans.periods import Period, gaps
 from ..plans.planner import Lake, Plan
@@ -44,8 +45,9 @@ def attached(spark: SparkSession, schema: str, tables: list[str], query_dim: Dat
 
 
 def views(lake: Lake) -> None:
-    """Temporary views of all tables, every fact table among them: what the lake lacks is an empty view, and missing columns are null."""
+    """Temporary views of all tables, every fact table among them: what the lake lacks is an empty view, and missing columns are null; with ``sql_functions``."""
     spark = next(iter(lake.tables.values())).sparkSession
+    sql_functions(spark)
     for name, table in FACTS.items():
         rows, schema = lake.tables.get(name), table.schema()
         if rows is None:
