@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..metrics import over
+from .dealt import running_sum
 from .indexing import wilson
 
 #: Fewest pages of a cell, and of all others, for a comparison.
@@ -65,10 +66,11 @@ def outlier_cohorts(pages: DataFrame) -> DataFrame:
     worse = cells.where((rest >= LEAST_PAGES) & (gap > 0)).select(
         "dimension", "key", "total", "not_indexed", rate.alias("rate"), rest.alias("other_total"), rest_rate.alias("other_rate"), low.alias("low"), high.alias("high")
     )
-    # Few rows: cells that differ, not pages.
-    order = W.orderBy(F.desc(F.round(F.col("rate") - F.col("other_rate"), 12)), F.desc("not_indexed"), "dimension", "key")
-    ranked = worse.withColumn("rank", F.row_number().over(order))
-    bad = memberships(pages).where("NOT indexed").join(F.broadcast(ranked.select("dimension", "key", "rank")), ["dimension", "key"])
+    place = F.struct(-F.round(F.col("rate") - F.col("other_rate"), 12), -F.col("not_indexed"), "dimension", "key")
+    placed = running_sum(worse.withColumn("place", place).withColumn("one", F.lit(1)), "place", "one", "before")
+    ranked = placed.withColumn("rank", (F.col("before") + 1).cast("int")).drop("place", "one", "before")
+    # Two-level sections of a large site are many, so Spark's check of their size decides about a broadcast.
+    bad = memberships(pages).where("NOT indexed").join(ranked.select("dimension", "key", "rank"), ["dimension", "key"])
     claims = bad.withColumn("claimed_by", F.min("rank").over(W.partitionBy("path")))
     twice = claims.where("claimed_by < rank").groupBy("rank").agg(F.count("*").alias("n"))
     return ranked.join(twice, "rank", "left").select(
