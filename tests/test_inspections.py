@@ -1,8 +1,10 @@
 import datetime as dt
 import random
 
+import duckdb
 from pyspark.sql import types as T
 
+from tidewell import rollup_queries
 from tidewell.operators.indexing import latest, transitions
 from tidewell.sources.inspections import InspectionStore
 
@@ -58,3 +60,26 @@ def test_a_change_that_is_taken_back_goes(spark, tmp_path):
         assert store.changes().count() == 1
         store.add(spark.createDataFrame([first[1]], SCHEMA))
         assert store.changes().count() == (0 if store.latest().first().verdict == "PASS" else 1)
+
+
+def test_inspections_of_one_moment_all_count(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    # Each moment holds two states, so it is left by a change, the last one too.
+    whole = [(f"/{k % 3}", at(d), state, "OK") for k in range(6) for d in (1, 2, 3) for state in ("PASS", "FAIL")]
+    store = InspectionStore(spark, str(tmp_path / "s"), SCHEMA, FIELDS, 4, tuple(SCHEMA.names))
+    for part in (whole[::2], whole[1::2], whole[::2]):
+        store.add(spark.createDataFrame(part, SCHEMA))
+    assert store.table("log", SCHEMA).count() == len(set(whole))
+    assert {r.url: r["count"] for r in store.changes().groupBy("url").count().collect()} == {f"/{k}": 3 for k in range(3)}
+
+
+def test_events_of_one_moment_as_in_sql(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    for k in range(3):
+        events.withColumn("event_id", events.event_id + 100_000 * k).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = rollup_queries.QUERIES["inspection_store_changes"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(rollup_queries.SQL["inspection_store_changes"]).fetchall()
+    assert len(want) > 10 and sorted(got[["url", "n"]].itertuples(index=False, name=None)) == sorted(want)

@@ -18,8 +18,10 @@ class InspectionStore:
     """Tables log, latest and changes under a root, each dealt over ``buckets`` folders by a hash of the url.
 
     A batch rewrites the folders of the urls it holds and no others. An
-    inspection is its url and moment; of several, the one with the largest hash of
-    its columns stays, so a batch that is added again changes nothing, and batches
+    inspection is its columns ``key``, as a rule its url and moment; of several, the
+    one with the largest hash of its columns stays. Where a moment may hold several
+    inspections, ``key`` has what tells them apart, all columns if need be. So a
+    batch that is added again changes nothing, and batches
     in any order end in the same tables. The log is written first, and the
     other two follow from it: where a run broke off, ``add`` of the same batch,
     or ``derive`` of its buckets, mends them. One writer at a time.
@@ -30,6 +32,7 @@ class InspectionStore:
     schema: T.StructType
     fields: tuple[str, ...] = STATE_FIELDS
     buckets: int = 64
+    key: tuple[str, ...] = ("url", "inspected_at")
 
     def bucket(self):
         return F.pmod(F.xxhash64("url"), F.lit(self.buckets)).cast("int")
@@ -54,7 +57,7 @@ class InspectionStore:
             old = self.table("log", self.schema).where(F.col("bucket").isin(touched))
             columns = [f.name for f in self.schema]
             both = old.unionByName(new).withColumn("_same", F.lit(0))
-            self.put("log", staged(last_of_each(both, ["url", "inspected_at"], "_same").select(*columns, "bucket")))
+            self.put("log", staged(last_of_each(both, list(self.key), "_same").select(*columns, "bucket")))
             self.derive(touched)
         return touched
 
