@@ -227,3 +227,18 @@ def test_texts_that_share_half_their_name_stay_apart(spark, monkeypatch):
     docs = [(1, a), (2, b), (3, a), (4, b + " more"), (5, None)]
     kept = drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2, 5]
+
+
+def test_texts_meet_all_others_of_their_bucket(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        rows += [(3 * i + k, " ".join([*base[:78], *(f"x{3 * i + k}y{j}" for j in range(2))]) if k else " ".join(base)) for k in range(3)]
+    # One bucket holds all texts, so the first and the last one before a text are seldom the one it is alike to.
+    real = simhash.text_sketches
+    monkeypatch.setattr(simhash, "text_sketches", lambda rows: real(rows).selectExpr("place", "t1", "t2", "0L AS fp", "array(7L) AS keys", "sketch"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for side in (2048, 16):
+        monkeypatch.setattr(simhash, "CELL_SIDE", side)
+        assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [3 * i for i in range(30)]

@@ -193,20 +193,20 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = fps.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(n * len(masks), 2_000_000))
 
-    def forest(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def forest(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         label = joined(len(ids), pairs)
         moved = np.flatnonzero(label != np.arange(len(ids)))
-        return ids[label[moved]], ids[moved]
+        yield ids[label[moved]], ids[moved]
 
     return compared(keyed.withColumn("id", F.col("fp")), radius, parts, forest)
 
 
-def compared(keyed: DataFrame, radius: int, parts: int, edges) -> DataFrame:
+def compared(keyed: DataFrame, radius: int, parts: int, edges, *more: str) -> DataFrame:
     """Edges (a, b) between the ids of ``keyed`` (id, fp, band, bits) that meet in a bucket with fingerprints within ``radius``.
 
-    ``edges`` makes them from the ids of some cells and the pairs of their
-    places that are close. A bucket of more than CELL_SIDE fingerprints is
-    dealt over pairs of cells.
+    ``edges`` makes them, piece by piece, from the ids of some cells, the pairs
+    of their places that are close, and the columns ``more``. A bucket of more
+    than CELL_SIDE fingerprints is dealt over pairs of cells.
     """
     # Few buckets are so large; the others need no join.
     counts = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > CELL_SIDE)
@@ -216,7 +216,7 @@ def compared(keyed: DataFrame, radius: int, parts: int, edges) -> DataFrame:
     cells = (
         dealt.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select(F.xxhash64("band", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "fp")
+        .select(F.xxhash64("band", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "fp", *more)
     )
     placed = cells.repartition(parts, "cell").sortWithinPartitions("cell", "id")
 
@@ -224,15 +224,15 @@ def compared(keyed: DataFrame, radius: int, parts: int, edges) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
 
-        def compare(cell: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def compare(cell: np.ndarray, ids: np.ndarray, fp: np.ndarray, *others: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(fp) < 2:
                 return
-            a, b = edges(ids, close_pairs(cell, fp, radius))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for a, b in edges(ids, close_pairs(cell, fp, radius), *others):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy() for c in ("cell", "id", "fp")))
+            held.append(tuple(batch.column(c).to_numpy() for c in ("cell", "id", "fp", *more)))
             rows += len(held[-1][0])
             if rows >= 50_000:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -349,15 +349,34 @@ def named(texts: DataFrame) -> DataFrame:
     return marked.withColumn("id", F.when(other, F.xxhash64("t1", "t2")).otherwise(F.col("t1"))).drop("first")
 
 
-def some_before(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the first and the last one before it that are close to it: two edges at most for each text and bucket, never all pairs."""
+def some_before(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each place the first and the last one before it that are close to it: with these most links are found, and ``rest_of`` looks at the others."""
     first, last = np.full(len(ids), len(ids)), np.full(len(ids), -1)
     for a, z in pairs:
         np.minimum.at(first, z, a)
         np.maximum.at(last, z, a)
     some = np.flatnonzero(last >= 0)
     more = some[first[some] != last[some]]
-    return np.r_[ids[first[some]], ids[last[more]]], np.r_[ids[some], ids[more]]
+    yield np.r_[ids[first[some]], ids[last[more]]], np.r_[ids[some], ids[more]]
+
+
+def apart(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs that are close and whose ends have different roots."""
+    for a, z in pairs:
+        yes = roots[a] != roots[z]
+        yield ids[a[yes]], ids[z[yes]]
+
+
+def rest_of(keyed: DataFrame, roots: DataFrame, radius: int, parts: int) -> DataFrame:
+    """Every pair (a, b) that meets in a bucket of ``keyed`` within ``radius`` bits and isn't joined by ``roots`` (node, root), once.
+
+    In a bucket of up to three texts ``some_before`` has given all pairs, and
+    one whose texts are all joined has nothing to add; the others are compared again.
+    """
+    placed = keyed.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sums = placed.groupBy("band", "bits").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ones = cut(sums.where("n > 3 AND low <> high").select("band", "bits"))
+    return compared(placed.join(small_enough(open_ones), ["band", "bits"], "left_semi"), radius, parts, apart, "root").distinct()
 
 
 def alike(edges: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
@@ -410,10 +429,15 @@ def linked(near: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     roots = components(first)
     end = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     more = near.select("a", "b").join(best, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
-    apart = cut(more.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    if apart.isEmpty():
+    left = cut(more.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    if left.isEmpty():
         return roots
-    return components(first.unionAll(alike(apart, bodies, least)))
+    return components(first.unionAll(alike(left, bodies, least)))
+
+
+def tied(found: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of the components ``found`` (node, root) when those of ``more`` (node, root) tie them together."""
+    return components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
@@ -422,11 +446,13 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     Texts link if the sets of their shingles of STAGE_WORDS words (lower-cased
     A-Z, parted by white space) have a Jaccard similarity of ``similarity`` or
     more. Texts of equal words are one text. Others meet in buckets by MinHash
-    keys, in which fingerprints are compared by bit planes; of those within
-    ``radius`` bits each text is held against the first and the last before it
-    in each of its buckets: by a sketch, which all but sorts out those far from
-    alike, and then by its whole set of shingles. So a link may be missed; none
-    is wrong.
+    keys, in which fingerprints are compared by bit planes; those within
+    ``radius`` bits are held against each other: by a sketch, which all but
+    sorts out those far from alike, and then by their whole sets of shingles.
+    Each text first meets the first and the last before it in each of its
+    buckets, and then all others there that this hasn't joined it with. So
+    within a bucket no link is left out; one is missed only if its texts share
+    no key or lie beyond ``radius`` bits, and none is wrong.
 
     Each row counts by itself: rows that share a doc_id, or have none, stand in
     the groups of their own texts. Null, empty and blank texts are one text.
@@ -455,12 +481,21 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(texts.count() * KEYS, 2_000_000))
     met = compared(keyed, radius, parts, some_before).distinct()
     sketch = lambda side: texts.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")).hint("merge")
-    near = cut(likely(met.join(sketch("a"), "a").join(sketch("b"), "b"), similarity))
-    met = cut(near.select(F.col("a").alias("id")).union(near.select("b")).distinct().join(texts.select("id", "least.k1", "least.k2"), "id"))
-    bodies = cut(docs.select(*[k.alias(n) for n, k in keys.items()], "text").join(small_enough(met), ["k1", "k2"]).select("id", "text"))
-    if bodies.count() > met.count():  # rows that are equal in all columns
-        bodies = cut(bodies.groupBy("id").agg(F.first("text").alias("text")))
-    roots = cut(linked(near, bodies, similarity).select(F.col("node").alias("id"), "root"))
+    sorted_out = lambda edges: cut(likely(edges.join(sketch("a"), "a").join(sketch("b"), "b"), similarity))
+
+    def joins(near: DataFrame) -> DataFrame:
+        met = cut(near.select(F.col("a").alias("id")).union(near.select("b")).distinct().join(texts.select("id", "least.k1", "least.k2"), "id"))
+        bodies = cut(docs.select(*[k.alias(n) for n, k in keys.items()], "text").join(small_enough(met), ["k1", "k2"]).select("id", "text"))
+        if bodies.count() > met.count():  # rows that are equal in all columns
+            bodies = cut(bodies.groupBy("id").agg(F.first("text").alias("text")))
+        return linked(near, bodies, similarity)
+
+    near = sorted_out(met)
+    found = cut(joins(near))
+    more = cut(sorted_out(rest_of(keyed, found, radius, parts)).join(near.select("a", "b"), ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        found = cut(tied(found, joins(more)))
+    roots = found.select(F.col("node").alias("id"), "root")
     low = with_least(roots.join(texts.select("id", "least"), "id"), "root", "least", "winner").select("id", "winner")
     winners = cut(texts.join(low, "id", "left").select("t1", "t2", F.coalesce("winner", "least").alias("winner")))
     won = (F.col("place.k1") == F.col("winner.k1")) & (F.col("place.k2") == F.col("winner.k2"))
