@@ -140,7 +140,8 @@ class CanonicalRollup:
 
     def build_part(self, queries: DataFrame, dim: DataFrame, built_at: int, first: str, last: str, shard: int, shards: int) -> None:
         days = queries.where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-        rows = canonical_daily(days, dim).where(F.pmod(F.xxhash64("query_canonical"), F.lit(shards)) == shard)
+        # Every part reads all of ``dim``; it is joined by key, so that it isn't sent to the driver for each of them.
+        rows = canonical_daily(days, dim.hint("merge")).where(F.pmod(F.xxhash64("query_canonical"), F.lit(shards)) == shard)
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CANONICAL])
         name = self.part(built_at, first, shard)
         rows.repartitionByRange("date", "query_canonical").sortWithinPartitions("date", "query_canonical").write.mode("overwrite").parquet(f"{self.root}/{name}")
