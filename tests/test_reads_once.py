@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell import rollup_queries
+from tidewell.analyzer_queries import BEFORE, NOW
+from tidewell.operators import movement
 from tidewell.plans.planner import Lake
 from tidewell.sources import facts, rebuild as rollup_module
 from tidewell.sources.facts import Facts
@@ -40,3 +42,17 @@ def test_parts_of_the_canonical_rollup_send_no_names_to_the_driver(spark, counte
     queries = staged(counted[0].queries)
     CanonicalRollup(spark, str(tmp_path), 900, 2).build(queries, staged(queries.select("query").distinct().withColumn("query_canonical", F.col("query"))), 1)
     assert len(plans) == 6 and not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
+def test_query_migration(counted):
+    f, n, read = counted
+    assert movement.query_migration(f, NOW, BEFORE).collect() and read.value == n
+
+
+def test_query_migration_of_periods_that_overlap(spark):
+    day = F.to_date(F.lit("2024-01-01"))
+    rows = spark.createDataFrame([("q", "/a", 30, 0), ("q", "/b", 40, 5), ("r", "/c", 30, 2), ("", "/a", 50, 0), ("q", None, 50, 9), ("s", "/d", 25, 0)], "query string, url string, impressions long, d int")
+    f = Facts(rows.select("query", "url", "impressions", F.lit(0).alias("clicks"), F.lit(0.0).alias("sum_position"), F.date_add(day, F.col("d")).alias("date")))
+    got = movement.query_migration(f, ("2024-01-02", "2024-01-06"), ("2024-01-01", "2024-01-03")).collect()
+    # /c is seen in both, so it hasn't moved; s and q have one letter each, as good as equal.
+    assert sorted(map(tuple, got)) == [("/a", "/b", 30.0, 1, 1), ("/d", "/b", 25.0, 1, 0)]

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ..metrics import aggregates, over, percent_change
 from ..sources.facts import Facts
 from ..sources.staging import staged
-from .scoring import during, named, pairs
+from .scoring import during, named
 
 #: Most edits between two queries that still count as the same.
 EDITS = 2
@@ -116,9 +116,14 @@ def query_migration(facts: Facts, now, before, least=20) -> DataFrame:
     length class at a shift of at most EDITS, so candidates come from joins on
     (length, piece) and never from all pairs of a length.
     """
-    cur, prev = (named(pairs(facts, p, least), "query", "url") for p in (now, before))
-    lost = prev.join(cur, ["query", "url"], "left_anti").select(F.col("url").alias("source"), F.col("query").alias("gone"), F.col("impressions").alias("a"))
-    gained = cur.join(prev, ["query", "url"], "left_anti").select(F.col("url").alias("target"), F.col("query").alias("come"), F.col("impressions").alias("b"))
+    inside = lambda p: F.col("date").between(F.lit(p[0]).cast("date"), F.lit(p[1]).cast("date"))
+    seen = lambda p: F.sum(F.when(inside(p), F.col("impressions"))).cast("double")
+    both = named(either(facts.page_queries, now, before), "query", "url").groupBy("query", "url").agg(seen(before).alias("a"), seen(now).alias("b"))
+    was, is_there = (F.coalesce(F.col(c) >= least, F.lit(False)) for c in ("a", "b"))
+    # The facts are read once; what follows uses these rows many times.
+    moved = staged(both.where(was != is_there).withColumn("left", was))
+    lost = moved.where("left").select(F.col("url").alias("source"), F.col("query").alias("gone"), "a")
+    gained = moved.where("NOT left").select(F.col("url").alias("target"), F.col("query").alias("come"), "b")
     words = lost.select("gone").distinct().join(near_words(lost.select(F.col("gone").alias("x")), gained.select(F.col("come").alias("y"))), F.col("gone") == F.col("x")).drop("x")
     same = lost.select("gone").distinct().join(gained.select("come").distinct(), F.col("gone") == F.col("come"))
     matches = same.unionByName(words.withColumnRenamed("y", "come"))
