@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell import rollup_queries
+from tidewell import report_queries, rollup_queries
 from tidewell.analyzer_queries import BEFORE, NOW
 from tidewell.operators import movement
 from tidewell.plans.planner import Lake
@@ -56,3 +56,10 @@ def test_query_migration_of_periods_that_overlap(spark):
     got = movement.query_migration(f, ("2024-01-02", "2024-01-06"), ("2024-01-01", "2024-01-03")).collect()
     # /c is seen in both, so it hasn't moved; s and q have one letter each, as good as equal.
     assert sorted(map(tuple, got)) == [("/a", "/b", 30.0, 1, 1), ("/d", "/b", 25.0, 1, 0)]
+
+
+@pytest.mark.parametrize("name", ["opportunities"])
+def test_reports(spark, counted, monkeypatch, name):
+    f, n, read = counted
+    monkeypatch.setitem(report_queries.FACTS, name, lambda *a: f)
+    assert report_queries.query(name)(spark, SF).collect() and read.value == n
