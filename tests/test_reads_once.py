@@ -58,7 +58,7 @@ def test_query_migration_of_periods_that_overlap(spark):
     assert sorted(map(tuple, got)) == [("/a", "/b", 30.0, 1, 1), ("/d", "/b", 25.0, 1, 0)]
 
 
-@pytest.mark.parametrize("name", ["opportunities"])
+@pytest.mark.parametrize("name", ["opportunities", "growth"])
 def test_reports(spark, counted, monkeypatch, name):
     f, n, read = counted
     monkeypatch.setitem(report_queries.FACTS, name, lambda *a: f)
