@@ -242,3 +242,40 @@ def test_texts_meet_all_others_of_their_bucket(spark, monkeypatch):
     for side in (2048, 16):
         monkeypatch.setattr(simhash, "CELL_SIDE", side)
         assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [3 * i for i in range(30)]
+
+
+def test_a_bucket_of_texts_that_are_almost_alike_writes_no_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+
+    def changed(text, n, name):
+        text = list(text)
+        for i in rng.sample(range(2, 298), n):
+            text[i] = f"{name}x{i}"
+        return text
+
+    # 120 texts with a similarity of some 0.7 to each other, and 30 near copies of some of them.
+    rows = [changed(base, 6, f"a{i}") for i in range(120)]
+    rows += [changed(rows[rng.randrange(120)], 2, f"b{i}") for i in range(30)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    rng.shuffle(rows)
+    want = slow_single(rows)
+    assert 100 < len(want) <= 120
+    real, written, cuts = simhash.text_sketches, [], simhash.cut
+    monkeypatch.setattr(simhash, "text_sketches", lambda rows: real(rows).selectExpr("place", "t1", "t2", "0L AS fp", "array(7L) AS keys", "sketch"))
+
+    def counted(df):
+        out = cuts(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # All texts share one bucket: of their 11,175 pairs, none but those that join groups may be written.
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == want
+    assert max(written) <= 4 * len(rows)
+    # The same over many cells, some cut by texts and some by shingles.
+    for side, shingles in ((16, 10**6), (2048, 9_000)):
+        monkeypatch.setattr(simhash, "CELL_SIDE", side)
+        monkeypatch.setattr(simhash, "CELL_SHINGLES", shingles, raising=False)
+        assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == want

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ CELL_SIDE = 2048
 BUCKET_MEAN = 128
 #: The pipeline's stage: words of a shingle, least similarity of a link, keys by which texts meet, and the radius within which they are looked at.
 STAGE_WORDS, SIMILARITY, KEYS, STAGE_RADIUS = 5, 0.8, 12, 18
+#: Shingles that one cell takes from one side where whole sets are compared: 8 MB.
+CELL_SHINGLES = 1_000_000
 #: Edges of one text that are looked at in one task.
 HUB_EDGES = 512
 #: Bins of a sketch by which pairs are sorted out before their texts are fetched.
@@ -201,6 +203,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return compared(keyed.withColumn("id", F.col("fp")), radius, parts, forest)
 
 
+def in_cells(keyed: DataFrame, bucket: tuple[str, ...], sides: Column) -> DataFrame:
+    """``keyed`` with cell, in which its ids meet all others of their ``bucket``: one, or one for each two parts of a bucket whose ``sides``, an aggregate, is over one."""
+    # Few buckets are so large; the others need no join.
+    large = cut(keyed.groupBy(*bucket).agg(F.ceil(sides).cast("int").alias("sides")).where("sides > 1"))
+    dealt = keyed.join(large, list(bucket), "left").withColumn("g", F.coalesce("sides", F.lit(1)))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("g")).cast("int")
+    met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    return met.withColumn("cell", F.xxhash64(*bucket, F.least("own", "other"), F.greatest("own", "other")))
+
+
 def compared(keyed: DataFrame, radius: int, parts: int, edges, *more: str) -> DataFrame:
     """Edges (a, b) between the ids of ``keyed`` (id, fp, band, bits) that meet in a bucket with fingerprints within ``radius``.
 
@@ -208,16 +220,7 @@ def compared(keyed: DataFrame, radius: int, parts: int, edges, *more: str) -> Da
     of their places that are close, and the columns ``more``. A bucket of more
     than CELL_SIDE fingerprints is dealt over pairs of cells.
     """
-    # Few buckets are so large; the others need no join.
-    counts = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > CELL_SIDE)
-    large = cut(counts.select("band", "bits", F.ceil(F.col("n") / CELL_SIDE).cast("int").alias("sides")))
-    dealt = keyed.join(large, ["band", "bits"], "left").withColumn("g", F.coalesce("sides", F.lit(1)))
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("g")).cast("int")
-    cells = (
-        dealt.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select(F.xxhash64("band", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "fp", *more)
-    )
+    cells = in_cells(keyed, ("band", "bits"), F.count("*") / CELL_SIDE).select("cell", "id", "fp", *more)
     placed = cells.repartition(parts, "cell").sortWithinPartitions("cell", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +235,7 @@ def compared(keyed: DataFrame, radius: int, parts: int, edges, *more: str) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy() for c in ("cell", "id", "fp", *more)))
+            held.append(tuple(sketch_rows(batch.column(c)) if c == "sketch" else batch.column(c).to_numpy() for c in ("cell", "id", "fp", *more)))
             rows += len(held[-1][0])
             if rows >= 50_000:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -281,16 +284,24 @@ def sketched(h: np.ndarray) -> bytes:
     return np.where(low == ALL, 0, byte).astype(np.uint8).tobytes()
 
 
+def sketch_rows(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def by_sketches(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The similarity of each two sketches, and whether it is within four standard errors of ``least``, or more."""
+    full = ((a > 0) | (b > 0)).sum(axis=1)
+    share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(full, 1)
+    return share, share >= least - 4 * np.sqrt(least * (1 - least) / np.maximum(full, 1))
+
+
 def likely(edges: DataFrame, least: float) -> DataFrame:
     """(a, b, share) of those ``edges`` (a, b, sketch_a, sketch_b) whose similarity by their sketches, share, is within four standard errors of ``least``, or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-            full = ((a > 0) | (b > 0)).sum(axis=1)
-            share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(full, 1)
-            yes = pa.array(share >= least - 4 * np.sqrt(least * (1 - least) / np.maximum(full, 1)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "share"]).filter(yes)
+            share, yes = by_sketches(sketch_rows(batch.column("sketch_a")), sketch_rows(batch.column("sketch_b")), least)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "share"]).filter(pa.array(yes))
 
     return edges.mapInArrow(run, "a long, b long, share double")
 
@@ -360,23 +371,117 @@ def some_before(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]])
     yield np.r_[ids[first[some]], ids[last[more]]], np.r_[ids[some], ids[more]]
 
 
-def apart(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs that are close and whose ends have different roots."""
-    for a, z in pairs:
-        yes = roots[a] != roots[z]
-        yield ids[a[yes]], ids[z[yes]]
-
-
-def rest_of(keyed: DataFrame, roots: DataFrame, radius: int, parts: int) -> DataFrame:
-    """Every pair (a, b) that meets in a bucket of ``keyed`` within ``radius`` bits and isn't joined by ``roots`` (node, root), once.
+def unsettled(keyed: DataFrame, roots: DataFrame, sketches: DataFrame, least: float, radius: int, parts: int) -> DataFrame:
+    """(id, bucket) of the texts of ``keyed`` that meet one in that bucket within ``radius`` bits which ``roots`` (node, root) doesn't join with them and which may be alike by its sketch.
 
     In a bucket of up to three texts ``some_before`` has given all pairs, and
-    one whose texts are all joined has nothing to add; the others are compared again.
+    one whose texts are all joined has nothing to add; the others are compared
+    again. Each text comes out once for a bucket, with however many it meets there.
     """
+
+    def marked(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray, sketch: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        found = np.zeros(len(ids), bool)
+        for a, z in pairs:
+            for at in range(0, len(a), 8192):
+                x, y = a[at : at + 8192], z[at : at + 8192]
+                new = (root[x] != root[y]) & ~(found[x] & found[y])
+                x, y = x[new], y[new]
+                yes = by_sketches(sketch[x], sketch[y], least)[1]
+                found[x[yes]] = found[y[yes]] = True
+        yield ids[found], bucket[found]
+
     placed = keyed.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     sums = placed.groupBy("band", "bits").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     open_ones = cut(sums.where("n > 3 AND low <> high").select("band", "bits"))
-    return compared(placed.join(small_enough(open_ones), ["band", "bits"], "left_semi"), radius, parts, apart, "root").distinct()
+    # Two buckets that share a hash are one, in which more texts meet.
+    again = placed.join(small_enough(open_ones), ["band", "bits"], "left_semi").join(sketches, "id").withColumn("bucket", F.xxhash64("band", "bits"))
+    return compared(again, radius, parts, marked, "root", "sketch", "bucket").select(F.col("a").alias("id"), F.col("b").alias("bucket")).distinct()
+
+
+def shingle_sets(bodies: DataFrame) -> DataFrame:
+    """(id, size, shingles) of ``bodies`` (id, text): the ascending hashes of the different shingles of each, eight bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            sets = [np.unique(np.frombuffer(shingle_digests(v.as_buffer().to_pybytes() if v.is_valid else b"", STAGE_WORDS)[1], ">u8").astype("<u8")) for v in texts]
+            size = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), size, pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "size", "shingles"])
+
+    return bodies.mapInArrow(run, "id long, size long, shingles binary")
+
+
+def forest_of_sets(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, sets: list[bytes], least: float, radius: int) -> Iterator[tuple[int, int]]:
+    """Edges between the ``ids`` of one cell that join all ``roots`` whose texts are linked: within ``radius`` bits, and alike by their ``sets`` of shingles.
+
+    The shingles of the cell are numbered; those of one text are marked, and
+    counted in all texts that may be linked with it at once. There are fewer edges than ids.
+    """
+    size = np.array([len(x) // 8 for x in sets])
+    end = np.cumsum(size)
+    code = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)[1]
+    held = np.zeros(len(code) + 1, bool)
+    label = np.unique(roots, return_inverse=True)[1]
+    for a, z in close_pairs(np.zeros(len(ids), np.int64), fps, radius):
+        may = (label[a] != label[z]) & (np.minimum(size[a], size[z]) >= least * np.maximum(size[a], size[z]) - 1e-9)
+        order = np.argsort(a[may], kind="stable")
+        a, z = a[may][order], z[may][order]
+        for hub, others in zip(*(np.split(x, np.flatnonzero(np.diff(a)) + 1) for x in (a, z)), strict=True) if len(a) else ():
+            hub, others = hub[0], others[label[others] != label[hub[0]]]
+            if not len(others):
+                continue
+            mine = code[end[hub] - size[hub] : end[hub]]
+            held[mine] = True
+            many = size[others]
+            done = np.cumsum(many)
+            at = np.arange(done[-1]) + np.repeat(end[others] - done, many)
+            counted = np.r_[0, np.cumsum(held[code[at]])]
+            held[mine] = False
+            shared = counted[done] - counted[done - many]
+            right = others[shared >= least * (size[hub] + many - shared) - 1e-9]
+            new, first = np.unique(label[right], return_index=True)
+            for other in right[first]:
+                yield ids[hub], ids[other]
+            label[np.isin(label, new)] = label[hub]
+
+
+def settled(met: DataFrame, roots: DataFrame, fps: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
+    """Edges (a, b), written out, that join all ``roots`` (node, root) of which texts that ``met`` (id, bucket) in a bucket are linked, by their ``fps`` (id, fp) and whole ``sets`` (id, size, shingles).
+
+    The sets meet in cells of up to two times CELL_SIDE texts and
+    CELL_SHINGLES shingles. A task holds one cell and gives its spanning forest,
+    so what comes out grows with the texts, not with their pairs.
+    """
+    spark = met.sparkSession
+    sized = met.join(sets.select("id", "size"), "id")
+    sides = F.greatest(F.count("*") / CELL_SIDE, F.sum("size") / CELL_SHINGLES)
+    cells = cut(in_cells(sized, ("bucket",), sides).select("cell", "id", "size"))
+    n, all_shingles = cells.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(n, 10_000), parts_for(all_shingles, 8_000_000))
+    texts = sets.select("id", "shingles").join(fps, "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = cells.select("cell", "id").join(texts, "id").repartition(parts, "cell").sortWithinPartitions("cell", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, fp, root = (np.concatenate([x.column(c).to_numpy() for x in rows]) for c in ("id", "fp", "root"))
+            found = list(forest_of_sets(ids, fp, root, [v for x in rows for v in x.column("shingles").to_pylist()], least, radius))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            first = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for at, to in zip(first, first[1:], strict=False):
+                if held and held[0].column("cell")[0].as_py() != cell[at]:
+                    yield from forest(held)
+                    held = []
+                if to > at:
+                    held.append(batch.slice(at, to - at))
+        if held:
+            yield from forest(held)
+
+    return cut(placed.mapInArrow(run, "a long, b long"))
 
 
 def alike(edges: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
@@ -435,11 +540,6 @@ def linked(near: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     return components(first.unionAll(alike(left, bodies, least)))
 
 
-def tied(found: DataFrame, more: DataFrame) -> DataFrame:
-    """(node, root) of the components ``found`` (node, root) when those of ``more`` (node, root) tie them together."""
-    return components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-
-
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
     """Keep one row of each group: that with the smallest doc_id (null last), then text hash; columns as they came.
 
@@ -450,8 +550,9 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     ``radius`` bits are held against each other: by a sketch, which all but
     sorts out those far from alike, and then by their whole sets of shingles.
     Each text first meets the first and the last before it in each of its
-    buckets, and then all others there that this hasn't joined it with. So
-    within a bucket no link is left out; one is missed only if its texts share
+    buckets, and then all others there that this hasn't joined it with. Those
+    pairs are made and looked at within cells, and only what joins groups comes
+    out of them (``settled``). So within a bucket no link is left out; one is missed only if its texts share
     no key or lie beyond ``radius`` bits, and none is wrong.
 
     Each row counts by itself: rows that share a doc_id, or have none, stand in
@@ -483,18 +584,20 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: in
     sketch = lambda side: texts.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")).hint("merge")
     sorted_out = lambda edges: cut(likely(edges.join(sketch("a"), "a").join(sketch("b"), "b"), similarity))
 
-    def joins(near: DataFrame) -> DataFrame:
-        met = cut(near.select(F.col("a").alias("id")).union(near.select("b")).distinct().join(texts.select("id", "least.k1", "least.k2"), "id"))
+    def bodies_of(ids: DataFrame) -> DataFrame:
+        met = cut(ids.distinct().join(texts.select("id", "least.k1", "least.k2"), "id"))
         bodies = cut(docs.select(*[k.alias(n) for n, k in keys.items()], "text").join(small_enough(met), ["k1", "k2"]).select("id", "text"))
         if bodies.count() > met.count():  # rows that are equal in all columns
             bodies = cut(bodies.groupBy("id").agg(F.first("text").alias("text")))
-        return linked(near, bodies, similarity)
+        return bodies
 
     near = sorted_out(met)
-    found = cut(joins(near))
-    more = cut(sorted_out(rest_of(keyed, found, radius, parts)).join(near.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = cut(tied(found, joins(more)))
+    found = cut(linked(near, bodies_of(near.select(F.col("a").alias("id")).union(near.select("b"))), similarity))
+    again = cut(unsettled(keyed, found, texts.select("id", "sketch").hint("merge"), similarity, radius, parts))
+    if not again.isEmpty():
+        sets = cut(shingle_sets(bodies_of(again.select("id"))))
+        more = settled(again, found, texts.select("id", "fp"), sets, similarity, radius)
+        found = cut(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more)))
     roots = found.select(F.col("node").alias("id"), "root")
     low = with_least(roots.join(texts.select("id", "least"), "id"), "root", "least", "winner").select("id", "winner")
     winners = cut(texts.join(low, "id", "left").select("t1", "t2", F.coalesce("winner", "least").alias("winner")))
