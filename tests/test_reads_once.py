@@ -63,3 +63,11 @@ def test_reports(spark, counted, monkeypatch, name):
     f, n, read = counted
     monkeypatch.setitem(report_queries.FACTS, name, lambda *a: f)
     assert report_queries.query(name)(spark, SF).collect() and read.value == n
+
+
+def test_many_parts_do_not_go_through_the_driver(spark, monkeypatch):
+    plan = lambda: facts.long(spark, SF).page_queries._jdf.queryExecution().executedPlan().toString()
+    few = sorted(map(tuple, facts.long(spark, SF).page_queries.collect()))
+    monkeypatch.setattr(facts, "BROADCAST_PARTS", 10, raising=False)
+    assert "Broadcast" not in plan()
+    assert sorted(map(tuple, facts.long(spark, SF).page_queries.collect())) == few

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Parts up to which Spark may broadcast them as it sees fit; more would cross the driver whole, as their files look small to its size check.
+BROADCAST_PARTS = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +58,8 @@ def dense(spark: SparkSession, sf_dir: str) -> Facts:
 def line_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """One row of each order line with its metrics, part and the named columns."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    if part.count() > BROADCAST_PARTS:
+        part = part.hint("merge")
     slot = (F.col("l_partkey") + 7 * F.col("l_linenumber")) % 30
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat(F.lit("/"), F.lower("p_type"), F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))).alias("url"),
